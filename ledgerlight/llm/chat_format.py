@@ -42,12 +42,20 @@ _TURN = _OPEN + r"(?s:(.*?))( \[/INST\]|</s>|<</SYS>>|\[/ROLE\])"
 _RECORD = ", ".join([f"{name} array<struct<{r}: string, {t}: string>>" for name, (r, t) in MESSAGE_LISTS.items()] + [f"{f} string" for f in PLAIN_FIELDS])
 
 
+def _has(part: str):
+    return lambda m: m[part].isNotNull()
+
+
+def _turn(role: str, text: str, names: Column):
+    return lambda m: F.struct(F.coalesce(F.element_at(names, m[role]), m[role], F.lit("")).alias("role"), F.coalesce(m[text], F.lit("")).alias("text"))
+
+
 def _paths(record: Column) -> Column:
     """Sorted paths of the nested fields that are there."""
     found = [F.when(record[f].isNotNull(), F.lit(f)) for f in PLAIN_FIELDS]
     for name, parts in MESSAGE_LISTS.items():
         found.append(F.when(record[name].isNotNull(), F.lit(f"{name}[]")))
-        found += [F.when(F.exists(record[name], lambda m, part=part: m[part].isNotNull()), F.lit(f"{name}[].{part}")) for part in parts]
+        found += [F.when(F.exists(record[name], _has(part)), F.lit(f"{name}[].{part}")) for part in parts]
     return F.array_sort(F.array_compact(F.array(*found)))
 
 
@@ -85,7 +93,7 @@ def canonical_turns(records: DataFrame, json_col: str = "record") -> DataFrame:
     for name, about in MAPPINGS.items():
         if "list" in about:
             role, text = MESSAGE_LISTS[about["list"]]
-            own = F.transform(F.col("_r")[about["list"]], lambda m, r=role, t=text: F.struct(F.coalesce(F.element_at(names, m[r]), m[r], F.lit("")).alias("role"), F.coalesce(m[t], F.lit("")).alias("text")))
+            own = F.transform(F.col("_r")[about["list"]], _turn(role, text, names))
         else:
             own = F.array_compact(F.array(*[F.when(F.col("_r")[f].isNotNull(), F.struct(F.lit(r).alias("role"), F.col("_r")[f].alias("text"))) for f, r, _ in about["fields"]]))
         turns = F.when(F.col("mapping") == name, own).otherwise(turns)

@@ -1,12 +1,15 @@
 """Document fingerprints as invertible Bloom lookup sketches, with SQL functions only.
 
-A text is cut after every line end and sentence mark; the distinct pieces' XXH64
-digests go to a sketch of cells (count, xor of digests, xor of check values), each
+A text is cut into paragraphs (lines, and parts of long lines); the distinct
+paragraphs' XXH64 digests go to a sketch of cells (count, xor of digests, xor of check values), each
 digest into one cell of each of three rows. Two versions' sketches subtract cell
 by cell; what they share cancels. Cells that hold a single digest are peeled off
 until nothing is left: that recovers the digests by which the versions differ.
-When peeling sticks, both are sketched again with four times as many cells, split
-by the top bits of the digests, so each part stays small and the work linear.
+
+The sketch that is subtracted has as many parts of ``CELLS`` cells as the two
+counts of digests call for, split by the digests' top bits, so the work is linear
+in the text. A part whose peeling sticks is sketched again in four parts, and so
+on; digests that agree in all those bits are compared themselves at last.
 
 Null texts are empty: an empty sketch, like another empty one (1.0). A row with a
 null id comes last in descending order; equal ids are in order of their text. In
@@ -23,47 +26,76 @@ from pyspark.sql import functions as F
 
 from ledgerlight.llm.cluster import broadcast_if_small, materialize
 
-ROWS, SLOTS = 3, 8
+ROWS, SLOTS = 3, 4
 CELLS = ROWS * SLOTS
-_ROUNDS = 12
-#: Sizes tried: 1, 4, 16, ... parts of CELLS cells.
-_SIZES = 11
+#: Paragraphs end at line ends, and long ones at those sentence ends that the next letter picks, so that equal passages are cut equally wherever they stand.
+_CUT = r"(?<=\n)|(?<=[.!?] )(?=[A-E])"
+#: Peeling rounds that a part may take, digests of both versions for a part at most, and
+#: how often a table is split into four times as many parts (then digests are compared).
+_ROUNDS, _LOAD, _LEVELS = 8, 4, 9
 
 
 def digests(text: Column) -> Column:
-    """Distinct XXH64 digests of the pieces of a text."""
-    return F.when(F.length(text) == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(F.transform(F.split(text, r"(?<=[\n.!?])"), lambda p: F.xxhash64(p))))
+    """Distinct XXH64 digests of the pieces of a text, in order of size."""
+    pieces = F.filter(F.split(text, _CUT), lambda p: p != "")
+    return F.array_sort(F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p))))
+
+
+def _held(keys: str) -> str:
+    """SQL of those of an array of digests that go to the cell c."""
+    return f"filter({keys}, x -> (shiftright(x, {SLOTS // 2} * (c div {SLOTS})) & {SLOTS - 1}) = c % {SLOTS})"
+
+
+def _cell(held: str, less: str = "") -> str:
+    """SQL of a cell of these digests, from which a cell of others is subtracted."""
+    xor = lambda of, start: f"aggregate({of}, {start}, (s, x) -> s ^ x)"
+    check = lambda of, start: f"aggregate({of}, {start}, (s, x) -> s ^ xxhash64(x))"
+    if not less:
+        return f"named_struct('n', size({held}), 'k', {xor(held, '0L')}, 'h', {check(held, '0L')})"
+    return f"named_struct('n', size({held}) - size({less}), 'k', {xor(less, xor(held, '0L'))}, 'h', {check(less, check(held, '0L'))})"
 
 
-def _cells(keys: str) -> str:
-    """SQL of the sketch of an array of digests."""
-    own = f"(x -> (shiftright(x, 3 * (c div {SLOTS})) & {SLOTS - 1}) = c % {SLOTS})"
-    return f"transform(sequence(0, {CELLS - 1}), c -> aggregate(filter({keys}, {own[1:-1]}), named_struct('n', 0, 'k', 0L, 'h', 0L), (s, x) -> named_struct('n', s.n + 1, 'k', s.k ^ x, 'h', s.h ^ xxhash64(x))))"
+def _sketch(keys: str) -> str:
+    return f"transform(transform(sequence(0, {CELLS - 1}), c -> {_held(keys)}), f -> {_cell('f')})"
 
 
-def _subtract(a: str, b: str) -> str:
-    return f"zip_with({a}, {b}, (p, q) -> named_struct('n', p.n - q.n, 'k', p.k ^ q.k, 'h', p.h ^ q.h))"
+def _subtracted(a: str, b: str, first: int = 0, last: int = CELLS - 1) -> str:
+    """SQL of the cells of one sketch less those of another."""
+    return f"transform(transform(sequence({first}, {last}), c -> named_struct('f', {_held(a)}, 'g', {_held(b)})), y -> {_cell('y.f', 'y.g')})"
 
 
 def _peel(cells: str) -> str:
     """SQL of the number of digests recovered from a subtracted sketch; null if peeling sticks."""
     pure = "array_distinct(transform(filter(t.cells, s -> abs(s.n) = 1 and s.h = xxhash64(s.k)), s -> named_struct('n', s.n, 'k', s.k)))"
-    drop = f"aggregate(ps, t.cells, (cs, p) -> transform(cs, (s, i) -> if((shiftright(p.k, 3 * (i div {SLOTS})) & {SLOTS - 1}) = i % {SLOTS}, named_struct('n', s.n - p.n, 'k', s.k ^ p.k, 'h', s.h ^ xxhash64(p.k)), s)))"
-    step = f"if(t.done, t, transform(array({pure}), ps -> named_struct('cells', {drop}, 'd', t.d + size(ps), 'done', size(ps) = 0))[0])"
+    held = f"(shiftright(p.k, {SLOTS // 2} * (i div {SLOTS})) & {SLOTS - 1}) = i % {SLOTS}"
+    drop = f"aggregate(ps, t.cells, (cs, p) -> transform(cs, (s, i) -> if({held}, named_struct('n', s.n - p.n, 'k', s.k ^ p.k, 'h', s.h ^ xxhash64(p.k)), s)))"
+    step = f"if(t.done, t, transform(array({pure}), ps -> if(size(ps) = 0, named_struct('cells', t.cells, 'd', t.d, 'done', true), named_struct('cells', {drop}, 'd', t.d + size(ps), 'done', false)))[0])"
     return f"aggregate(sequence(1, {_ROUNDS}), named_struct('cells', {cells}, 'd', 0, 'done', false), (t, r) -> {step}, t -> if(exists(t.cells, s -> s.n != 0 or s.k != 0 or s.h != 0), cast(null as int), t.d))"
 
 
+def _read_row(row: int) -> str:
+    """SQL of the number of digests in z, if every cell of one row of the subtracted sketch holds one at most; else null."""
+    cells = _subtracted("z.a", "z.b", row * SLOTS, row * SLOTS + SLOTS - 1)
+    mixed = "exists(cs, s -> not(s.n = 0 and s.k = 0 and s.h = 0) and not(abs(s.n) = 1 and s.h = xxhash64(s.k)))"
+    return f"transform(array({cells}), cs -> if({mixed}, cast(null as int), size(filter(cs, s -> s.n != 0))))[0]"
+
+
+def _recovered() -> str:
+    """SQL of the number of differing digests of the part z = (a, b); null if it holds too many or peeling sticks."""
+    # Rows are subtracted one by one: most parts are read from the first, peeling needs them all.
+    rows = ", ".join(_read_row(row) for row in range(ROWS))
+    return f"if(size(z.a) + size(z.b) > {_LOAD}, cast(null as int), coalesce({rows}, {_peel(_subtracted('z.a', 'z.b'))}))"
+
+
 def difference(a: str, b: str) -> Column:
     """Number of digests in one of two arrays (columns) and not in the other, from their sketches."""
-    part = lambda keys, bits, no: f"filter({keys}, x -> shiftrightunsigned(x, 64 - {bits}) = {no})"
-    peel = _peel(_subtract(_cells("pa"), _cells("pb")))
-    # Two steps of bits keep the splitting near linear: first by the upper half of the bits, then by all.
-    fine = f"aggregate(sequence(0L, shiftleft(1L, bits - up) - 1L), 0, (sum, j) -> sum + transform(array(named_struct('a', {part('g.a', 'bits', 'shiftleft(i, bits - up) + j')}, 'b', {part('g.b', 'bits', 'shiftleft(i, bits - up) + j')})), z -> {peel.replace('filter(pa,', 'filter(z.a,').replace('filter(pb,', 'filter(z.b,')})[0])"
-    coarse = f"aggregate(sequence(0L, shiftleft(1L, up) - 1L), 0, (total, i) -> total + transform(array(named_struct('a', {part(a, 'up', 'i')}, 'b', {part(b, 'up', 'i')})), g -> {fine})[0])"
-    whole = peel.replace("filter(pa,", f"filter({a},").replace("filter(pb,", f"filter({b},")
-    larger = f"transform(array(2 * r), bits -> transform(array(bits div 2), up -> {coarse})[0])[0]"
-    tried = f"aggregate(sequence(0, {_SIZES - 1}), cast(null as int), (d, r) -> if(d is not null, d, if(r = 0, {whole}, {larger})))"
-    return F.expr(f"coalesce({tried}, size(array_except({a}, {b})) + size(array_except({b}, {a})))")
+    of = lambda side: f"filter(q.z.{side}, x -> (shiftright(x, 62 - 2 * level) & 3) = j)"
+    quarters = f"filter(transform(sequence(0, 3), j -> named_struct('a', {of('a')}, 'b', {of('b')})), z -> size(z.a) + size(z.b) > 0)"
+    tried = f"transform(t.parts, z -> named_struct('z', z, 'd', {_recovered()}))"
+    split = f"flatten(transform(filter(done, q -> q.d is null), q -> {quarters}))"
+    step = f"transform(array({tried}), done -> named_struct('parts', {split}, 'd', t.d + aggregate(done, 0, (s, q) -> s + coalesce(q.d, 0))))[0]"
+    exact = "aggregate(t.parts, t.d, (s, z) -> s + size(array_except(z.a, z.b)) + size(array_except(z.b, z.a)))"
+    return F.expr(f"aggregate(sequence(0, {_LEVELS}), named_struct('parts', array(named_struct('a', {a}, 'b', {b})), 'd', 0), (t, level) -> {step}, t -> {exact})")
 
 
 def likeness(a: str, b: str) -> Column:
@@ -74,7 +106,8 @@ def likeness(a: str, b: str) -> Column:
 
 def sketch_text(keys: str) -> Column:
     """The smallest sketch of an array of digests (a column), as base64."""
-    return F.expr(f"base64(unhex(concat(lpad(hex(size({keys})), 8, '0'), array_join(transform({_cells(keys)}, s -> concat(lpad(hex(s.n), 8, '0'), lpad(hex(s.k), 16, '0'), right(lpad(hex(s.h), 16, '0'), 8))), ''))))")
+    cells = f"array_join(transform({_sketch(keys)}, s -> concat(lpad(hex(s.n), 8, '0'), lpad(hex(s.k), 16, '0'), right(lpad(hex(s.h), 16, '0'), 8))), '')"
+    return F.expr(rf"translate(base64(unhex(concat(lpad(hex(size({keys})), 8, '0'), {cells}))), '\r\n', '')")
 
 
 def with_next_text(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_bucket: int = 1000) -> DataFrame:
