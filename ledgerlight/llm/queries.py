@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import chat_format, doc_fingerprint, packing, simhash_dedup, source_mix, token_store
+from ledgerlight.llm import chat_format, doc_fingerprint, lang_id, packing, simhash_dedup, source_mix, token_store, toxicity
+from ledgerlight.llm.byte_words import held_out
 
 #: Of the public tokenizer files, the one that queries use.
 TOKENIZER = "byte_bpe_50k.json"
@@ -25,6 +26,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    docs = docs.select("doc_id", "text")
+    out = held_out(F.col("doc_id"), 3, 1)
+    model = toxicity.train(docs.filter(~out).join(labels.select("doc_id", "toxic"), "doc_id"))
+    return toxicity.score(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formats every conversation and conversation -7, and reads the turns back from the output."""
     said = "</s>[INST] ok [/INST]"
@@ -66,6 +75,13 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doc_fingerprint.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = held_out(F.col("doc_id"), 4, 2)
+    found = lang_id.predict(docs, lang_id.train(docs.filter(~out)))
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicate_groups(_table(spark, sf_dir, "documents"))
 
@@ -84,8 +100,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_chat_format": op2_chat_format,
     "op4_document_fingerprints": op4_document_fingerprints,
+    "op5_language_id": op5_language_id,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_token_store": op8_token_store,
     "op9_source_mix": op9_source_mix,
