@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import chat_format, doc_fingerprint, lang_id, packing, simhash_dedup, source_mix, token_store, toxicity
+from ledgerlight.llm import chat_format, doc_fingerprint, inverted_multi_index, lang_id, packing, simhash_dedup, source_mix, token_store, toxicity
 from ledgerlight.llm.byte_words import held_out
 
 #: Of the public tokenizer files, the one that queries use.
@@ -82,6 +82,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inverted_multi_index.nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicate_groups(_table(spark, sf_dir, "documents"))
 
@@ -104,6 +108,7 @@ QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op4_document_fingerprints": op4_document_fingerprints,
     "op5_language_id": op5_language_id,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_token_store": op8_token_store,
     "op9_source_mix": op9_source_mix,
