@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import chat_format, doc_fingerprint, inverted_multi_index, lang_id, packing, simhash_dedup, source_mix, token_store, toxicity
+from ledgerlight.llm import chat_format, doc_fingerprint, inverted_multi_index, lang_id, packing, secret_scan, simhash_dedup, source_mix, token_store, toxicity
 from ledgerlight.llm.byte_words import held_out
 
 #: Of the public tokenizer files, the one that queries use.
@@ -71,6 +71,12 @@ SELECT conv_id, n AS n_turns, sha256(whole) AS turns_sha256, length(t)::BIGINT A
 """
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    scanned = secret_scan.scan(docs, secret_scan.train(secret_scan.labelled_findings(spark)), path_col="source")
+    return scanned.select("doc_id", "secret_candidates", F.size("secrets").cast("long").alias("n_secrets"), "secrets", F.sha2("redacted", 256).alias("redacted_sha256"))
+
+
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doc_fingerprint.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
@@ -106,6 +112,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_chat_format": op2_chat_format,
+    "op3_secret_scan": op3_secret_scan,
     "op4_document_fingerprints": op4_document_fingerprints,
     "op5_language_id": op5_language_id,
     "op6_nearest_neighbours": op6_nearest_neighbours,
