@@ -32,7 +32,7 @@ def dates_in(text: Column) -> Column:
 
 def numbers_in(text: Column) -> Column:
     """Numbers of a text without its dates, as written."""
-    return F.transform(F.regexp_extract_all(F.regexp_replace(text, _DATE, " "), F.lit(_NUMBER), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(F.regexp_replace(text, _DATE, " "), F.lit(_NUMBER), F.lit(1)), lambda x: F.trim(x))
 
 
 def claim(raw: Column) -> Column:
