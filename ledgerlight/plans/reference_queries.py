@@ -263,14 +263,14 @@ SELECT case_id, {", ".join(f"max(CASE WHEN rank <= {k} AND relevant THEN 1.0 ELS
 
 def numeric_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates and numbers that order comments would claim, written out and read back."""
-    said = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("Order of "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" worth $"), F.format_number("o_totalprice", 2), F.lit(" or "), F.format_number(F.col("o_totalprice") / 1000, 1), F.lit(" thousand, up 12.5%.")).alias("text"))
+    said = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("Order of "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" worth $"), F.format_number("o_totalprice", 2), F.lit(" or "), F.format_number(F.col("o_totalprice") / 1000, 5), F.lit(" thousand, up 12.5%.")).alias("text"))
     found = claims.claims_in(said)
-    return found.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("orders"), F.round(F.sum(F.col("value").cast("decimal(28,2)")).cast("double"), 2).alias("total"))
+    return found.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("orders"), F.round(F.sum(F.col("value").cast("decimal(28,5)")).cast("double"), 2).alias("total"))
 
 
 CLAIMS_SQL = """SELECT 'date' AS kind, count(*) AS n, count(DISTINCT o_orderkey) AS orders, NULL::DOUBLE AS total FROM orders
 UNION ALL SELECT 'number', count(*), count(DISTINCT o_orderkey), round(sum(o_totalprice::DECIMAL(28,2))::DOUBLE, 2) FROM orders
-UNION ALL SELECT 'scaled', count(*), count(DISTINCT o_orderkey), round(sum(round_even(o_totalprice / 1000, 1)::DECIMAL(28,2))::DOUBLE, 2) FROM orders
+UNION ALL SELECT 'scaled', count(*), count(DISTINCT o_orderkey), round(sum(o_totalprice::DECIMAL(28,2))::DOUBLE / 1000, 2) FROM orders
 UNION ALL SELECT 'percent', count(*), count(DISTINCT o_orderkey), count(*) * 12.5 FROM orders"""
 
 
