@@ -13,6 +13,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ledgerlight.functions import text as T
 
@@ -43,7 +44,7 @@ class _Visible(HTMLParser):
             self.parts.append(piece)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def visible_text(html: pd.Series) -> pd.Series:
     """Visible text of HTML, pieces joined by one space, white space collapsed; null for null."""
 

@@ -170,8 +170,9 @@ def ttm_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fundamentals.year_to_date_bridge(facts(spark, sf_dir)).select("entity", "concept", "period_end", F.col("ttm").cast("double").alias("ttm"), "ambiguous")
 
 
-TTM = """ttm AS (SELECT p.entity, p.y, a.revenue + p.revenue - q.revenue AS revenue, a.net_income + p.net_income - q.net_income AS net_income FROM part p LEFT JOIN annual a ON a.entity = p.entity AND a.y = 2000 LEFT JOIN part q ON q.entity = p.entity AND q.y = 2000 WHERE p.y = 2001)"""
-TTM_SQL = f"""WITH {FACTS}, {TTM} SELECT entity, 'revenue' AS concept, make_date(2001, 7, 31) AS period_end, revenue::DOUBLE AS ttm, false AS ambiguous FROM ttm UNION ALL SELECT entity, 'net_income', make_date(2001, 7, 31), net_income::DOUBLE, false FROM ttm"""
+TTM = """ttm AS (SELECT p.entity, p.y, a.revenue + p.revenue - q.revenue AS revenue, a.net_income + p.net_income - q.net_income AS net_income FROM part p LEFT JOIN annual a ON a.entity = p.entity AND a.y = 2000 LEFT JOIN part q ON q.entity = p.entity AND q.y = 2000 WHERE p.y = 2001
+  UNION ALL SELECT entity, y, revenue, net_income FROM annual WHERE y = 2000 AND entity NOT IN (SELECT entity FROM part WHERE y = 2001))"""
+TTM_SQL = f"""WITH {FACTS}, {TTM} SELECT entity, 'revenue' AS concept, CASE y WHEN 2001 THEN DATE '2001-07-31' ELSE DATE '2000-12-31' END AS period_end, revenue::DOUBLE AS ttm, false AS ambiguous FROM ttm UNION ALL SELECT entity, 'net_income', CASE y WHEN 2001 THEN DATE '2001-07-31' ELSE DATE '2000-12-31' END, net_income::DOUBLE, false FROM ttm"""
 
 
 def fundamental_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
