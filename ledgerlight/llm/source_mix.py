@@ -146,11 +146,15 @@ def plan_mix(measured: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_r
     last = cut.join(last, "source_no", "left").select("source_no", "last", (F.col("left") - F.coalesce("got", F.lit(0))).alias("gap"))
     filled = materialize(filled.join(broadcast_if_small(last, 100_000), "source_no", "left"), "mix-cut")
 
-    # Of the rows that this copy leaves out, the largest that still fits closes the gap.
+    # Of the rows that this copy leaves out, the largest that still fit close the gap. A few of
+    # each size class are enough to choose from, and classes are combined before the shuffle.
     spare = filled.filter("gap > 0 and part != 'all'").select(F.col("_source").alias("s"), F.col("_block").alias("b"), "source_no", "full", "part", "last", "gap")
     out = placed.join(broadcast_if_small(spare, 100_000), placed["_source"].eqNullSafe(F.col("s")) & (placed["_block"] == F.col("b")))
     out = out.filter("_size > 0 and _size <= gap and (part = 'none' or last is null or _place > last)")
-    extra = out.groupBy("source_no").agg(F.max(F.struct("_size", "_place", "_block", "full")).alias("e"))
+    classes = out.groupBy("source_no", F.floor(F.log2("_size")).alias("class"), F.pmod("_place", F.lit(8)).alias("turn")).agg(F.max(F.struct("_size", "_place", "_block", "full")).alias("e"), F.max("gap").alias("gap"))
+    choice = classes.groupBy("source_no").agg(F.max("gap").alias("gap"), F.reverse(F.array_sort(F.collect_list("e"))).alias("es"))
+    picked = F.expr("aggregate(es, named_struct('left', gap, 'got', filter(es, x -> false)), (t, x) -> if(x._size <= t.left, named_struct('left', t.left - x._size, 'got', concat(t.got, array(x))), t), t -> t.got)")
+    extra = choice.select("source_no", F.explode(picked).alias("e"))
     extra = extra.select("source_no", "e._block", F.col("e.full").alias("copy"), F.col("e._place").alias("first"), F.col("e._place").alias("last"))
 
     copies = F.sequence(F.lit(0), F.col("full"))
