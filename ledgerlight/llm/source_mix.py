@@ -127,7 +127,7 @@ def plan_mix(measured: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_r
     placed = measured.select("_source", "_size", "_place", _block(bits).alias("_block"))
     blocks = materialize(placed.groupBy("_source", "_block").agg(F.sum("_size").alias("words")), "mix-blocks")
     sources = target_weights(blocks.groupBy(F.col("_source").alias("source")).agg(F.sum("words").alias("source_size")), weights, max_repeat)
-    sources = sources.withColumn("full", F.coalesce(F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_repeat)), F.lit(0)).cast("int"))
+    sources = sources.withColumn("full", F.coalesce(F.least(F.floor(F.try_divide("target", F.col("source_size"))), F.lit(max_repeat)), F.lit(0)).cast("int"))
     sources = materialize(sources.withColumn("rest", F.when(F.col("full") >= max_repeat, F.lit(0.0)).otherwise(F.col("target") - F.col("full") * F.col("source_size"))), "mix-sources")
     rows = blocks.join(broadcast_if_small(sources, 100_000), blocks["_source"].eqNullSafe(sources["source"])).drop("source")
 
