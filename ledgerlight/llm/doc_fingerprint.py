@@ -1,7 +1,9 @@
 """Document fingerprints as invertible Bloom lookup sketches, with SQL functions only.
 
-A text is cut into paragraphs (lines, and parts of long lines); the distinct
-paragraphs' XXH64 digests go to a sketch of cells (count, xor of digests, xor of check values), each
+A text is cut into passages where a hash of the words before picks the spot (of
+the characters before, in long runs without blanks), so equal passages are cut
+equally in any script and wherever they stand; the distinct passages' XXH64
+digests go to a sketch of cells (count, xor of digests, xor of check values), each
 digest into one cell of each of three rows. Two versions' sketches subtract cell
 by cell; what they share cancels. Cells that hold a single digest are peeled off
 until nothing is left: that recovers the digests by which the versions differ.
@@ -28,17 +30,33 @@ from ledgerlight.llm.cluster import broadcast_if_small, materialize
 
 ROWS, SLOTS = 3, 4
 CELLS = ROWS * SLOTS
-#: Paragraphs end at line ends, and long ones at those sentence ends that the next letter picks, so that equal passages are cut equally wherever they stand.
-_CUT = r"(?<=\n)|(?<=[.!?] )(?=[A-E])"
+#: A unit is a word with the blanks behind it; longer ones are cut into single characters.
+_WORD, _LONG = r"(?<=\\s)(?!\\s)", 24
+#: A passage ends where the hash of the last WINDOW units is 0 modulo PASSAGE, or after MOST units.
+WINDOW, PASSAGE, MOST = 3, 8, 64
 #: Peeling rounds that a part may take, digests of both versions for a part at most, and
 #: how often a table is split into four times as many parts (then digests are compared).
 _ROUNDS, _LOAD, _LEVELS = 8, 4, 9
 
 
-def digests(text: Column) -> Column:
-    """Distinct XXH64 digests of the pieces of a text, in order of size."""
-    pieces = F.filter(F.split(text, _CUT), lambda p: p != "")
-    return F.array_sort(F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p))))
+def _units(text: str) -> str:
+    """SQL of the units of a text."""
+    return f"flatten(transform(split({text}, '{_WORD}'), w -> if(length(w) > {_LONG}, split(w, ''), array(w))))"
+
+
+def passages(text: str) -> Column:
+    """The passages of a text (SQL), in order; together they are the text."""
+    window = ", ".join(f"get(u, i - {k})" for k in range(WINDOW, 0, -1))
+    ends = f"filter(sequence(0, size(u)), i -> i = 0 or i = size(u) or pmod(xxhash64({window}), {PASSAGE}) = 0)"
+    # A run without such a spot is cut by count from its start: what stands before an edit is still cut alike.
+    part = f"transform(sequence(p[k], p[k + 1] - 1, {MOST}), i -> array_join(slice(u, i + 1, least({MOST}, p[k + 1] - i)), ''))"
+    cut = f"transform(array({ends}), p -> flatten(transform(sequence(0, size(p) - 2), k -> {part})))[0]"
+    return F.expr(f"if({text} = '', cast(array() as array<string>), transform(array({_units(text)}), u -> {cut})[0])")
+
+
+def digests(text: str) -> Column:
+    """Distinct XXH64 digests of the passages of a text (a column), in order of size."""
+    return F.array_sort(F.array_distinct(F.transform(passages(text), lambda p: F.xxhash64(p))))
 
 
 def _held(keys: str) -> str:
@@ -144,7 +162,7 @@ def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     rows = with_next_text(docs, id_col=id_col, text_col=text_col)
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
-    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), F.array(digests(F.col("text")), digests(edited), digests(F.col("next_text"))).alias("_d"))
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.explode(F.array("_d")).alias("_d"))
+    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.explode(F.array(F.struct("text", edited.alias("edited"), "next_text"))).alias("_t"))
+    rows = rows.select("doc_id", "n_chars", F.sha2("_t.edited", 256).alias("edited_sha256"), F.explode(F.array(F.array(*[digests(f"_t.{c}") for c in ("text", "edited", "next_text")]))).alias("_d"))
     rows = rows.select("doc_id", "n_chars", "edited_sha256", F.col("_d")[0].alias("own"), F.col("_d")[1].alias("changed"), F.col("_d")[2].alias("other"))
     return rows.select("doc_id", "n_chars", "edited_sha256", sketch_text("own").alias("fingerprint"), sketch_text("changed").alias("edited_fingerprint"), likeness("own", "changed").alias("near_edited"), likeness("own", "other").alias("near_next"))

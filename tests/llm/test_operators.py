@@ -119,6 +119,22 @@ def test_fingerprints_of_versions(spark, docs):
         assert 0 <= found[doc_id]["near_edited"] <= 1
 
 
+def test_passages_follow_the_content_of_any_script(spark):
+    rng = random.Random(6)
+    run = lambda letters, n: "".join(rng.choices(letters, k=n))
+    words = lambda letters: " ".join(run(letters, rng.randint(2, 9)) for _ in range(300))
+    cjk, thai = "".join(map(chr, range(0x4E00, 0x4F00))), "".join(map(chr, range(0xE01, 0xE2F)))
+    texts = [words("abcdefghij"), words("абвгдежзик"), run(cjk, 1500), run(thai, 1500), run("0123456789abcdef", 3000), run("\U0001f600\U0001f601\U0001f602\U0001f603", 800)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in doc_fingerprint.fingerprint_documents(rows).collect()}
+    likeness = {i: (round(r["near_edited"], 2), round(r["near_next"], 2)) for i, r in found.items()}
+    assert all(edited > 0.05 and other < 0.05 for edited, other in likeness.values()), str(likeness)
+    moved = rows.select("text", F.concat(F.lit("one more "), "text").alias("later"))
+    own, later = doc_fingerprint.digests("text"), doc_fingerprint.digests("later")
+    moved = moved.select("text", doc_fingerprint.passages("text").alias("cut"), F.size(own).alias("n"), F.size(F.array_intersect(own, later)).alias("kept"))
+    assert all("".join(r["cut"]) == r["text"] and r["kept"] >= r["n"] - 2 for r in moved.collect())
+
+
 def test_peeling_recovers_the_difference(spark):
     rng = random.Random(4)
     rows = []
