@@ -23,7 +23,7 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlight.llm.cluster import materialize
@@ -52,15 +52,17 @@ def simhash(text: str | None) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a long). No shuffle."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: tuple[Column, ...] = ()) -> DataFrame:
+    """doc_id, fp (the fingerprint's bits as a long), and the columns ``extra``. No shuffle."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *extra)
+    names = ["doc_id", "fp", *rows.columns[2:]]
 
     def run(batches):
         for batch in batches:
             found = np.array([simhash(t) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, ", ".join(["doc_id long", "fp long", *[f"{n} {t}" for n, t in rows.dtypes[2:]]]))
 
 
 def pivot_values(n: int = PIVOTS) -> np.ndarray:
@@ -157,12 +159,17 @@ def component_labels(edges: DataFrame, name: str = "components") -> DataFrame:
             return labels.withColumnRenamed("u", "vertex")
 
 
+def _classes(own: DataFrame, max_block: int = 1024) -> DataFrame:
+    """fp, rep (smallest id), label (of its component), one row per distinct fingerprint of ``own`` (doc_id, fp)."""
+    distinct = own.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    labels = component_labels(links(distinct.select("fp"), max_block=max_block), "simhash").withColumnRenamed("vertex", "fp")
+    return materialize(distinct.join(labels, "fp", "left").select("fp", "rep", F.coalesce("label", "fp").alias("label")), "simhash-classes")
+
+
 def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_block: int = 1024) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest id reachable), one row per row of ``docs``."""
     own = materialize(fingerprints(docs, id_col, text_col), "simhash")
-    distinct = own.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    labels = component_labels(links(distinct.select("fp"), max_block=max_block), "simhash").withColumnRenamed("vertex", "fp")
-    classes = materialize(distinct.join(labels, "fp", "left").select("fp", "rep", F.coalesce("label", "fp").alias("label")), "simhash-classes")
+    classes = _classes(own, max_block)
     linked = classes.filter("fp != label").select("label").distinct()
     least = classes.join(linked, "label").groupBy("label").agg(F.min("rep").alias("least"))
     known = classes.join(least, "label", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
@@ -170,8 +177,15 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
 
 
 def keep_one_per_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names their group; of rows that share an id, one."""
-    groups = near_duplicate_groups(docs, id_col=id_col, text_col=text_col)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    rows = docs.join(kept.select(F.col("doc_id").alias("_kept")), F.col(id_col).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    return rows.dropDuplicates([id_col])
+    """One row of each group of ``docs``: that of the smallest id (null last), then of the smallest hash of its text.
+
+    A row is known by its id and its text's hash, so rows of other groups that share its id, or have none, stay.
+    """
+    names = ["_id", "_hash", "_none"]
+    key = [F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.col(text_col)).alias("_hash"), F.col(text_col).isNull().alias("_none")]
+    own = materialize(fingerprints(docs, id_col, text_col, extra=tuple(key[1:])), "simhash")
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("_id"), "_hash", "_none")
+    kept = own.join(_classes(own).select("fp", "label"), "fp").groupBy("label").agg(F.min(order).alias("least")).select(*[F.col(f"least.{n}").alias(f"_kept{n}") for n in names])
+    same = [k.eqNullSafe(F.col(f"_kept{n}")) for k, n in zip(key, names, strict=True)]
+    rows = docs.join(kept, same[0] & same[1] & same[2], "left_semi")
+    return rows.withColumns(dict(zip(names, key, strict=True))).dropDuplicates(names).drop(*names)

@@ -254,6 +254,26 @@ def test_simhash_groups_equal_brute_force(spark, docs, edges, max_block):
     assert simhash_dedup.keep_one_per_group(both).count() == len(set(least.values()))
 
 
+def test_each_group_keeps_a_row_whatever_its_ids(spark):
+    words = lambda k: " ".join(f"{w}{k}" for w in "one two three four five six seven eight nine ten".split())
+    texts = [(5, words(1)), (3, words(2)), (5, words(2)), (None, words(3)), (None, words(4)), (None, words(5)), (7, words(5)), (8, words(6)), (8, words(7)), (8, words(7)), (9, words(8)), (9, words(8)), (6, None), (None, "")]
+    rows = spark.createDataFrame([(i, t, 1) for i, t in texts], "doc_id long, text string, n int")
+    kept = simhash_dedup.keep_one_per_group(rows)
+    wanted = [(5, words(1)), (3, words(2)), (None, words(3)), (None, words(4)), (7, words(5)), (8, words(6)), (8, words(7)), (9, words(8)), (6, None)]
+    assert kept.columns == rows.columns and sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(wanted, key=str)
+
+
+def test_a_toxic_text_takes_no_other_row_along(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    of = lambda toxic: [r["text"] for r in docs.join(labels.filter(F.col("toxic") == toxic), "doc_id").filter("length(text) > 200").orderBy("doc_id").limit(3).collect()]
+    bad, good = of(1), of(0)
+    more = [(None, bad[0]), (None, good[0]), (None, good[1]), (-1, bad[1]), (-1, good[1]), (-1, good[2])]
+    kept = toxicity.drop_toxic(docs.unionByName(spark.createDataFrame(more, "doc_id long, text string")), labels)
+    found = [(r["doc_id"], r["text"]) for r in kept.filter("doc_id is null or doc_id < 0").collect()]
+    assert sorted(found, key=str) == sorted([m for m in more if m[1] in good], key=str)
+
+
 def test_pivots_discard_no_link():
     rng = np.random.default_rng(2)
     fps = rng.integers(0, 1 << 64, 300, np.uint64)
