@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -100,6 +101,36 @@ def test_secrets_are_found_and_others_are_not(spark):
     assert secret_scan.train(secret_scan.labelled_findings(spark, 10).filter("label = 1")).trees == []
 
 
+def _long_secrets():
+    rng = random.Random(7)
+    pick = lambda n: "".join(rng.choices("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789", k=n))
+    jwt = f"eyJ{pick(33)}.{pick(300)}.{pick(43)}"
+    return [s for n in (201, 401, 5000) for v in [pick(n)] for s in (('token = "', v, '" end'), ("the secret ", v, " end"))] + [("token=", jwt, " end"), ("bearer ", jwt, " end")]
+
+
+def test_long_secrets_are_masked_to_their_end(spark):
+    rows = _long_secrets()
+    forest = secret_scan.train(secret_scan.labelled_findings(spark))
+    found = secret_scan.scan(spark.createDataFrame([(i, "".join(r)) for i, r in enumerate(rows)], "doc_id long, text string"), forest).orderBy("doc_id").collect()
+    assert [r["redacted"] for r in found] == [before + secret_scan.MASK + after for before, _, after in rows]
+
+
+def test_quoted_and_aligned_names_propose_their_values(spark):
+    password = "hunter2!xyzabc"
+    rows = [('{"password": "', '"}'), ("{'api_key' : '", "'}"), ('"secret":"', '"'), ("password            =   ", ""), (f"{'service_' * 12}password = ", " end"), ("data:\n  password: ", "\n"), ("  --password=", " x"), ("password = ", "")]
+    assert all((len(a), len(a) + len(password)) in [c[:2] for c in secret_scan.candidates(a + password + b)] for a, b in rows)
+    forest = secret_scan.train(secret_scan.labelled_findings(spark))
+    found = secret_scan.scan(spark.createDataFrame([(i, a + password + b) for i, (a, b) in enumerate(rows)], "doc_id long, text string"), forest).orderBy("doc_id").collect()
+    assert [password in r["redacted"] for r in found] == [False] * len(rows)
+
+
+def test_candidates_take_linear_time():
+    for text in ("a-" * 100_000, "x:" * 100_000, "a" + " " * 200_000, "1a=bcdefgh " * 20_000, "a1" * 200_000):
+        start = time.time()
+        secret_scan.candidates(text)
+        assert time.time() - start < 10
+
+
 def test_forest_holds_out(spark):
     findings = secret_scan.labelled_findings(spark, 1500, seed=8)
     forest = secret_scan.train(secret_scan.labelled_findings(spark, 1500, seed=9))
