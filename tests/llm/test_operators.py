@@ -50,6 +50,11 @@ def test_toxicity_holds_out(spark):
     assert all(0 <= r["score"] <= 1 and (r["score"] >= 0.7) == (r["predicted"] == 1) for r in found)
 
 
+def test_toxicity_reads_six_thousand_texts_a_class(spark):
+    rows = spark.range(6000).select(F.col("id").alias("key"), F.lit("a").alias("text"), F.lit(0).alias("label"))
+    assert toxicity._sample(rows, toxicity.TRAIN_DOCUMENTS).count() == 6000
+
+
 def test_toxicity_edges(spark, edges):
     model = toxicity.train(edges.withColumn("toxic", F.lit(0)))
     assert {r["score"] for r in toxicity.score(edges, model).collect()} == {0.0}
