@@ -189,7 +189,7 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, *, id_col: str = "d
             nonlocal doc_count
             for batch in batches:
                 ids = batch.column(0).to_pylist()
-                for i, found in encode_documents(encoder, batch.column(1).to_pylist(), end_id):
+                for i, found in encode_documents(encoder, batch.column(1), end_id):
                     doc_count += 1
                     yield ids[i], found
 
