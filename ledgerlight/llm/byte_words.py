@@ -7,9 +7,13 @@ scores each distinct word once and adds up rows of a table.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Callable
+from itertools import groupby
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,11 +21,24 @@ from ledgerlight.llm.subword import chunks_of_text
 
 _PIECE = 64
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _marks() -> str:
+    """Combining marks, as ranges of a character class: they stand inside words of many scripts."""
+    found = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == "M"]
+    runs = [[c for _, c in run] for _, run in groupby(enumerate(found), lambda x: x[1] - x[0])]
+    return "".join(f"{chr(r[0])}-{chr(r[-1])}" for r in runs)
+
+
+_MARK = re.compile(f"[{_marks()}]")
 _LETTERS = re.compile(r"[^\W\d_]+")
+_MARKED_LETTERS = re.compile(rf"[^\W\d_]+(?:{_MARK.pattern}+[^\W\d_]*)*")
 
 
 def words_of(text: str) -> list[str]:
-    return _LETTERS.findall(text.lower())
+    """Runs of letters in lower case; combining marks belong to the letters before them."""
+    text = text.lower()
+    return (_LETTERS if text.isascii() or not _MARK.search(text) else _MARKED_LETTERS).findall(text)
 
 
 def grams(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,10 +90,16 @@ class WordTable:
         return [np.fromiter(map(table.__getitem__, words), np.int64, len(words)) for words in texts]
 
 
-def rows_of_texts(table: WordTable, texts: list[str | None]):
-    """Yields the row numbers of each text's words, whole texts in bounded chunks."""
-    for a, b in chunks_of_text(texts):
-        yield from table.rows([words_of(t or "") for t in texts[a:b]])
+def words_of_texts(texts: pa.Array):
+    """Yields lists of the words of each text, whole texts in bounded chunks; a null text has none."""
+    for a, b in chunks_of_text(texts, 1 << 20):
+        yield [words_of(t or "") for t in texts.slice(a, b - a).to_pylist()]
+
+
+def rows_of_texts(table: WordTable, texts: pa.Array):
+    """Yields the row numbers of each text's words."""
+    for words in words_of_texts(texts):
+        yield from table.rows(words)
 
 
 def held_out(of: Column, folds: int, fold: int) -> Column:

@@ -21,10 +21,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlight.llm.byte_words import WordTable, grams, key_of, rows_of_texts, words_of
+from ledgerlight.llm.cluster import shipped
 
 ORDER = 4
 #: Labelled documents that each language's tree is fitted on, at most (those of the smallest hash).
@@ -135,13 +137,13 @@ def train(labelled: DataFrame, *, order: int = ORDER, max_documents: int = TRAIN
 def predict(docs: DataFrame, trees: ContextTrees, *, id_col: str = "doc_id", text_col: str = "text", max_words: int = 400_000) -> DataFrame:
     """doc_id, lang_pred, score (its share among the languages, by code length per word), one row per row of ``docs``. No shuffle."""
     spark = docs.sparkSession
-    frozen = spark.sparkContext.broadcast(trees)
+    frozen = shipped(spark, trees)
 
     def run(batches):
-        model = frozen.value
+        model = frozen()
         table = WordTable(model.code_lengths, len(model.langs), max_words)
         for batch in batches:
-            texts = [t if t and any(map(str.isalpha, t)) else "" for t in batch.column(1).to_pylist()]
+            texts = pc.if_else(pc.match_substring_regex(pc.fill_null(batch.column(1), ""), r"\pL"), batch.column(1), "")
             lang, score = [], []
             for rows in rows_of_texts(table, texts):
                 if not len(rows) or not model.langs:
