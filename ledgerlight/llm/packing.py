@@ -4,7 +4,8 @@ The work is split by size. Tasks encode texts and keep one slim row per piece.
 The driver sees only the histogram of piece lengths (at most ``capacity`` rows)
 and plans on it: a configuration linear program, solved by multiplicative
 weights, whose columns a knapsack dynamic program prices, then rounded down; what
-rounding leaves is filled best-fit, longest first. The plan is a list of runs
+rounding leaves is filled best-fit, longest first. It never takes more sequences
+than best-fit alone. The plan is a list of runs
 "this configuration, k times". Pieces are then numbered within their length,
 over salted groups, and each number looks up its place in the plan.
 
@@ -37,7 +38,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 1024, en
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             rows = []
-            for i, ids in encode_documents(encoder, batch.column(1).to_pylist(), end_id):
+            for i, ids in encode_documents(encoder, batch.column(1), end_id):
                 raw, n = ids.astype("<u4").tobytes(), len(ids)
                 ends = range((n - 1) % capacity + 1, n + 1, capacity)
                 lo = 0
@@ -52,14 +53,14 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 1024, en
 
 
 def price(lengths: np.ndarray, values: np.ndarray, capacity: int) -> np.ndarray:
-    """Unbounded knapsack: how often each length stands in the most valuable configuration."""
+    """Unbounded knapsack: how often each length stands in the most valuable configuration; of equal ones that of longer pieces."""
     best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     fit = np.searchsorted(lengths, np.arange(capacity + 1), "right")
     for room in range(1, capacity + 1):
         best[room], choice[room] = best[room - 1], -1
         if k := fit[room]:
             gains = best[room - lengths[:k]] + values[:k]
-            at = int(np.argmax(gains))
+            at = k - 1 - int(np.argmax(gains[::-1]))
             if gains[at] > best[room] + 1e-12:
                 best[room], choice[room] = gains[at], at
     times, room = np.zeros(len(lengths), np.int64), capacity
@@ -72,64 +73,79 @@ def price(lengths: np.ndarray, values: np.ndarray, capacity: int) -> np.ndarray:
     return times
 
 
-def solve_configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 300, rate: float = 0.4) -> list[tuple[np.ndarray, float]]:
-    """Fractional solution of the covering program: (configuration, times).
+def fullest(lengths: np.ndarray, values: np.ndarray, left: np.ndarray, capacity: int) -> np.ndarray:
+    """The configuration that pricing finds among the pieces that are left; what a scarce length leaves open is priced again."""
+    times, room = np.zeros(len(lengths), np.int64), capacity
+    while len(some := np.flatnonzero((left - times >= 1) & (lengths <= room))):
+        more = np.minimum(price(lengths[some], values[some], room), (left - times)[some]).astype(np.int64)
+        times[some] += more
+        room -= int(more @ lengths[some])
+    return times
+
+
+def solve_configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 300, rate: float = 1.0, full: float = 0.99) -> list[tuple[np.ndarray, float]]:
+    """Solution of the covering program: (configuration, times), no length covered more than once.
 
-    Each round prices the best configuration under the current weights, takes it
-    until its scarcest length is covered once, and lowers the weights of what it
-    covers by that share. The sum is scaled to cover the tokens once.
+    Each round prices the best configuration of what is still to cover under the
+    current weights and takes it for half of what its scarcest length has left (for
+    one sequence at least); the weights of what it covers fall by the share covered.
+    Longer pieces weigh more at first: they are the hard ones. Once no configuration
+    is ``full`` any more, the program has nothing left to choose.
     """
-    weights = lengths / capacity
+    weights = lengths / capacity * (1 + lengths / capacity)
+    left = counts.astype(float)
     taken: dict[bytes, float] = {}
     for _ in range(rounds):
-        times = np.minimum(price(lengths, weights, capacity), counts)
+        times = fullest(lengths, weights, left, capacity)
         held = times > 0
-        if not held.any():
+        if times @ lengths < full * capacity:
             break
-        step = float((counts[held] / times[held]).min())
+        most = float((left[held] / times[held]).min())
+        step = max(most / 2, min(most, 1.0))
         taken[times.tobytes()] = taken.get(times.tobytes(), 0.0) + step
+        left -= step * times
         weights[held] *= np.exp(-rate * step * times[held] / counts[held])
-    found = [(np.frombuffer(k, np.int64), x) for k, x in taken.items()]
-    covered = sum(x * float(c @ lengths) for c, x in found)
-    scale = float(counts @ lengths) / covered if covered else 0.0
-    return [(c, x * scale) for c, x in found]
+    return [(np.frombuffer(k, np.int64), x) for k, x in taken.items()]
+
+
+def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[int, np.ndarray]]:
+    """Best-fit decreasing of pieces by length: (k, configuration) until nothing is left."""
+    left, runs = left.copy(), []
+    while left.any():
+        times, room = np.zeros(len(lengths), np.int64), capacity
+        while len(fits := np.flatnonzero((left > times) & (lengths <= room))):
+            times[fits[-1]] += 1
+            room -= int(lengths[fits[-1]])
+        held = times > 0
+        k = int((left[held] // times[held]).min())
+        runs.append((k, times))
+        left -= k * times
+    return runs
 
 
 def plan_packing(histogram: Mapping[int, int], capacity: int, rounds: int = 300) -> list[tuple[int, list[int]]]:
-    """Runs (k, lengths): k sequences, each holding these lengths in this order."""
+    """Runs (k, lengths): k sequences, each holding these lengths in this order.
+
+    The program's solution is rounded down, fullest configurations first, and what that
+    leaves is packed best-fit. Should that take more sequences than packing everything
+    best-fit (small tables, on which rounding costs most), the latter is the plan.
+    """
     runs: list[tuple[int, list[int]]] = []
     if n := histogram.get(capacity, 0):
         runs.append((n, [capacity]))
     lengths = np.array(sorted(x for x in histogram if x < capacity and histogram[x]), np.int64)
-    left = np.array([histogram[int(x)] for x in lengths], np.int64)
-
-    def take(times: np.ndarray, k: int) -> None:
-        runs.append((k, [int(x) for x, n in zip(lengths[::-1], times[::-1], strict=True) for _ in range(n)]))
-        left[:] -= k * times
-
-    if len(lengths):
-        fullest = sorted(solve_configurations(lengths, left.copy(), capacity, rounds), key=lambda c: (-int(c[0] @ lengths), -c[1]))
-        for times, x in fullest:
-            held = times > 0
-            if k := int(min(x, (left[held] // times[held]).min())):
-                take(times, k)
-    while left.any():
-        times, room = np.zeros(len(lengths), np.int64), capacity
-        while True:
-            fits = np.flatnonzero((left > times) & (lengths <= room))
-            if not len(fits):
-                break
-            at = fits[-1]
-            n = min(int(left[at] - times[at]), room // int(lengths[at]))
-            if times.any():  # one at a time, so that each takes the best fit of what room is left
-                n = 1
-            else:
-                n = max(1, n)
-            times[at] += n
-            room -= n * int(lengths[at])
+    counts = np.array([histogram[int(x)] for x in lengths], np.int64)
+    if not len(lengths):
+        return runs
+    left, rounded = counts.copy(), []
+    for times, x in sorted(solve_configurations(lengths, counts, capacity, rounds), key=lambda c: (-int(c[0] @ lengths), -c[1])):
         held = times > 0
-        take(times, int((left[held] // times[held]).min()))
-    return runs
+        if k := int(min(x + 1e-9, (left[held] // times[held]).min())):
+            rounded.append((k, times))
+            left -= k * times
+    plans = [rounded + best_fit(lengths, left, capacity), best_fit(lengths, counts, capacity)]
+    plan = min(plans, key=lambda p: sum(k for k, _ in p))
+    return runs + [(k, [int(x) for x, n in zip(lengths[::-1], times[::-1], strict=True) for _ in range(n)]) for k, times in plan]
 
 
 def _places(runs: list[tuple[int, list[int]]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -160,7 +176,7 @@ def number_within(df: DataFrame, key: str, order: list[str], salts: int) -> Data
     offsets = counts.select(key, "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     own = Window.partitionBy(key, "_salt").orderBy(*order)
     return (
-        salted.join(F.broadcast(offsets), [key, "_salt"])
+        salted.join(offsets.hint("merge"), [key, "_salt"])  # the window needs the rows by these keys anyway
         .withColumn("number", F.col("_before") + F.row_number().over(own) - 1)
         .drop("_salt", "_n", "_before")
     )
