@@ -1,18 +1,22 @@
 """Chat records of many layouts to one reversible text format, with SQL functions only.
 
-A record is a JSON object. The sorted paths of its non-null nested fields are
-hashed; that schema fingerprint selects a declarative mapping (``MAPPINGS``) of
+A record is a JSON object. The paths of all its nested fields, whatever their names,
+are hashed; that schema fingerprint selects a declarative mapping (``MAPPINGS``) of
 fields to roles, which turns prompt, instruction and message layouts alike into
 canonical turns of (role, text). Turns become marked text; control strings inside
-texts are escaped, so that reading the text back gives exactly the turns.
+texts are escaped, so that reading the text back gives exactly the turns. Roles stay
+as given, but for the names that a layout has of its own.
 
-Null texts and null roles are empty strings. A record of an unknown layout keeps
-its fingerprint and has null turns and text. A conversation without turns gives
-an empty array and an empty text.
+Null texts and null roles are empty strings. A record of an unknown layout, also one
+with a field beyond a known layout's, keeps its fingerprint and has null turns and
+text. A record that is no JSON object has no fingerprint. A conversation without turns
+gives an empty array and an empty text.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,14 +27,13 @@ PLAIN_FIELDS = ("system", "prompt", "completion", "response", "instruction", "in
 #: Layouts: a message list, or plain fields with the role each one speaks; fields marked optional may be absent.
 MAPPINGS = {
     "messages": {"list": "messages"},
-    "conversations": {"list": "conversations"},
-    "turns": {"list": "turns"},
+    "conversations": {"list": "conversations", "roles": {"human": "user", "gpt": "assistant"}},
+    "turns": {"list": "turns", "roles": {"human": "user", "bot": "assistant", "model": "assistant"}},
     "prompt-completion": {"fields": (("system", "system", True), ("prompt", "user", False), ("completion", "assistant", False))},
     "prompt-response": {"fields": (("system", "system", True), ("prompt", "user", False), ("response", "assistant", False))},
     "instruction": {"fields": (("system", "system", True), ("instruction", "user", False), ("input", "user", True), ("output", "assistant", False))},
     "question-answer": {"fields": (("system", "system", True), ("question", "user", False), ("answer", "assistant", False))},
 }
-ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 #: role: (what opens its turn, what closes it). Other roles name themselves.
 MARKS = {"user": ("[INST] ", " [/INST]"), "assistant": ("[OUT] ", "</s>"), "system": ("<<SYS>>", "<</SYS>>")}
@@ -42,58 +45,57 @@ _TURN = _OPEN + r"(?s:(.*?))( \[/INST\]|</s>|<</SYS>>|\[/ROLE\])"
 _RECORD = ", ".join([f"{name} array<struct<{r}: string, {t}: string>>" for name, (r, t) in MESSAGE_LISTS.items()] + [f"{f} string" for f in PLAIN_FIELDS])
 
 
-def _has(part: str):
-    return lambda m: m[part].isNotNull()
-
+def _turn(role: str, text: str, names: dict[str, str]):
+    named = F.create_map(*[F.lit(x) for pair in names.items() for x in pair]) if names else None
+    said = (lambda m: F.coalesce(F.element_at(named, m[role]), m[role])) if names else (lambda m: m[role])
+    return lambda m: F.struct(F.coalesce(said(m), F.lit("")).alias("role"), F.coalesce(m[text], F.lit("")).alias("text"))
 
-def _turn(role: str, text: str, names: Column):
-    return lambda m: F.struct(F.coalesce(F.element_at(names, m[role]), m[role], F.lit("")).alias("role"), F.coalesce(m[text], F.lit("")).alias("text"))
 
-
-def _paths(record: Column) -> Column:
-    """Sorted paths of the nested fields that are there."""
-    found = [F.when(record[f].isNotNull(), F.lit(f)) for f in PLAIN_FIELDS]
-    for name, parts in MESSAGE_LISTS.items():
-        found.append(F.when(record[name].isNotNull(), F.lit(f"{name}[]")))
-        found += [F.when(F.exists(record[name], _has(part)), F.lit(f"{name}[].{part}")) for part in parts]
-    return F.array_sort(F.array_compact(F.array(*found)))
+def _paths(json: Column) -> Column:
+    """The nested fields of a JSON text: names in order, braces around those of an object, brackets around an array's; null if it is no object."""
+    shape = F.schema_of_variant(F.try_parse_json(json))
+    shape = F.regexp_replace(F.regexp_replace(shape, "OBJECT<", "{"), "ARRAY<", "[")
+    # What is left between names and braces are types of values.
+    shape = F.regexp_replace(shape, r": (?:[A-Z_]+(?:\([0-9, ]+\))?)(?=[,>])", "")
+    return F.when(shape.startswith("{"), shape)
 
 
 def _hash(paths: Column) -> Column:
-    return F.lower(F.hex(F.xxhash64(F.concat_ws("\n", paths))))
+    return F.lower(F.hex(F.xxhash64(paths)))
 
 
-def _layouts() -> list[tuple[list[str], str]]:
-    """Every set of paths that a mapping accepts."""
+def _layouts() -> list[tuple[str, str]]:
+    """The paths of every set of fields that a mapping accepts."""
     found = []
     for name, about in MAPPINGS.items():
         if "list" in about:
-            at, (role, text) = about["list"], MESSAGE_LISTS[about["list"]]
-            found += [([f"{at}[]", *(f"{at}[].{p}" for p in parts)], name) for parts in ((role, text), (role,), (text,), ())]
+            at, parts = about["list"], sorted(MESSAGE_LISTS[about["list"]])
+            found += [(f"{{{at}: [{{{', '.join(some)}>>>", name) for some in (parts, parts[:1], parts[1:])]
+            found += [(f"{{{at}: [{{>>>", name), (f"{{{at}: [VOID>>", name)]
         else:
             sets: list[list[str]] = [[]]
             for field, _, optional in about["fields"]:
                 sets = [s + [field] for s in sets] + (sets if optional else [])
-            found += [(s, name) for s in sets]
+            found += [(f"{{{', '.join(sorted(s))}>", name) for s in sets]
     return found
 
 
-def schema_fingerprint(record: Column) -> Column:
-    """Hash of the record's nested field paths, 16 hex digits at most."""
-    return _hash(_paths(record))
+def schema_fingerprint(json: Column) -> Column:
+    """Hash of the paths of a JSON text's nested fields, 16 hex digits at most."""
+    paths = _paths(json)
+    return F.when(paths.isNotNull(), _hash(paths))
 
 
 def canonical_turns(records: DataFrame, json_col: str = "record") -> DataFrame:
     """Adds schema_fingerprint, mapping (null: unknown) and turns: array of (role, text)."""
-    by_hash = F.create_map(*[x for paths, name in _layouts() for x in (_hash(F.array(*[F.lit(p) for p in sorted(paths)]) if paths else F.array().cast("array<string>")), F.lit(name))])
-    parsed = records.withColumn("_r", F.from_json(json_col, _RECORD)).withColumn("schema_fingerprint", schema_fingerprint(F.col("_r")))
+    by_hash = F.create_map(*[x for paths, name in _layouts() for x in (_hash(F.lit(paths)), F.lit(name))])
+    parsed = records.withColumn("_r", F.from_json(json_col, _RECORD)).withColumn("schema_fingerprint", schema_fingerprint(F.col(json_col)))
     parsed = parsed.withColumn("mapping", F.element_at(by_hash, F.col("schema_fingerprint")))
-    names = F.create_map(*[F.lit(x) for pair in ROLE_NAMES.items() for x in pair])
     turns = F.lit(None).cast("array<struct<role: string, text: string>>")
     for name, about in MAPPINGS.items():
         if "list" in about:
             role, text = MESSAGE_LISTS[about["list"]]
-            own = F.transform(F.col("_r")[about["list"]], _turn(role, text, names))
+            own = F.transform(F.col("_r")[about["list"]], _turn(role, text, about.get("roles", {})))
         else:
             own = F.array_compact(F.array(*[F.when(F.col("_r")[f].isNotNull(), F.struct(F.lit(r).alias("role"), F.col("_r")[f].alias("text"))) for f, r, _ in about["fields"]]))
         turns = F.when(F.col("mapping") == name, own).otherwise(turns)
@@ -137,13 +139,29 @@ def read_turns(formatted: Column) -> Column:
 
 
 def format_chats(records: DataFrame, json_col: str = "record") -> DataFrame:
-    """Adds schema_fingerprint, mapping, turns and formatted to records in JSON."""
-    return canonical_turns(records, json_col).withColumn("formatted", format_turns(F.col("turns")))
+    """Adds schema_fingerprint, mapping, turns, formatted and loss_spans (the loss mask) to records in JSON."""
+    return canonical_turns(records, json_col).withColumns({"formatted": format_turns(F.col("turns")), "loss_spans": loss_spans(F.col("turns"))})
+
+
+def loss_spans(turns: Column) -> Column:
+    """The loss mask over the formatted text of turns: (start, end) in code points, from 0, of each assistant text."""
+    opens, closes = (F.lit(len(x)) for x in MARKS["assistant"])
+
+    def add(held: Column, t: Column) -> Column:
+        said = F.length(format_turns(F.array(t)))
+        span = F.struct((held["at"] + opens).alias("start"), (held["at"] + said - closes).alias("end"))
+        spans = F.when(t["role"] == "assistant", F.concat(held["spans"], F.array(span))).otherwise(held["spans"])
+        return F.struct((held["at"] + said).alias("at"), spans.alias("spans"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, end: int>>").alias("spans"))
+    return F.aggregate(turns, start, add, lambda held: held["spans"])
 
 
-def loss_text(turns: Column) -> Column:
-    """What a loss mask over the assistant's turns covers, unescaped."""
-    return F.array_join(F.transform(F.filter(turns, lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+def loss_text(formatted: Column) -> Column:
+    """All text under the loss mask of a formatted text, unescaped: each assistant text once, in order."""
+    opens, closes = (re.escape(x) for x in MARKS["assistant"])
+    found = F.regexp_extract_all(formatted, F.lit(rf"{opens}(?s:(.*?)){closes}"), F.lit(1))
+    return F.array_join(F.transform(found, unescape), "")
 
 
 def records_of_turns(rows: DataFrame) -> DataFrame:
