@@ -31,12 +31,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def words(text: Column) -> Column:
-    """Number of words: where a word starts after white space or at the start."""
-    blank = F.translate(text, "\t\n\x0b\x0c\r", "     ")
-    parts = F.size(F.split(blank, " +"))
-    edges = F.startswith(blank, F.lit(" ")).cast("int") + F.endswith(blank, F.lit(" ")).cast("int")
-    only = F.length(F.trim(blank)) == 0
-    return F.when(text.isNull() | only, F.lit(0)).otherwise(parts - edges).cast("long")
+    """Number of words; a null text has none."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def _log_factorial(n: str) -> str:
@@ -111,18 +107,38 @@ def measure(docs: DataFrame, *, seed: int = 42, id_col: str = "doc_id", text_col
     return docs.withColumns({"_source": F.col(source_col), "_size": words(F.col(text_col)), "_place": F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))})
 
 
+def _running(rows: DataFrame, key: str, order: Column, ties: list[str], value: Column) -> DataFrame:
+    """Adds ``sum``, the inclusive running sum of ``value`` within ``key`` in the order of a hash.
+
+    A key's rows are cut into 32 runs by the hash's top bits; each run is summed by
+    itself, on top of the runs before, so no key lies in one task.
+    """
+    dealt = rows.withColumn("_h", order).withColumn("_run", F.expr("shiftright(_h, 59)"))
+    runs = dealt.groupBy(key, "_run").agg(F.sum(value).alias("_own"))
+    before = Window.partitionBy(key).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(key, "_run", F.coalesce(F.sum("_own").over(before), F.lit(0)).alias("_before"))
+    own = Window.partitionBy(key, "_run").orderBy("_h", *ties).rowsBetween(Window.unboundedPreceding, 0)
+    return dealt.join(runs.hint("merge"), [key, "_run"]).withColumn("sum", F.col("_before") + F.sum(value).over(own)).drop("_h", "_run", "_before")
+
+
+def shards_for(total_words: int, words_per_shard: int = 1_000_000) -> int:
+    """The least power of two of shards that hold ``words_per_shard`` words at most on average."""
+    return 1 << max(0, math.ceil(math.log2(max(1, total_words) / words_per_shard)))
+
+
 def _block(bits: int) -> Column:
     return F.expr(f"cast(shiftrightunsigned(_place, {64 - bits}) as int)") if bits else F.lit(0)
 
 
-def plan_mix(measured: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3, shards: int = 64, rows_per_block: int = 2000, seed: int = 42) -> tuple[DataFrame, int]:
+def plan_mix(measured: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3, shards: int | None = None, rows_per_block: int = 2000, seed: int = 42) -> tuple[DataFrame, int]:
     """The table of block draws, and how many bits of the place name a block.
 
     Columns: _source, _block, source_size, target, draws: array of (copy, shard,
     first, last): the block is taken once for each, from the place ``first`` to
     ``last`` (null: no bound).
     """
-    n = measured.count()
+    n, total = measured.agg(F.count(F.lit(1)), F.sum("_size")).first()
+    shards = shards or shards_for(total or 0)
     bits = max(4, math.ceil(math.log2(max(n, 1) / rows_per_block))) if n > rows_per_block else 4
     placed = measured.select("_source", "_size", "_place", _block(bits).alias("_block"))
     blocks = materialize(placed.groupBy("_source", "_block").agg(F.sum("_size").alias("words")), "mix-blocks")
@@ -131,8 +147,7 @@ def plan_mix(measured: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_r
     sources = materialize(sources.withColumn("rest", F.when(F.col("full") >= max_repeat, F.lit(0.0)).otherwise(F.col("target") - F.col("full") * F.col("source_size"))), "mix-sources")
     rows = blocks.join(broadcast_if_small(sources, 100_000), blocks["_source"].eqNullSafe(sources["source"])).drop("source")
 
-    ordered = Window.partitionBy("source_no").orderBy(F.xxhash64(F.lit(seed), "source_no", "full", "_block"), "_block")
-    filled = rows.withColumn("sum", F.sum("words").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    filled = _running(rows, "source_no", F.xxhash64(F.lit(seed), "source_no", "full", "_block"), ["_block"], F.col("words"))
     filled = filled.withColumn("left", F.col("rest") - (F.col("sum") - F.col("words")))
     part = F.when(F.col("left") <= 0, "none").when(F.col("left") >= F.col("words"), "all").otherwise("cut")
     filled = materialize(filled.withColumn("part", part), "mix-order")
@@ -152,7 +167,12 @@ def plan_mix(measured: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_r
     out = placed.join(broadcast_if_small(spare, 100_000), placed["_source"].eqNullSafe(F.col("s")) & (placed["_block"] == F.col("b")))
     out = out.filter("_size > 0 and _size <= gap and (part = 'none' or last is null or _place > last)")
     classes = out.groupBy("source_no", F.floor(F.log2("_size")).alias("class"), F.pmod("_place", F.lit(8)).alias("turn")).agg(F.max(F.struct("_size", "_place", "_block", "full")).alias("e"), F.max("gap").alias("gap"))
-    choice = classes.groupBy("source_no").agg(F.max("gap").alias("gap"), F.reverse(F.array_sort(F.collect_list("e"))).alias("es"))
+    # Equal rows have one place and are taken together: a choice counts with all its copies.
+    chosen = materialize(classes.select("source_no", "gap", "e.*"), "mix-spare")
+    copies = out.select("source_no", "_block", "_place", "_size").join(broadcast_if_small(chosen.select("source_no", "_block", "_place"), 100_000), ["source_no", "_block", "_place"], "left_semi")
+    copies = copies.groupBy("source_no", "_block", "_place").agg(F.sum("_size").alias("_all"))
+    whole = chosen.join(copies, ["source_no", "_block", "_place"]).filter("_all <= gap").select("source_no", "gap", F.struct(F.col("_all").alias("_size"), "_place", "_block", "full").alias("e"))
+    choice = whole.groupBy("source_no").agg(F.max("gap").alias("gap"), F.reverse(F.array_sort(F.collect_list("e"))).alias("es"))
     picked = F.expr("aggregate(es, named_struct('left', gap, 'got', filter(es, x -> false)), (t, x) -> if(x._size <= t.left, named_struct('left', t.left - x._size, 'got', concat(t.got, array(x))), t), t -> t.got)")
     extra = choice.select("source_no", F.explode(picked).alias("e"))
     extra = extra.select("source_no", "e._block", F.col("e.full").alias("copy"), F.col("e._place").alias("first"), F.col("e._place").alias("last"))
@@ -161,8 +181,8 @@ def plan_mix(measured: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_r
     whole = (F.col("copy") < F.col("full")) | (F.col("part") == "all")
     drawn = filled.withColumn("copy", F.explode(copies)).withColumn("whole", whole).filter(F.col("whole") | ((F.col("part") == "cut") & F.col("last").isNotNull()))
     drawn = drawn.select("source_no", "_block", "copy", F.lit(None).cast("long").alias("first"), F.when(~F.col("whole"), F.col("last")).alias("last")).unionByName(extra)
-    place = Window.partitionBy("source_no").orderBy(F.xxhash64(F.lit(seed + 1), "source_no", "copy", "_block", "first"), "copy", "_block")
-    drawn = materialize(drawn.select("*", (F.row_number().over(place) - 1).cast("long").alias("no")), "mix-draws")
+    drawn = _running(drawn, "source_no", F.xxhash64(F.lit(seed + 1), "source_no", "copy", "_block", "first"), ["copy", "_block"], F.lit(1))
+    drawn = materialize(drawn.withColumn("no", F.col("sum") - 1).drop("sum"), "mix-draws")
     quotas = sources.join(drawn.groupBy("source_no").agg(F.count(F.lit(1)).alias("quota")), "source_no", "left").select("source_no", F.coalesce("quota", F.lit(0)).alias("quota"))
     ends = materialize(split_quotas(quotas, shards, seed), "mix-tree")
     dealt = drawn.join(broadcast_if_small(ends, 100_000), "source_no").withColumn("shard", F.expr("size(filter(ends, e -> e <= no))"))
@@ -180,11 +200,12 @@ def draw(measured: DataFrame, plan: DataFrame, bits: int) -> DataFrame:
     return joined.withColumn("draws", mine).drop("_s", "_pb", "_b", "_draws")
 
 
-def mix(docs: DataFrame, *, shards: int = 64, seed: int = 42, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, *, shards: int | None = None, seed: int = 42, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixed corpus: the rows of ``docs``, repeated as drawn, with shard and a local random order.
 
     ``shard`` and ``shard_order`` are added; write it with
-    ``.repartition("shard").sortWithinPartitions("shard", "shard_order")``.
+    ``.repartition("shard").sortWithinPartitions("shard", "shard_order")``. Unless
+    stated, the number of shards follows the input (``shards_for``).
     """
     measured = measure(docs.drop("shard", "shard_order"), seed=seed, id_col=id_col, text_col=text_col, source_col=source_col)
     slim = materialize(measured.select("_source", "_size", "_place"), "mix-measured")
@@ -194,9 +215,9 @@ def mix(docs: DataFrame, *, shards: int = 64, seed: int = 42, weights: tuple[int
     return drawn.select(*kept, F.col("_draw.shard").alias("shard"), F.xxhash64(F.lit(seed), "_place", "_draw.copy").alias("shard_order"))
 
 
-def mixed_words(docs: DataFrame, *, shards: int = 64, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """What the mix takes of each row: doc_id, size, source_size, target, taken."""
+def mixed_words(docs: DataFrame, *, shards: int | None = None, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """What the mix takes of each row: doc_id, size, source_size, target, taken, and the shards (sorted) that the tree deals its draws to."""
     measured = measure(docs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col).select(F.col(id_col).alias("doc_id"), "_source", "_size", "_place")
     measured = materialize(measured, "mix-measured")
     plan, bits = plan_mix(measured, shards=shards, seed=seed)
-    return draw(measured, plan, bits).select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.size("draws")).cast("long").alias("taken"))
+    return draw(measured, plan, bits).select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.size("draws")).cast("long").alias("taken"), F.array_sort(F.transform("draws", lambda d: d["shard"])).alias("shards"))
