@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,5 +23,28 @@ def ratio(a: Column, b: Column) -> Column:
     return (a.cast("decimal(20,8)") / F.nullif(b.cast("decimal(20,8)"), F.lit(0).cast("decimal(20,8)"))).cast("decimal(38,18)")
 
 
+def half_even_ratio(a: Column, b: Column) -> Column:
+    """a / b at scale 10, rounded half-even once from the exact quotient, for operands of (30,8); null if b is 0.
+
+    The quotient's digits come by long division, five at a time, so nothing is rounded on the way.
+    """
+    wide = "decimal(30,8)"
+    top, low = F.abs(a.cast(wide)), F.abs(F.nullif(b.cast(wide), F.lit(0).cast(wide)))
+    step = F.lit(100_000).cast("decimal(6,0)")
+
+    def digits(rest: Column) -> tuple[Column, Column]:
+        left = (rest % low).cast(wide)
+        return ((rest - left) / low).cast("decimal(20,0)"), left
+
+    whole, left = digits(top)
+    first, left = digits((left * step).cast("decimal(36,8)"))
+    second, left = digits((left * step).cast("decimal(36,8)"))
+    floor = (whole.cast("decimal(30,10)") + (first * step + second).cast("decimal(20,0)") * F.lit(Decimal("0.0000000001"))).cast("decimal(30,10)")
+    odd = (second % 2) == 1
+    up = (left * 2 > low) | ((left * 2 == low) & odd)
+    size = floor + F.when(up, F.lit(Decimal("0.0000000001"))).otherwise(F.lit(Decimal("0E-10")))
+    return F.when((a < 0) != (b < 0), -size).otherwise(size).cast("decimal(30,10)")
+
+
 def published(c: Column, precision: int = 20, scale: int = 10) -> Column:
     return F.bround(c, scale).cast(f"decimal({precision},{scale})")

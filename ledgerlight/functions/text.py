@@ -84,3 +84,37 @@ def money_words(c: Column) -> Column:
         scaled = F.format_string(f"%,.2f{letter}", F.bround(c / F.lit(10**power), 2).cast("double"))
         text = F.when(F.abs(c) >= 10**power, scaled).otherwise(text)
     return text
+
+
+def grouped_money(c: Column) -> Column:
+    """An amount with two decimals, half-even, and its thousands set apart by commas; exact for decimals of any size."""
+    plain = F.bround(F.abs(c), 2).cast("decimal(38,2)").cast("string")
+    whole = F.regexp_replace(F.regexp_extract(plain, r"^[0-9]+", 0), r"(?<=[0-9])(?=(?:[0-9]{3})+$)", ",")
+    return F.concat(F.when(c < 0, "-").otherwise(""), whole, F.regexp_extract(plain, r"\.[0-9]+$", 0))
+
+
+def short_money(c: Column, currency: str = "USD") -> Column:
+    """An amount with its currency, in trillions, billions or millions with two decimals, else in full."""
+    said = grouped_money(c)
+    for power, letter in ((6, "M"), (9, "B"), (12, "T")):
+        said = F.when(F.abs(c) >= 10**power, F.concat(grouped_money(c / F.lit(10**power)), F.lit(letter))).otherwise(said)
+    return F.concat(F.lit(f"{currency} "), said)
+
+
+def symbol(c: Column) -> Column:
+    """A requested symbol: stripped, in capitals; null where nothing is left."""
+    return F.upper(nonblank(c))
+
+
+def authority(url: Column) -> Column:
+    """Host and port of a URL, for display; null if there is none."""
+    return F.try_parse_url(url, F.lit("AUTHORITY"))
+
+
+def new_id() -> Column:
+    """A random id for a run or a response; nothing that has to repeat may depend on it."""
+    return F.expr("uuid()")
+
+
+def millis(ts: Column) -> Column:
+    return F.unix_millis(ts)

@@ -1,15 +1,26 @@
-"""Numeric claims in statements, and whether their sources bear them out."""
+"""Numeric claims in statements, and whether their sources bear them out.
+
+A claim is a struct of kind (date, percent, scaled, number, year), raw, value,
+precision (decimals written), scale (the word of scale) and day (of a date). Texts are read once.
+"""
 
 from __future__ import annotations
 
+import unicodedata
+from decimal import Decimal
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ledgerlight.functions.text import any_pattern
 
-# Words that relate quantities, words of scale, and topics that are no developments.
+# Words that relate quantities, words of scale, dashes, months, and topics that are no developments.
 RELATION_TERMS = ["above", "below", "higher", "lower", "larger", "smaller", "strong", "weak", "stronger", "weaker", "better", "worse", "outperformed", "underperformed"]
 SCALES = {"thousand": 3, "million": 6, "billion": 9, "trillion": 12}
+DASHES = "\u2212\u2010\u2011\u2013\u2014"
+MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 NOISE = [
     r"\brule\s+10b5-1\b",
     r"\b13f\b",
@@ -22,53 +33,100 @@ NOISE = [
     r"\binsider\b.{0,40}\b(sale|sold|purchase|bought)\b",
 ]
 
-_DATE = r"(?<![0-9])([0-9]{4}-[0-9]{2}-[0-9]{2})(?![0-9])"
-_NUMBER = r"(?i)(?<![A-Za-z0-9_.,-])([$€£]?[+-]?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?(?:\s?(?:thousand|million|billion|trillion)\b)?\s?%?)"
 
+# Days that a calendar has, so that only those are dates; the 29th of February in leap years only.
+_LEAP = r"(?:[0-9]{2}(?:0[48]|[2468][048]|[13579][26])|(?:0[48]|[2468][048]|[13579][26])00)-02-29"
+_DAY = r"(?:(?:0[13578]|1[02])-(?:0[1-9]|[12][0-9]|3[01])|(?:0[469]|11)-(?:0[1-9]|[12][0-9]|30)|02-(?:0[1-9]|1[0-9]|2[0-8]))"
+_DATE = rf"(?<![0-9])(?!0000)((?:[0-9]{{4}}-{_DAY}|{_LEAP}))(?![0-9])"
+_NUMBER = r"[+-]?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?"
+_CLAIM = rf"(?i)(?<![A-Za-z0-9_])([$€£]?\s*{_NUMBER}\s*(?:thousand|million|billion|trillion)?\s*(?:%|percent\b)?)"
+_MONTH = r"(?:January|Jan\.?|February|Feb\.?|March|Mar\.?|April|Apr\.?|May|June|Jun\.?|July|Jul\.?|August|Aug\.?|September|Sept?\.?|October|Oct\.?|November|Nov\.?|December|Dec\.?)"
+_NTH = r"([0-9]{1,2})(?:st|nd|rd|th)?"
 
-def dates_in(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(_DATE), F.lit(1))
+CLAIM = "struct<kind: string, raw: string, value: decimal(38,10), precision: int, scale: string, day: date>"
 
 
-def numbers_in(text: Column) -> Column:
-    """Numbers of a text without its dates, as written."""
-    return F.transform(F.regexp_extract_all(F.regexp_replace(text, _DATE, " "), F.lit(_NUMBER), F.lit(1)), lambda x: F.trim(x))
+@F.pandas_udf(StringType())
+def _compatible(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
-def claim(raw: Column) -> Column:
-    """kind, value, precision (decimals written) and scale (power of ten) of a number as written; small bare integers are no claims."""
-    digits = F.regexp_replace(F.regexp_extract(raw, r"[+-]?[0-9][0-9,]*(?:\.[0-9]+)?", 0), ",", "")
-    scale = F.lit(0)
-    for word, power in SCALES.items():
-        scale = F.when(F.lower(raw).contains(word), power).otherwise(scale)
+def normalized(text: Column) -> Column:
+    """Compatibility forms made plain (NFKC), dashes a hyphen, no-break spaces a space."""
+    return F.translate(_compatible(text), DASHES + "\u00a0\u202f", "-" * len(DASHES) + "  ")
+
+
+def _claim(raw: Column) -> Column:
+    """The claim that a number makes as written, or null: small bare integers make none."""
+    number = F.regexp_extract(raw, _NUMBER, 0)
+    digits = F.replace(number, F.lit(","), F.lit(""))
+    value = digits.try_cast("decimal(38,10)")
+    word = F.lower(F.regexp_extract(raw, r"(?i)(thousand|million|billion|trillion)", 1))
+    money = raw.rlike("^[$€£]")
+    year = ~number.contains(".") & value.between(1900, 2100)
+    kind = F.when(raw.rlike("(?i)(?:%|percent)$"), "percent").when(word != "", "scaled").when(number.contains(".") | money, "number").when(year, "year")
+    scale = F.when(kind == "scaled", word)
     decimals = F.length(F.regexp_extract(digits, r"\.([0-9]+)", 1))
-    value = digits.try_cast("decimal(28,8)")
-    year = digits.rlike(r"^(19|20)[0-9]{2}$|^2100$") & (digits == raw)
-    bare = digits.rlike(r"^[+-]?[0-9]+$") & (digits == raw)
-    kind = F.when(raw.contains("%"), "percent").when(scale > 0, "scaled").when(year, "year").when(~bare | raw.contains(","), "number")
-    return F.when(kind.isNotNull() & value.isNotNull(), F.struct(kind.alias("kind"), value.alias("value"), decimals.alias("precision"), scale.alias("scale")))
+    found = F.struct(kind.alias("kind"), raw.alias("raw"), value.alias("value"), decimals.alias("precision"), scale.alias("scale"), F.lit(None).cast("date").alias("day"))
+    return F.when(kind.isNotNull() & value.isNotNull(), found)
+
+
+def _dated(raw: Column) -> Column:
+    none = F.lit(None)
+    return F.struct(F.lit("date").alias("kind"), raw.alias("raw"), none.cast("decimal(38,10)").alias("value"), none.cast("int").alias("precision"), none.cast("string").alias("scale"), raw.cast("date").alias("day"))
+
+
+def claims_of(plain: Column) -> Column:
+    """The claims of a normalised text as one array: its dates first, then what is left without them."""
+    dates = F.transform(F.regexp_extract_all(plain, F.lit(_DATE), F.lit(1)), _dated)
+    numbers = F.transform(F.regexp_extract_all(F.regexp_replace(plain, _DATE, "          "), F.lit(_CLAIM), F.lit(1)), lambda x: _claim(F.regexp_replace(x, r"^\s+|\s+$", "")))
+    return F.concat(dates.cast(f"array<{CLAIM}>"), F.array_compact(numbers).cast(f"array<{CLAIM}>"))
 
 
 def claims_in(statements: DataFrame, text_col: str = "text") -> DataFrame:
-    """A row per claim of the rows of ``statements``: their other columns, and raw, kind, value, precision, scale."""
+    """A row per claim of the rows of ``statements``: their other columns, and kind, raw, value, precision, scale, day. Null texts have none."""
     kept = [c for c in statements.columns if c != text_col]
-    found = statements.select(*kept, F.explode(numbers_in(F.col(text_col))).alias("raw")).withColumn("c", claim(F.col("raw"))).filter("c is not null").select(*kept, "raw", "c.*")
-    dated = statements.select(*kept, F.explode(dates_in(F.col(text_col))).alias("raw")).select(*kept, "raw", F.lit("date").alias("kind"), F.lit(None).cast("decimal(28,8)").alias("value"), F.lit(0).alias("precision"), F.lit(0).alias("scale"))
-    return found.unionByName(dated)
+    return statements.withColumn("_plain", normalized(F.col(text_col))).select(*kept, F.explode(claims_of(F.col("_plain"))).alias("_c")).select(*kept, "_c.*")
+
+
+def prose_dates(text: Column) -> Column:
+    """Dates written as "July 3rd, 2026" or "3 July 2026": distinct, in order; what no calendar has is left out."""
+    month_first, day_first = rf"(?i)\b({_MONTH})\s+{_NTH},?\s+([0-9]{{4}})\b", rf"(?i)\b{_NTH}\s+({_MONTH}),?\s+([0-9]{{4}})\b"
+    number = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS) for x in (m.lower(), f"{i + 1:02d}")])
+
+    def found(pattern: str, month: int, day: int) -> Column:
+        parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in (month, day, 3)]
+        return F.transform(F.arrays_zip(*[p.alias(n) for p, n in zip(parts, "mdy", strict=True)]), lambda x: F.try_to_date(F.concat_ws("-", x["y"], F.element_at(number, F.lower(F.left(x["m"], F.lit(3)))), F.lpad(x["d"], 2, "0")), "yyyy-MM-dd"))
+
+    return F.array_sort(F.array_distinct(F.array_compact(F.concat(found(month_first, 1, 2), found(day_first, 2, 1)))))
 
 
 def unsupported_claims(claims: DataFrame, sources: DataFrame, key: str) -> DataFrame:
-    """Claims that no claim of their sources equals in kind, scale and value (dates: as written)."""
-    same = (F.col(f"c.{key}") == F.col(f"s.{key}")) & (F.col("c.kind") == F.col("s.kind")) & (F.col("c.scale") == F.col("s.scale"))
-    same = same & F.when(F.col("c.kind") == "date", F.col("c.raw") == F.col("s.raw")).otherwise(F.col("c.value") == F.col("s.value"))
+    """Claims that no claim of their sources equals in kind, scale and value (dates: the day)."""
+    same = F.col(f"c.{key}") == F.col(f"s.{key}")
+    for c in ("kind", "scale", "value", "day"):
+        same = same & F.col(f"c.{c}").eqNullSafe(F.col(f"s.{c}"))
     return claims.alias("c").join(sources.alias("s"), same, "left_anti")
 
 
 def off_expected(claims: DataFrame, expected: DataFrame, key: str) -> DataFrame:
-    """Claims that miss every expected value of their key by more than half a unit of their last digit."""
-    band = F.lit(0.5) * F.pow(F.lit(10.0), -F.col("c.precision"))
-    near = F.abs(F.col("c.value").cast("double") - F.col("e.expected").cast("double")) <= band
-    return claims.alias("c").join(expected.alias("e"), (F.col(f"c.{key}") == F.col(f"e.{key}")) & near, "left_anti")
+    """Claims that no expected value of their key bears out.
+
+    ``expected``: key, kind (percent, scaled, number or date), expected (a ratio for
+    percent, whole money for scaled), expected_day. A claim may differ by half a unit
+    of its last digit: a percentage from the ratio times 100, a scaled one from the
+    money over its scale. A year is that of an expected date.
+    """
+    half = F.element_at(F.array(*[F.lit(Decimal(5).scaleb(-p - 1)).cast("decimal(20,12)") for p in range(12)]), F.least(F.col("c.precision"), F.lit(11)) + 1)
+    value, expect = F.col("c.value").cast("decimal(28,10)"), F.col("e.expected").cast("decimal(28,10)")
+    factor = F.lit(1).cast("decimal(13,0)")
+    for word, power in SCALES.items():
+        factor = F.when(F.col("c.scale") == word, F.lit(10**power).cast("decimal(13,0)")).otherwise(factor)
+    close = F.when(F.col("c.kind") == "percent", F.abs(value - expect * 100) <= half).otherwise(F.abs(value * factor - expect) <= half * factor)
+    days = F.when(F.col("c.kind") == "date", F.col("c.day") == F.col("e.expected_day")).otherwise(value == F.year("e.expected_day"))
+    dated = F.col("c.kind").isin("date", "year")
+    same = (F.col(f"c.{key}") == F.col(f"e.{key}")) & (F.when(dated, F.lit("date")).otherwise(F.col("c.kind")) == F.col("e.kind"))
+    return claims.alias("c").join(expected.alias("e"), same & F.when(dated, days).otherwise(close), "left_anti")
 
 
 def relation_terms(text: Column) -> Column:

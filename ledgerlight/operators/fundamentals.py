@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlight.functions.decimals import half_even_ratio
 from ledgerlight.functions.times import days_inclusive, is_year_long
 
 PERIOD = ["entity", "concept", "period_start", "period_end"]
@@ -59,12 +60,15 @@ def year_to_date_bridge(facts: DataFrame) -> DataFrame:
     longest = Window.partitionBy("entity", "concept").orderBy(F.col("period_end").desc(), "period_start")
     current = own.withColumn("_n", F.row_number().over(longest)).filter("_n = 1").select("entity", "concept", "period_start", "period_end", F.col("fact_value").alias("current"), days_inclusive(F.col("period_start"), F.col("period_end")).alias("days"))
     current = current.join(newest.select("entity", "filing_form"), "entity")
-    old = known.select("entity", "concept", F.col("period_end").alias("_end"), F.col("period_start").alias("_start"), F.col("fact_value").alias("_value"), F.col("days").alias("_days"))
+    old = known.select("entity", "concept", F.col("period_end").alias("_end"), F.col("period_start").alias("_start"), F.col("fact_value").alias("_value"), F.col("days").alias("_days"), F.col("filing_date").alias("_filed"), F.col("accession_number").alias("_accession"))
     met = current.join(old, ["entity", "concept"])
     prior = F.datediff("period_end", "_end").between(350, 380) & (F.abs(F.col("days") - F.col("_days")) <= 2)
     annual = is_year_long(F.col("_start"), F.col("_end")) & (F.col("_end") == F.date_sub("period_start", 1))
     keys = ["entity", "concept", "filing_form", "period_start", "period_end", "current"]
-    sums = met.groupBy(*keys).agg(F.max(F.when(prior, F.col("_value"))).alias("prior_part"), F.max(F.when(annual, F.col("_value"))).alias("annual"), (F.count_distinct(F.when(prior, F.struct("_start", "_end", "_value"))) > 1).alias("ambiguous"))
+    # Equivalent facts are one; of them the one filed first speaks. Several that differ are ambiguous.
+    first = lambda of: F.min_by("_value", F.when(of, F.struct("_filed", "_accession")))
+    several = lambda of: F.count_distinct(F.when(of, F.struct("_start", "_end", "_value"))) > 1
+    sums = met.groupBy(*keys).agg(first(prior).alias("prior_part"), first(annual).alias("annual"), (several(prior) | several(annual)).alias("ambiguous"))
     bridged = F.col("annual") + F.col("current") - F.col("prior_part")
     return sums.select("entity", "concept", "period_end", F.when(F.col("filing_form") == "10-K", F.col("current")).otherwise(bridged).cast("decimal(30,8)").alias("ttm"), "ambiguous")
 
@@ -74,12 +78,11 @@ def fundamental_metrics(ttm: DataFrame, pairs: DataFrame) -> DataFrame:
     value = lambda name: F.max(F.when(F.col("concept") == name, F.col("ttm")))
     months = ttm.groupBy("entity").agg(value("revenue").alias("revenue_ttm"), value("net_income").alias("net_income_ttm"))
     newest = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("entity").orderBy(F.col("period_end").desc(), F.col("period_start").desc()))).filter("_n = 1")
-    part = lambda a, b: F.bround(a.cast("decimal(28,8)") / F.nullif(b.cast("decimal(28,8)"), F.lit(0).cast("decimal(28,8)")), 10)
     return months.join(newest, "entity").select(
         "entity",
         "revenue_ttm",
         "net_income_ttm",
-        part(F.col("net_income_ttm"), F.col("revenue_ttm")).alias("net_margin_ttm"),
-        (part(F.col("revenue"), F.col("prior_revenue")) - 1).alias("revenue_growth_latest_fy"),
+        half_even_ratio(F.col("net_income_ttm"), F.col("revenue_ttm")).alias("net_margin_ttm"),
+        half_even_ratio(F.col("revenue") - F.col("prior_revenue"), F.col("prior_revenue")).alias("revenue_growth_latest_fy"),
         (F.col("net_income") - F.col("prior_net_income")).alias("net_income_change_latest_fy"),
     )

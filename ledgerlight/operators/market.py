@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlight.functions.decimals import published, ratio
+from ledgerlight.functions.decimals import half_even_ratio, published, ratio
 
 HORIZONS = (1, 5, 20, 60)
 SESSIONS = 61
@@ -29,14 +29,17 @@ def market_metrics(bars: DataFrame, symbol: str = "symbol") -> DataFrame:
     rows = last_sessions(bars, symbol)
     rows = rows.withColumn("step", ratio(F.col("close"), F.lag("close").over(forward)) - 1)
     peak = F.max("close").over(forward.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("fall", ratio(F.col("close"), peak) - 1)
+    rows = rows.withColumn("fall", half_even_ratio(F.col("close") - peak, peak))
 
     def at(back: int) -> Column:
         return F.max(F.when(F.col("back") == back, F.col("close")))
 
-    def mean(n: int) -> Column:
+    def total(n: int) -> Column:
         within = F.when(F.col("back") < n, F.col("close").cast("decimal(20,8)"))
-        return F.when(F.count(within) == n, (F.sum(within) / n).cast("decimal(20,8)"))
+        return F.when(F.count(within) == n, F.sum(within))
+
+    def change(new: Column, old: Column) -> Column:
+        return half_even_ratio(new - old, old).cast("decimal(20,10)")
 
     def volatility(n: int) -> Column:
         within = F.when(F.col("back") < n, F.col("step").cast("double"))
@@ -48,16 +51,17 @@ def market_metrics(bars: DataFrame, symbol: str = "symbol") -> DataFrame:
         F.min("trading_date").alias("window_start_date_60d"),
         F.max("observations_available").alias("observations_available"),
         last.alias("close"),
-        *[published(ratio(last, at(n)) - 1).alias(f"return_{n}d") for n in HORIZONS],
+        *[change(last, at(n)).alias(f"return_{n}d") for n in HORIZONS],
         *[published(volatility(n)).alias(f"annualized_volatility_{n}d") for n in (20, 60)],
-        published(ratio(last, F.max("close")) - 1).alias("current_drawdown_60d"),
-        published(F.least(F.min("fall"), F.lit(0))).alias("max_drawdown_60d"),
-        *[mean(n).alias(f"_mean_{n}") for n in (20, 60)],
+        change(last, F.max("close")).alias("current_drawdown_60d"),
+        F.least(F.min("fall"), F.lit(0)).cast("decimal(20,10)").alias("max_drawdown_60d"),
+        *[total(n).alias(f"_sum_{n}") for n in (20, 60)],
     ]
     out = rows.groupBy(symbol).agg(*found)
-    compared = {"close_vs_sma_20": ("close", "_mean_20"), "close_vs_sma_60": ("close", "_mean_60"), "sma_20_vs_sma_60": ("_mean_20", "_mean_60")}
-    out = out.withColumns({name: published(ratio(F.col(a), F.col(b)) - 1) for name, (a, b) in compared.items()})
-    return out.withColumns({f"sma_{n}": published(F.col(f"_mean_{n}"), 28, 10) for n in (20, 60)}).drop("_mean_20", "_mean_60")
+    # Means are compared before they are rounded: as sums, each over its own number of closes.
+    close, short, long = F.col("close"), F.col("_sum_20"), F.col("_sum_60")
+    out = out.withColumns({"close_vs_sma_20": change(close * 20, short), "close_vs_sma_60": change(close * 60, long), "sma_20_vs_sma_60": change(short * 3, long)})
+    return out.withColumns({f"sma_{n}": half_even_ratio(F.col(f"_sum_{n}"), F.lit(n)).cast("decimal(28,10)") for n in (20, 60)}).drop("_sum_20", "_sum_60")
 
 
 def coverage_gate(bars: DataFrame, symbol: str = "symbol") -> DataFrame:

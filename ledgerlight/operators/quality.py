@@ -45,3 +45,19 @@ def scope_difference(found: DataFrame, configured: DataFrame, key: str) -> DataF
     """Entities on one side only: unexpected or missing."""
     f, c = found.select(key).distinct(), configured.select(key).distinct()
     return f.join(c, key, "left_anti").withColumn("problem", F.lit("unexpected")).unionByName(c.join(f, key, "left_anti").withColumn("problem", F.lit("missing")))
+
+
+def short_texts(rows: DataFrame, text_col: str, least: int = 500) -> DataFrame:
+    """Rows whose text is missing or has fewer characters than ``least``."""
+    return rows.filter(F.coalesce(F.length(text_col) < least, F.lit(True)))
+
+
+def outside_universe(rows: DataFrame, symbols_col: str, universe: list[str]) -> DataFrame:
+    """Rows with a symbol outside the universe, or with none."""
+    listed = F.array(*[F.lit(s) for s in universe])
+    return rows.filter(F.coalesce((F.size(F.array_except(symbols_col, listed)) > 0) | (F.size(symbols_col) == 0), F.lit(True)))
+
+
+def unsorted_sets(rows: DataFrame, column: str) -> DataFrame:
+    """Rows whose array is not sorted and free of repeats, as documents want it."""
+    return rows.filter(~F.coalesce(F.array_sort(F.array_distinct(column)) == F.col(column), F.lit(False)))

@@ -4,51 +4,49 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Queries that one pass over the vectors answers; more take more passes.
-QUERY_BLOCK = 2048
+from ledgerlight.operators.claims import is_noise
+
+#: Rows of vectors and of queries that meet in one block, about.
+VECTOR_BLOCK, QUERY_BLOCK = 20_000, 512
 
 
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, id, score: the ``k`` most similar vectors of each stated query, itself excluded; ties to the smaller id.
 
-    Each task keeps the best of its own batch for every query of a block; only those
-    are shuffled. Queries go to the tasks in blocks of bounded size.
+    Both sides are dealt to blocks by a hash of the id, and each block of queries meets
+    each block of vectors in one group of bounded size, which keeps its best ``k`` of
+    every query; only those meet by query. Nothing passes through the driver but two counts.
     """
-    asked = queries.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).filter("v is not null").orderBy("id")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("v is not null")
-    table = asked.toArrow()  # stated queries, not the corpus
-    parts = []
-    for at in range(0, max(table.num_rows, 1), QUERY_BLOCK):
-        block = table.slice(at, QUERY_BLOCK)
-        ids = block.column("id").to_numpy().astype(np.int64)
-        q = np.array(block.column("v").to_pylist(), np.float64)
-        parts.append(_nearest(rows, ids, q, k))
-    best = parts[0]
-    for p in parts[1:]:
-        best = best.unionByName(p)
+    slim = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("v is not null")
+    rows, asked = slim(vectors), slim(queries)
+    row_blocks, query_blocks = max(1, -(-vectors.count() // VECTOR_BLOCK)), max(1, -(-queries.count() // QUERY_BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    mine = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    left = rows.select(mine(row_blocks).alias("r"), every(query_blocks).alias("q"), F.lit(False).alias("is_query"), "id", "v")
+    right = asked.select(every(row_blocks).alias("r"), mine(query_blocks).alias("q"), F.lit(True).alias("is_query"), "id", "v")
+    near = left.unionByName(right).groupBy("r", "q").applyInArrow(lambda block: _nearest(block, k), "query_id long, id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
-
+    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
-def _nearest(rows: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            if not len(batch) or not len(q):
-                continue
-            own = batch.column(0).to_numpy()
-            x = np.array(batch.column(1).to_pylist(), np.float64)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                s = (q @ x.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :])
-            s[(ids[:, None] == own[None, :]) | ~np.isfinite(s)] = -np.inf
-            order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
-            score = np.take_along_axis(s, order, 1)
-            keep = np.isfinite(score)
-            yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], order.shape)[keep]), pa.array(own[order][keep]), pa.array(score[keep])], ["query_id", "id", "score"])
 
-    return rows.mapInArrow(run, "query_id long, id long, score double")
+def _nearest(block: pa.Table, k: int) -> pa.Table:
+    """Of one block: the best ``k`` vectors of each of its queries."""
+    parts = [block.filter(pa.compute.equal(block.column("is_query"), side)) for side in (True, False)]
+    (ids, q), (own, x) = ((p.column("id").to_numpy().astype(np.int64), np.array(p.column("v").to_pylist(), np.float64)) for p in parts)
+    found: list = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    if len(ids) and len(own):
+        with np.errstate(invalid="ignore", divide="ignore"):
+            s = (q @ x.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :])
+        s[(ids[:, None] == own[None, :]) | ~np.isfinite(s)] = -np.inf
+        order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
+        score = np.take_along_axis(s, order, 1)
+        keep = np.isfinite(score)
+        found = [np.broadcast_to(ids[:, None], order.shape)[keep], own[order][keep], score[keep]]
+    return pa.table([pa.array(c) for c in found], names=["query_id", "id", "score"])
 
 
 def fuse_ranks(*rankings: DataFrame, k: int = 10, constant: int = 60) -> DataFrame:
@@ -61,6 +59,77 @@ def fuse_ranks(*rankings: DataFrame, k: int = 10, constant: int = 60) -> DataFra
     return fused.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def in_scope(chunks: DataFrame, symbols: list[str], source_type: str | None = None, section_code: str | None = None) -> DataFrame:
+    """Chunks about any of the symbols, of one type of source and, for filings only, of one section."""
+    if section_code is not None and source_type != "filing":
+        raise ValueError("only filings have sections")
+    rows = chunks.filter(F.arrays_overlap("configured_symbols", F.array(*[F.lit(s) for s in symbols])))
+    if source_type is not None:
+        rows = rows.filter(F.col("source_type") == source_type)
+    return rows if section_code is None else rows.filter(F.col("section_code") == section_code)
+
+
+def lexical_top_k(chunks: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str = "chunk_id", text_col: str = "chunk_text") -> DataFrame:
+    """query_id, rank, id, score: chunks by the summed rarity of the query's words they hold (``queries``: query_id, query_text).
+
+    Words of the queries alone are matched and counted, so a word that most chunks hold moves no text.
+    """
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
+    asked = queries.select("query_id", F.explode(words(F.col("query_text"))).alias("word"))
+    wanted = asked.select("word").distinct()
+    held = chunks.select(F.col(id_col).alias("id"), F.explode(words(F.col(text_col))).alias("word")).join(wanted, "word", "left_semi")
+    size = chunks.agg(F.count(F.lit(1)).alias("_chunks"))  # one row
+    rarity = held.groupBy("word").agg(F.count(F.lit(1)).alias("_n")).crossJoin(size).select("word", F.log(1 + F.col("_chunks") / F.col("_n")).alias("_weight"))
+    scored = held.join(rarity, "word").join(asked, "word").groupBy("query_id", "id").agg(F.sum("_weight").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
+def hybrid_top_k(by_vector: DataFrame, by_words: DataFrame, k: int = 5) -> DataFrame:
+    """The fused ranking of a vector search and a word search, each of twice as many candidates."""
+    return fuse_ranks(by_vector, by_words, k=k)
+
+
+def candidates_for(k: int, comparison: bool, topic: str, most: int = 10) -> int:
+    """How many rows to ask for: twice as many where some will be left out as no developments."""
+    if not 1 <= k <= most:
+        raise ValueError(f"1 to {most} results")
+    return min(most, 2 * k) if comparison and topic == "recent_developments" else k
+
+
+def without_noise(ranked: DataFrame, k: int, *, title_col: str = "title", text_col: str = "chunk_text") -> DataFrame:
+    """Ranked rows (query_id, rank, title, text) that are developments, renumbered from 1, ``k`` at most."""
+    kept = ranked.filter(~F.coalesce(is_noise(F.col(title_col), F.col(text_col)), F.lit(False)))
+    order = Window.partitionBy("query_id").orderBy("rank")
+    return kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def match_measures(ranking: DataFrame, top: int = 5) -> DataFrame:
+    """Per case the shares of its top rows that are of the expected symbol, source and section (null where no section is expected).
+
+    ``ranking``: case_id, rank (null: nothing was found), configured_symbols, source_type, section_code, expected_symbol, expected_source_type, expected_section_code.
+    """
+    in_top = F.col("rank") <= top
+    share = lambda hit: F.coalesce(F.avg(F.when(in_top, F.coalesce(hit, F.lit(False)).cast("double"))), F.lit(0.0))
+    section = share(F.col("section_code") == F.col("expected_section_code"))
+    return ranking.groupBy("case_id").agg(
+        share(F.array_contains("configured_symbols", F.col("expected_symbol"))).alias(f"symbol_match_at_{top}"),
+        share(F.col("source_type") == F.col("expected_source_type")).alias(f"source_match_at_{top}"),
+        F.when(F.max("expected_section_code").isNotNull(), section).alias(f"section_match_at_{top}"),
+    )
+
+
+def read_cases(spark: SparkSession, path: str) -> DataFrame:
+    """Judged cases from one JSON document (label_status, cases): a row per case that is labelled."""
+    schema = "label_status string, cases array<struct<case_id: string, query: string, expected_symbol: string, expected_source_type: string, expected_section_code: string, relevant_chunk_ids: array<string>>>"
+    return spark.read.schema(schema).json(path, multiLine=True).select("label_status", F.inline("cases"))
+
+
+def judged_ranking(cases: DataFrame, ranking: DataFrame) -> DataFrame:
+    """Ranked rows (case_id, rank, chunk_id, ...) with ``relevant``; a case that found nothing keeps one row without a rank."""
+    return cases.join(ranking, "case_id", "left").withColumn("relevant", F.coalesce(F.array_contains("relevant_chunk_ids", F.col("chunk_id")), F.lit(False)))
+
+
 def case_measures(ranking: DataFrame, ks: tuple[int, ...] = (1, 3, 5), top: int = 5) -> DataFrame:
     """Per case: hit@k, reciprocal rank, share of relevant rows and of repeated documents in the top.
 

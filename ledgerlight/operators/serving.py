@@ -9,12 +9,28 @@ from ledgerlight.functions.text import IDENTIFIER
 
 
 def rows_for(spark: SparkSession, table: str, symbols: list[str], limit: int = 10) -> DataFrame:
-    """Rows of the requested symbols by a parameterised statement; more than ``limit`` are an error at the reader."""
+    """Rows of the requested symbols by a parameterised statement, one more than ``limit`` at most (see ``whole_rows``)."""
+    for part in table.split("."):
+        check_identifier(part)
     names = {f"s{i}": s for i, s in enumerate(symbols)}
     marks = ", ".join(f":{n}" for n in names) or "NULL"
     return spark.sql(f"SELECT * FROM IDENTIFIER(:t) WHERE symbol IN ({marks}) ORDER BY symbol LIMIT {int(limit) + 1}", args={"t": table, **names})
 
 
+def whole_rows(rows: DataFrame, limit: int = 10) -> list:
+    """The rows of ``rows_for``; a ValueError if there are more than ``limit``, as an answer cut short is no answer."""
+    found = rows.collect()
+    if len(found) > limit:
+        raise ValueError(f"more than {limit} rows")
+    return found
+
+
+def filing_age_issue(form: Column, filed: Column, today: Column) -> Column:
+    """ahead, or stale beyond 180 days (an annual report: 450); null where the filing is recent."""
+    age = F.datediff(today, filed)
+    return F.when(age < 0, "ahead").when(age > F.when(form == "10-K", 450).otherwise(180), "stale")
+
+
 def check_identifier(name: str) -> str:
     import re
 

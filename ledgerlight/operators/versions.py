@@ -7,13 +7,18 @@ partial aggregates, so a key with a third of all rows is combined before it move
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _observed(rows: DataFrame, key: list[str], version: str, content: list[str], tie: str) -> DataFrame:
+def content_sign(content: list[str], sets: list[str] = ()) -> Column:
+    """A hash of the content columns with their nulls; the arrays ``sets`` count as sets."""
+    parts = [F.array_sort(F.array_distinct(c)).alias(c) if c in sets else F.col(c) for c in content]
+    return F.xxhash64(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}))
+
+
+def _observed(rows: DataFrame, key: list[str], version: str, sign: Column, tie: str) -> DataFrame:
     """Per (key, version): rows, whether contents differ, the row of the smallest tie."""
-    sign = F.xxhash64(*content)
     rest = [c for c in rows.columns if c not in (*key, version)]
     return rows.groupBy(*key, version).agg(
         F.count(F.lit(1)).alias("n"),
@@ -23,14 +28,14 @@ def _observed(rows: DataFrame, key: list[str], version: str, content: list[str],
     )
 
 
-def current_versions(rows: DataFrame, key: list[str], version: str, content: list[str], tie: str) -> DataFrame:
+def current_versions(rows: DataFrame, key: list[str], version: str, content: list[str], tie: str, sets: list[str] = ()) -> DataFrame:
     """The current row of each key with observations, duplicates, superseded and conflicts.
 
     A repeat of a version is a duplicate if its content is the same and a conflict if
     not, at whatever time; an older version is a duplicate if its content is the
     current one's and superseded if not. Of equal versions the smallest ``tie`` stays.
     """
-    seen = _observed(rows, key, version, content, tie)
+    seen = _observed(rows, key, version, content_sign(content, sets), tie)
     whole = Window.partitionBy(*key)
     latest = F.max(version).over(whole)
     current_sign = F.max_by("sign", version).over(whole)
@@ -47,21 +52,56 @@ def current_versions(rows: DataFrame, key: list[str], version: str, content: lis
     return out.select(*key, version, "row.*", "observations", "duplicates", "superseded", "conflicts")
 
 
-def earliest_of_latest(rows: DataFrame, key: list[str], version: str, content: list[str], arrival: list[str]) -> DataFrame:
+def earliest_of_latest(rows: DataFrame, key: list[str], version: str, content: list[str], arrival: list[str], sets: list[str] = ()) -> DataFrame:
     """The first arrival of each key's latest version; contents are compared at that version only."""
     rank = F.rank().over(Window.partitionBy(*key).orderBy(F.col(version).desc()))
     ranked = rows.withColumn("_rank", rank)
     latest = F.col("_rank") == 1
-    sign = F.when(latest, F.xxhash64(*content))
+    sign = F.when(latest, content_sign(content, sets))
     kept = [c for c in rows.columns if c not in key]
     out = ranked.groupBy(*key).agg(
         F.min_by(F.struct(*kept), F.when(latest, F.struct(*arrival))).alias("row"),
         F.count_if(~latest).alias("superseded"),
+        (F.count_if(latest) - 1).alias("repeats"),
         (F.min(sign) != F.max(sign)).alias("conflict"),
     )
-    return out.select(*key, "row.*", "superseded", "conflict")
+    return out.select(*key, "row.*", "superseded", "repeats", "conflict")
 
 
 def latest_one(rows: DataFrame, key: list[str], order: list) -> DataFrame:
     """The first row of each key in an order that leaves no ties."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("_n = 1").drop("_n")
+
+
+def latest_responses(responses: DataFrame, entity: str, configured: DataFrame | None = None) -> DataFrame:
+    """The latest response of each entity, with superseded, tie_repeats and faults.
+
+    ``responses``: entity, source_response_id, fetched_at, response_sha256. Of those
+    fetched last the smallest id stays; ``tie_conflict`` if they hold different
+    payloads, ``repeated_id`` if one of the entity's ids stands more than once in all
+    responses. ``in_scope``: the entity is configured.
+    """
+    ids = responses.groupBy("source_response_id").agg(F.count(F.lit(1)).alias("_times"))
+    rank = F.rank().over(Window.partitionBy(entity).orderBy(F.col("fetched_at").desc()))
+    ranked = responses.join(ids, "source_response_id").withColumn("_last", rank == 1)
+    rest = [c for c in responses.columns if c != entity]
+    last = F.when(F.col("_last"), F.col("source_response_id"))
+    out = ranked.groupBy(entity).agg(
+        F.min_by(F.struct(*rest), last).alias("row"),
+        F.count_if(~F.col("_last")).alias("superseded"),
+        (F.count_if("_last") - 1).alias("tie_repeats"),
+        (F.count_distinct(F.when(F.col("_last"), F.col("response_sha256"))) > 1).alias("tie_conflict"),
+        (F.max("_times") > 1).alias("repeated_id"),
+    )
+    out = out.select(entity, "row.*", "superseded", "tie_repeats", "tie_conflict", "repeated_id")
+    if configured is None:
+        return out
+    return out.join(configured.select(entity).distinct().withColumn("in_scope", F.lit(True)), entity, "left").withColumn("in_scope", F.coalesce("in_scope", F.lit(False)))
+
+
+def collapse_repeats(rows: DataFrame, key: list[str], content: list[str], order: list[str], sets: list[str] = ()) -> DataFrame:
+    """One row per key, the first by ``order``, with repeats (equal ones collapsed) and conflict (contents differ: the snapshot must be refused)."""
+    sign = content_sign(content, sets)
+    rest = [c for c in rows.columns if c not in key]
+    out = rows.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("row"), (F.count(F.lit(1)) - 1).alias("repeats"), (F.min(sign) != F.max(sign)).alias("conflict"))
+    return out.select(*key, "row.*", "repeats", "conflict")

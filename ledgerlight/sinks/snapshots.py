@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlight.functions.text import sha256
+from ledgerlight.operators.quality import orphans
+from ledgerlight.operators.serving import check_identifier
 
 _MANIFEST = "number long, snapshot_id string, table string, path string, rows long"
 
@@ -60,6 +62,24 @@ def changes(spark: SparkSession, root: str, table: str, before: int, after: int)
     return new.exceptAll(old).withColumn("change", F.lit("added")).unionByName(old.exceptAll(new).withColumn("change", F.lit("removed")))
 
 
+def changed_ids(spark: SparkSession, root: str, table: str, before: int, after: int, id_col: str) -> DataFrame:
+    """Ids that a snapshot has and the one before had not: what an index has still to embed."""
+    old, new = read_current(spark, root, table, before), read_current(spark, root, table, after)
+    return new.select(id_col).distinct().join(old.select(id_col), id_col, "left_anti")
+
+
+def create_if_absent(spark: SparkSession, name: str, schema: str, form: str = "parquet") -> None:
+    """An empty table of this schema (column definitions, NOT NULL where it says so), unless there is one already."""
+    for part in name.split("."):
+        check_identifier(part)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING {form}")
+
+
+def orphans_after(spark: SparkSession, root: str, children: str, parents: str, keys: list[str]) -> DataFrame:
+    """Rows of a published table whose parents the same snapshot lacks: none, if it was published whole."""
+    return orphans(read_current(spark, root, children), read_current(spark, root, parents), keys)
+
+
 def append_run(rows: DataFrame, path: str, run_id: str) -> int:
     """Appends one run of raw rows and returns how many of it can be read back."""
     rows.withColumn("ingestion_run_id", F.lit(run_id)).write.mode("append").parquet(path)
