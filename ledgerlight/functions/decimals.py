@@ -24,7 +24,7 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def half_even_ratio(a: Column, b: Column) -> Column:
-    """a / b at scale 10, rounded half-even once from the exact quotient, for operands of (30,8); null if b is 0.
+    """a / b at scale 10, rounded half-even once from the exact quotient, for operands of (30,8); null if b is 0 or the quotient has more than 20 whole digits.
 
     The quotient's digits come by long division, five at a time, so nothing is rounded on the way.
     """
@@ -34,7 +34,7 @@ def half_even_ratio(a: Column, b: Column) -> Column:
 
     def digits(rest: Column) -> tuple[Column, Column]:
         left = (rest % low).cast(wide)
-        return ((rest - left) / low).cast("decimal(20,0)"), left
+        return ((rest - left) / low).try_cast("decimal(20,0)"), left
 
     whole, left = digits(top)
     first, left = digits((left * step).cast("decimal(36,8)"))

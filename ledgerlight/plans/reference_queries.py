@@ -32,21 +32,29 @@ kept AS (SELECT * FROM numbered WHERE back < 61)"""
 def market_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = market.market_metrics(bars(spark, sf_dir))
     ratios = [c for c in found.columns if c.startswith(("return", "annual", "current_d", "max_d", "close_vs", "sma"))]
-    return found.select("symbol", "as_of_date", "window_start_date_60d", "observations_available", F.col("close").cast("double").alias("close"), *[F.round(F.col(c).cast("double"), 7).alias(c) for c in ratios])
+    return found.select("symbol", "as_of_date", "window_start_date_60d", "observations_available", F.col("close").cast("double").alias("close"), *[F.col(c).cast("double").alias(c) for c in ratios])
+
+
+def _half_even(top: str, low: str) -> str:
+    """SQL of top / low at ten decimals, half-even, from integers; low > 0."""
+    n = f"(abs({top}) * 10000000000)"
+    up = f"CASE WHEN 2 * ({n} % {low}) > {low} OR (2 * ({n} % {low}) = {low} AND ({n} // {low}) % 2 = 1) THEN 1 ELSE 0 END"
+    return f"(CASE WHEN ({top}) < 0 THEN -1 ELSE 1 END * ((({n} // {low}) + {up})::DOUBLE / 1e10))"
 
 
 MARKET_SQL = f"""WITH {BARS},
-steps AS (SELECT *, close::DOUBLE / lag(close::DOUBLE) OVER w - 1 AS step, close::DOUBLE / max(close::DOUBLE) OVER (PARTITION BY symbol ORDER BY back DESC ROWS UNBOUNDED PRECEDING) - 1 AS fall
-  FROM kept WINDOW w AS (PARTITION BY symbol ORDER BY back DESC)),
-a AS (SELECT symbol, max(trading_date) AS as_of_date, min(trading_date) AS window_start_date_60d, max(n) AS observations_available, max(close) FILTER (back = 0)::DOUBLE AS close,
-  {", ".join(f"max(close) FILTER (back = {n})::DOUBLE AS c{n}" for n in (1, 5, 20, 60))},
+steps AS (SELECT *, (close * 100000000)::HUGEINT AS ci, close::DOUBLE / lag(close::DOUBLE) OVER w - 1 AS step, max((close * 100000000)::HUGEINT) OVER (PARTITION BY symbol ORDER BY back DESC ROWS UNBOUNDED PRECEDING) AS peak
+  FROM (SELECT * REPLACE (close::DECIMAL(28,8) AS close) FROM kept) WINDOW w AS (PARTITION BY symbol ORDER BY back DESC)),
+a AS (SELECT symbol, max(trading_date) AS as_of_date, min(trading_date) AS window_start_date_60d, max(n) AS observations_available, max(close) FILTER (back = 0)::DOUBLE AS close, max(ci) FILTER (back = 0) AS c0,
+  {", ".join(f"max(ci) FILTER (back = {n}) AS c{n}" for n in (1, 5, 20, 60))},
   {", ".join(f"CASE WHEN count(step) FILTER (back < {n}) = {n} THEN stddev_samp(step) FILTER (back < {n}) * sqrt(252.0) END AS v{n}" for n in (20, 60))},
-  max(close)::DOUBLE AS top, least(min(fall), 0) AS deepest,
-  {", ".join(f"CASE WHEN count(*) FILTER (back < {n}) = {n} THEN sum(close) FILTER (back < {n})::DOUBLE / {n} END AS m{n}" for n in (20, 60))} FROM steps GROUP BY symbol)
+  max(ci) AS top, least(min({_half_even("ci - peak", "peak")}), 0) AS deepest,
+  {", ".join(f"CASE WHEN count(*) FILTER (back < {n}) = {n} THEN sum(ci) FILTER (back < {n})::HUGEINT END AS s{n}" for n in (20, 60))} FROM steps GROUP BY symbol)
 SELECT symbol, as_of_date, window_start_date_60d, observations_available, close,
-  {", ".join(f"round(close / c{n} - 1, 7) AS return_{n}d" for n in (1, 5, 20, 60))},
-  round(v20, 7) AS annualized_volatility_20d, round(v60, 7) AS annualized_volatility_60d, round(close / top - 1, 7) AS current_drawdown_60d, round(deepest, 7) AS max_drawdown_60d,
-  round(close / m20 - 1, 7) AS close_vs_sma_20, round(close / m60 - 1, 7) AS close_vs_sma_60, round(m20 / m60 - 1, 7) AS sma_20_vs_sma_60, round(m20, 7) AS sma_20, round(m60, 7) AS sma_60 FROM a"""
+  {", ".join(f"{_half_even(f'c0 - c{n}', f'c{n}')} AS return_{n}d" for n in (1, 5, 20, 60))},
+  round(v20, 10) AS annualized_volatility_20d, round(v60, 10) AS annualized_volatility_60d, {_half_even("c0 - top", "top")} AS current_drawdown_60d, deepest AS max_drawdown_60d,
+  {_half_even("20 * c0 - s20", "s20")} AS close_vs_sma_20, {_half_even("60 * c0 - s60", "s60")} AS close_vs_sma_60, {_half_even("3 * s20 - s60", "s60")} AS sma_20_vs_sma_60,
+  {_half_even("s20", "2000000000::HUGEINT")} AS sma_20, {_half_even("s60", "6000000000::HUGEINT")} AS sma_60 FROM a"""
 
 
 def coverage_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,12 +186,12 @@ TTM_SQL = f"""WITH {FACTS}, {TTM} SELECT entity, 'revenue' AS concept, CASE y WH
 def fundamental_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = facts(spark, sf_dir)
     found = fundamentals.fundamental_metrics(fundamentals.year_to_date_bridge(f), fundamentals.annual_pairs(f))
-    return found.select("entity", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in found.columns if c != "entity"])
+    return found.select("entity", *[F.col(c).cast("double").alias(c) for c in found.columns if c != "entity"])
 
 
-FUNDAMENTAL_SQL = f"""WITH {FACTS}, {TTM} SELECT t.entity, round(t.revenue::DOUBLE, 6) AS revenue_ttm, round(t.net_income::DOUBLE, 6) AS net_income_ttm, round(t.net_income::DOUBLE / t.revenue::DOUBLE, 6) AS net_margin_ttm,
-  round(a.revenue::DOUBLE / b.revenue::DOUBLE - 1, 6) AS revenue_growth_latest_fy, round((a.net_income - b.net_income)::DOUBLE, 6) AS net_income_change_latest_fy
-  FROM ttm t JOIN annual a ON a.entity = t.entity AND a.y = 2000 LEFT JOIN annual b ON b.entity = t.entity AND b.y = 1999"""
+FUNDAMENTAL_SQL = f"""WITH {FACTS}, {TTM}, j AS (SELECT t.entity, t.revenue, t.net_income, (t.revenue * 100)::HUGEINT AS r, (t.net_income * 100)::HUGEINT AS i, (a.revenue * 100)::HUGEINT AS y, (b.revenue * 100)::HUGEINT AS z, a.net_income - b.net_income AS d
+  FROM ttm t JOIN annual a ON a.entity = t.entity AND a.y = 2000 LEFT JOIN annual b ON b.entity = t.entity AND b.y = 1999)
+SELECT entity, revenue::DOUBLE AS revenue_ttm, net_income::DOUBLE AS net_income_ttm, {_half_even("i", "r")} AS net_margin_ttm, {_half_even("y - z", "z")} AS revenue_growth_latest_fy, d::DOUBLE AS net_income_change_latest_fy FROM j"""
 
 
 def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
