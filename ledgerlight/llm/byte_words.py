@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ledgerlight.llm.subword import chunks_of_text
 
 _PIECE = 64
-_PRIME = np.uint64(0x9E3779B97F4A7C15)
+_NEAREST = np.array([(1 << 8 * k) - 1 for k in range(8)], np.uint64)
 
 
 def _marks() -> str:
@@ -41,8 +41,8 @@ def words_of(text: str) -> list[str]:
     return (_LETTERS if text.isascii() or not _MARK.search(text) else _MARKED_LETTERS).findall(text)
 
 
-def grams(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the words' bytes (each with a space before): row of the word, byte, and per length k = 0 ... order the hash of the context (0: there is none)."""
+def grams(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words' bytes (each word with a space before): row of the word, byte, window of the bytes before (at most ``order``, the nearest lowest), and how many those are."""
     pieces, owner = [], []  # very long words are coded in pieces, each with its own start
     for i, w in enumerate(words):
         for at in range(0, len(w), _PIECE):
@@ -52,14 +52,17 @@ def grams(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.nd
     lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
     place = np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)
     keep = np.flatnonzero(place > 0)  # the space itself costs the same in every language: it is not coded
-    contexts = np.zeros((order + 1, len(keep)), np.uint64)
-    code = np.zeros(len(keep), np.uint64)
-    contexts[0] = 1
+    length = np.minimum(place[keep], order)
+    window = np.zeros(len(keep), np.uint64)
     for k in range(1, order + 1):
-        there = place[keep] >= k
-        code = (code + flat[np.maximum(keep - k, 0)].astype(np.uint64) + np.uint64(1)) * _PRIME
-        contexts[k] = np.where(there, code ^ np.uint64(k), np.uint64(0))
-    return np.repeat(np.array(owner, np.int64), lens)[keep], flat[keep], contexts
+        there = np.flatnonzero(length >= k)
+        window[there] |= flat[keep[there] - k].astype(np.uint64) << np.uint64(8 * (k - 1))
+    return np.repeat(np.array(owner, np.int64), lens)[keep], flat[keep], window, length
+
+
+def context(window: np.ndarray, k: int | np.ndarray) -> np.ndarray:
+    """The ``k`` nearest bytes of windows (7 at most) as one number that no other context has."""
+    return (window & _NEAREST[k]) | (np.asarray(k).astype(np.uint64) + np.uint64(1)) << np.uint64(56)
 
 
 def key_of(context: np.ndarray, byte: np.ndarray) -> np.ndarray:

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.byte_words import WordTable, grams, key_of, rows_of_texts, words_of
+from ledgerlight.llm.byte_words import WordTable, context, grams, key_of, rows_of_texts, words_of
 from ledgerlight.llm.cluster import shipped
 
 ORDER = 4
@@ -69,22 +69,23 @@ class ContextTrees:
         out = np.zeros((len(raw), len(self.langs)))
         if not len(self.keys) or not any(raw):
             return out
-        owner, byte, contexts = grams(raw, self.order)
+        owner, byte, window, length = grams(raw, self.order)
         # Equal (context, byte) pairs cost the same: each is looked up once.
-        _, once, back = np.unique(key_of(contexts[self.order] + contexts[: self.order].sum(axis=0, dtype=np.uint64), byte), return_index=True, return_inverse=True)
-        byte, contexts = byte[once], contexts[:, once]
+        _, once, back = np.unique(key_of(context(window, length), byte), return_index=True, return_inverse=True)
+        byte, window, length = byte[once], window[once], length[once]
         bits = np.zeros((len(byte), len(self.langs)))
         left = np.arange(len(byte))
         for k in range(self.order, -1, -1):
-            there = left[contexts[k][left] != 0]
-            key = key_of(contexts[k][there], byte[there])
+            there = left[length[left] >= k]
+            own = context(window[there], k)
+            key = key_of(own, byte[there])
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             hit = self.keys[at] == key
             bits[there[hit]] += self.bits[at[hit]]
             miss = there[~hit]
-            at = np.minimum(np.searchsorted(self.nodes, contexts[k][miss]), len(self.nodes) - 1)
-            bits[miss] += np.where((self.nodes[at] == contexts[k][miss])[:, None], self.escape[at], 0.0)
-            left = np.concatenate([left[contexts[k][left] == 0], miss])
+            at = np.minimum(np.searchsorted(self.nodes, own[~hit]), len(self.nodes) - 1)
+            bits[miss] += np.where((self.nodes[at] == own[~hit])[:, None], self.escape[at], 0.0)
+            left = np.concatenate([left[length[left] < k], miss])
         bits[left] += 8
         for j in range(len(self.langs)):
             out[:, j] = np.bincount(owner, bits[back, j], len(raw))
@@ -118,14 +119,14 @@ def train(labelled: DataFrame, *, order: int = ORDER, max_documents: int = TRAIN
         for lang, words in held.items():
             raw = [w.encode("utf-8", "surrogatepass") for w in words]
             times = np.fromiter(words.values(), np.int64, len(raw))
-            owner, byte, contexts = grams(raw, order)
+            owner, byte, window, length = grams(raw, order)
             for k in range(order + 1):
-                there = np.flatnonzero(contexts[k])
-                _, first, at = np.unique(key_of(contexts[k][there], byte[there]), return_index=True, return_inverse=True)
+                there = np.flatnonzero(length >= k)
+                _, first, at = np.unique(key_of(context(window[there], k), byte[there]), return_index=True, return_inverse=True)
                 sums = np.bincount(at, times[owner[there]], len(first)).astype(np.int64)
                 there = there[first]
-                shorter = contexts[max(k - 1, 0)][there]
-                columns = [np.full(len(there), lang), np.full(len(there), k), contexts[k][there].view(np.int64), shorter.view(np.int64), byte[there].astype(np.int64), sums]
+                own, shorter = context(window[there], k), context(window[there], max(k - 1, 0))
+                columns = [np.full(len(there), lang), np.full(len(there), k), own.view(np.int64), shorter.view(np.int64), byte[there].astype(np.int64), sums]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
     names = ["lang", "length", "context", "shorter", "byte", "n"]

@@ -34,7 +34,6 @@ def ids(request):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(queries.tokenizer_path())
-    tokenizer.encode_special_tokens = True
     return lambda text: [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
 
 
@@ -67,10 +66,70 @@ def test_kneser_ney_differences_follow_the_classes():
     words, counts = ["good", "goods", "bad", "badly", "fine"], np.array([[9, 0], [5, 0], [0, 9], [0, 5], [4, 4]], float)
     bits = toxicity.KneserNey(words, counts).differences(["good", "bad", "bads", "fine", "zzz"])[:, 0]
     assert bits[0] < -1 < 1 < bits[1] and bits[2] > 1 and abs(bits[3]) < abs(bits[1])
-    # The chances of all next bytes add up to one in either model.
     assert toxicity.features(np.zeros(0)) == (0.0, 0.0, 0.0)
 
 
+def test_kneser_ney_differences_equal_brute_force():
+    words, counts = ["abc", "abd", "bcd", "cab", "cc"], np.array([[3, 0], [1, 2], [0, 2], [4, 1], [1, 1]], float)
+    order = 2
+    places = [[(tuple(s[max(0, i - order) : i]), s[i]) for i in range(1, len(s))] for s in ([" ", *w, "\0"] for w in words)]
+
+    def spread(counted):
+        """Discounted shares and what is left for the shorter context: {context: ({byte: share}, rest)}."""
+        values = toxicity.discounts(np.array(list(counted.values()), float))
+        taken, out = dict(zip(counted, values, strict=True)), {}
+        for (c, b), n in counted.items():
+            total = sum(m for (d, _), m in counted.items() if d == c)
+            shares, rest = out.setdefault(c, ({}, sum(taken[d, x] for d, x in counted if d == c) / total))
+            shares[b] = (n - taken[c, b]) / total
+        return out
+
+    seen = {(c, b) for p in places for c, b in p}
+    tables = []
+    for k in range(order):  # continuations: in how many contexts one byte longer a byte follows a context
+        longer = {(c[len(c) - k - 1 :], b) for c, b in seen if len(c) > k}
+        tables.append(spread({(s, b): sum(1 for d, x in longer if d[1:] == s and x == b) for s, b in {(c[1:], b) for c, b in longer}}))
+
+    def below(k, context, byte):
+        if k < 0:
+            return 1 / 257
+        shares, rest = tables[k][context[len(context) - k :]]
+        return shares.get(byte, 0.0) + rest * below(k - 1, context, byte)
+
+    def chance(c):
+        held: dict = {}
+        for w, p in enumerate(places):
+            for full, b in p:
+                held[full, b] = held.get((full, b), 0.0) + counts[w, c]
+        values = toxicity.discounts(np.array([held[x] for x in sorted(held)]))
+        taken = dict(zip(sorted(held), values, strict=True))
+        out = {}
+        for full, b in seen:
+            total = sum(n for (d, _), n in held.items() if d == full)
+            rest = sum(t for (d, _), t in taken.items() if d == full) / total if total else 1.0
+            out[full, b] = (held[full, b] - taken[full, b]) / total if total else 0.0
+            out[full, b] += rest * below(len(full) - 1, full, b)
+        return out
+
+    ordinary, toxic = chance(0), chance(1)
+    found = toxicity.KneserNey(words, counts, order).differences(words)[:, 0]
+    wanted = [sum(np.log2(toxic[x]) - np.log2(ordinary[x]) for x in p) for p in places]
+    assert np.allclose(found, wanted)
+
+
+def test_all_labelled_texts_are_counted(spark):
+    rows = [(i, "good words here" if i % 4 else "vile words here", int(i % 4 == 0)) for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    small = toxicity.train(frame, max_documents=20)
+    assert small.weights is not None and float(small.language.differences(["vile"])[0, 0]) > 3 > 0 > float(small.language.differences(["good"])[0, 0])
+    pruned = toxicity.train(frame, model_words=2)
+    assert abs(float(pruned.language.differences(["vile"])[0, 0])) < 3  # "here" and "words" are published: of "vile" little is known
+
+
+def test_words_keep_their_combining_marks():
+    assert byte_words.words_of("\u0939\u093f\u0928\u094d\u0926\u0940 x1y Cafe\u0301") == ["\u0939\u093f\u0928\u094d\u0926\u0940", "x", "y", "cafe\u0301"]
+
+
 def test_chat_round_trip(spark):
     turns = [[("user", "</s>[INST] ok [/INST]"), ("assistant", "\\[OUT] <<SYS>>"), ("tool", "[SAYS]x[/ROLE]\n")], [], [("", ""), ("system", "<</SYS>><"), ("assistant", " \\\\ ")]]
     rows = spark.createDataFrame([(i, [{"role": r, "text": t} for r, t in ts]) for i, ts in enumerate(turns)], "i int, turns array<struct<role: string, text: string>>")
@@ -78,6 +137,24 @@ def test_chat_round_trip(spark):
     assert {r["i"]: [(t["role"], t["text"]) for t in r["t"]] for r in back} == dict(enumerate(turns))
 
 
+def test_roles_stay_and_unknown_fields_tell_layouts_apart(spark):
+    records = ['{"messages": [{"role": "human", "content": "a"}, {"role": "gpt", "content": "b"}, {"role": "assistant", "content": "c</s>"}]}', '{"messages": [{"role": "user", "content": "a"}], "extra": {"x": 1}}', '{"messages": [{"role": "user", "content": "a"}], "extra": {"y": 1}}']
+    found = chat_format.format_chats(spark.createDataFrame([(i, r) for i, r in enumerate(records)], "i int, record string")).orderBy("i").collect()
+    assert [t["role"] for t in found[0]["turns"]] == ["human", "gpt", "assistant"] and len({r["schema_fingerprint"] for r in found}) == 3
+    assert found[1]["mapping"] is None and found[1]["turns"] is None
+    (span,) = found[0]["loss_spans"]
+    assert found[0]["formatted"][span["start"] : span["end"]] == "c<\\/s>"
+    loss = spark.createDataFrame([(found[0]["formatted"],)], "f string").select(chat_format.loss_text(F.col("f"))).first()[0]
+    assert loss == "c</s>"
+
+
+def test_conversations_without_ids_or_roles(spark):
+    rows = spark.createDataFrame([(None, 0, None, "a"), (None, 1, "assistant", None), (3, 0, "", "")], "conv_id long, turn long, role string, text string")
+    done = chat_format.format_chats(chat_format.records_of_turns(rows))
+    found = {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in done.collect()}
+    assert found == {None: [("", "a"), ("assistant", "")], 3: [("", "")]}
+
+
 def test_chat_layouts_become_turns(spark):
     records = ['{"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}]}', '{"conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}]}', '{"prompt": "a", "completion": "b"}', '{"instruction": "a", "output": "b"}', '{"strange": 1, "prompt": "a"}', "no json", None]
     found = chat_format.format_chats(spark.createDataFrame([(i, r) for i, r in enumerate(records)], "i int, record string")).orderBy("i").collect()
@@ -171,16 +248,71 @@ def test_passages_follow_the_content_of_any_script(spark):
     assert all("".join(r["cut"]) == r["text"] and r["kept"] >= r["n"] - 2 for r in moved.collect())
 
 
+def _digest(value: int) -> int:
+    """48 bits with 16 check bits behind them, as a long."""
+    top = (value << 16) & ((1 << 64) - 1)
+    top -= (top >> 63) << 64
+    return top | (xxhash64_long(top) & 65535)
+
+
+def xxhash64_long(value: int) -> int:
+    return xxhash.xxh64_intdigest((value & ((1 << 64) - 1)).to_bytes(8, "little"), 42)
+
+
 def test_peeling_recovers_the_difference(spark):
     rng = random.Random(4)
     rows = []
     for i in range(200):
-        pool = [rng.getrandbits(63) - (1 << 62) for _ in range(rng.choice((0, 1, 3, 10, 60, 400)))]
+        pool = [_digest(rng.getrandbits(48)) for _ in range(rng.choice((0, 1, 3, 10, 60, 400)))]
         rows.append((i, sorted(set(rng.sample(pool, rng.randint(0, len(pool))))), sorted(set(rng.sample(pool, rng.randint(0, len(pool)))))))
     found = spark.createDataFrame(rows, "i int, a array<long>, b array<long>").select("i", doc_fingerprint.difference("a", "b").alias("d")).collect()
     assert {r["i"]: r["d"] for r in found} == {i: len(set(a) ^ set(b)) for i, a, b in rows}
 
 
+def _passages(text: str) -> set[str]:
+    """The passages of a text by plain Python."""
+    import re
+
+    units = [u for w in re.split(r"(?<=\s)(?!\s)", text) for u in ([w] if len(w) <= 24 else list(w))]
+    found, held = set(), []
+    for i, u in enumerate(units):
+        held.append(u)
+        window = [units[j] for j in range(i - 2, i + 1) if j >= 0]
+        h = 42
+        for w in window:
+            h = xxhash.xxh64_intdigest(w.encode(), h)
+        if h % 8 == 0 or i + 1 == len(units) or len(held) == 64:
+            found.add("".join(held))
+            held = []
+    return found
+
+
+def test_likeness_is_that_of_the_passages_and_of_the_written_fingerprints(spark, docs):
+    frame = doc_fingerprint.fingerprint_documents(docs)
+    found = frame.select("*", doc_fingerprint.written_likeness("fingerprint", "edited_fingerprint").alias("read")).collect()
+    text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    order = sorted(text, reverse=True)
+    after = dict(zip(order, order[1:] + order[:1], strict=True))
+    decoded = [r for r in found if r["read"] is not None]
+    assert len(decoded) > 0.3 * len(found) and all(abs(r["read"] - r["near_edited"]) < 1e-12 for r in decoded)
+    for r in found:
+        own, other = text[r["doc_id"]], text[after[r["doc_id"]]]
+        half = len(own) // 2
+        for mine, name in ((own[: len(own) - half] + other[:half], "near_edited"), (other, "near_next")):
+            a, b = _passages(own), _passages(mine)
+            wanted = len(a & b) / len(a | b) if a | b else 1.0
+            assert abs(r[name] - wanted) < 1e-12, (r["doc_id"], name)
+
+
+def test_ids_in_one_stretch_without_ids_and_far_out_meet_their_next(spark):
+    rows = [(i, f"text number {i} of the stretch") for i in range(40)] + [(1 << 60, "far out")] + [(None, f"nameless {i}") for i in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = doc_fingerprint.with_next(frame, min_bucket=4).collect()
+    after = {(r["doc_id"], r["text"]): r["next_text"] for r in found}
+    assert len(found) == len(rows) and after[1 << 60, "far out"] == rows[39][1] and all(after[i, rows[i][1]] == rows[i - 1][1] for i in range(1, 40))
+    assert len(set(after.values())) == len(rows) and after[0, rows[0][1]].startswith("nameless")
+
+
 def test_fingerprint_edges(spark, edges):
     found = doc_fingerprint.fingerprint_documents(edges).collect()
     assert len(found) == len(EDGES) and len({r["fingerprint"] for r in found if r["n_chars"] == 0}) == 1
@@ -244,6 +376,12 @@ def test_nearest_neighbours_recall(spark):
     assert hits >= 0.9 * 10 * len(found)
 
 
+def test_nearest_neighbours_with_ties_and_few_candidates(spark):
+    rows = [(i, [1.0, 0.0] if i in (3, 5, 9) else [0.0, float(i + 1)]) for i in range(7)] + [(9, [1.0, 0.0])]
+    found = inverted_multi_index.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [r["vec_id"] for r in found] == [1, 3, 5, 9, 2, 4, 6] and [r["rank"] for r in found] == list(range(1, 8))
+
+
 def test_pairs_are_visited_by_summed_distance():
     rng = np.random.default_rng(1)
     a, b, counts = rng.random(7), rng.random(7), rng.integers(0, 3, (7, 7))
@@ -366,6 +504,28 @@ def test_mix_meets_its_targets(spark, edges):
     assert source_mix.mixed_words(edges).count() == len(EDGES) and source_mix.mixed_words(edges.limit(0)).isEmpty()
 
 
+def test_repeated_rows_do_not_pass_their_target(spark):
+    rows = [(i, f"w{i} " * (5 + i % 97), "abc"[i % 3]) for i in range(180)]
+    rows = [r for r in rows for _ in range(6 if r[2] == "b" else 1)]
+    found = source_mix.mixed_words(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for s in range(3):
+        mine = [r for r in found if r["doc_id"] % 3 == s]
+        assert sum(r["taken"] for r in mine) <= mine[0]["target"] <= sum(r["taken"] for r in mine) * 1.03
+        assert all(r["taken"] == r["size"] * len(r["shards"]) for r in mine)
+
+
+def test_running_sums_cut_into_runs(spark):
+    rows = [(k, i, 1 + i % 5) for k in range(3) for i in range(200 if k else 3)]
+    frame = spark.createDataFrame(rows, "k int, i int, v long")
+    order = F.xxhash64("i")
+    found = source_mix._running(frame, "k", order, ["i"], F.col("v")).withColumn("h", order).collect()
+    for k in range(3):
+        total = 0
+        for r in sorted((r for r in found if r["k"] == k), key=lambda r: r["h"]):
+            total += r["v"]
+            assert r["sum"] == total
+
+
 def test_quotas_split_exactly(spark):
     ends = source_mix.split_quotas(spark.createDataFrame([(0, 1000), (1, 7), (2, 0)], "source_no int, quota long"), 8).collect()
     assert {r["source_no"]: r["ends"][-1] for r in ends} == {0: 1000, 1: 7, 2: 0}
@@ -391,6 +551,34 @@ def test_packing_is_whole_and_tight(spark, docs, ids):
     assert len(sequences) <= least * 1.05 + 2
 
 
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_packing_takes_no_more_sequences_than_best_fit(spark, ids, sf):
+    lengths = [len(ids(r["text"])) for r in spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet").select("text").collect()]
+    pieces = [p for n in lengths for p in [1024] * ((n - 1) // 1024) + [(n - 1) % 1024 + 1]]
+    rooms: list[int] = []
+    for p in sorted(pieces, reverse=True):  # best-fit decreasing, piece by piece
+        fits = [i for i, room in enumerate(rooms) if room >= p]
+        if fits:
+            rooms[min(fits, key=rooms.__getitem__)] -= p
+        else:
+            rooms.append(1024 - p)
+    histogram = {p: pieces.count(p) for p in set(pieces)}
+    plan = packing.plan_packing(histogram, 1024)
+    used: dict = {}
+    for k, held in plan:
+        assert sum(held) <= 1024
+        for p in held:
+            used[p] = used.get(p, 0) + k
+    assert used == histogram and sum(k for k, _ in plan) <= min(len(rooms), -(-sum(pieces) // 1024) * 1.005 + 1)
+
+
+def test_special_tokens_and_odd_white_space_are_the_librarys(spark, ids):
+    texts = ["x<|endoftext|>y", "a <|endoftext|> b", "end.\nNext, line", "a  b \n c", "tail. ", "\u00a0 x", "nul\x00l, x", "don't stop!  ", "mixed 12.5% \u4e2d\u6587, yes"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["ids_crc32"] for r in token_store.read_token_shards(token_store.write_token_shards(rows, queries.tokenizer_path())).collect()}
+    assert found == {i: crc(ids(t)) for i, t in enumerate(texts)} and 50256 in ids(texts[0])
+
+
 def test_packing_edges(spark, edges):
     assert packing.pack(edges, queries.tokenizer_path()).filter("piece = 0").count() == len(EDGES)
     assert packing.pack(edges.limit(0), queries.tokenizer_path()).isEmpty()
@@ -402,6 +590,31 @@ def test_knapsack_prices_the_best_configuration():
     assert float(packing.price(lengths, values, 13) @ values) == best
 
 
+def test_executors_need_no_copy_of_the_package(tmp_path):
+    import subprocess
+    import sys
+
+    code = f"""
+import sys; sys.path.insert(0, {str(__import__("pathlib").Path(queries.__file__).parents[2])!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}/shared").getOrCreate()
+from ledgerlight.llm import lang_id, toxicity
+rows = spark.createDataFrame([(i, "good text" if i % 2 else "vile text", "en", i % 2) for i in range(40)], "doc_id long, text string, lang string, toxic int")
+print("FOUND", lang_id.predict(rows, lang_id.train(rows)).count(), toxicity.score(rows, toxicity.train(rows)).count())
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "FOUND 40 40" in done.stdout, done.stderr[-2000:]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from ledgerlight.llm import cluster
+
+    with pytest.raises(ValueError):
+        cluster.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda name, other: other), sparkContext=SimpleNamespace(master="spark://host:7077")))
+
+
 def test_word_tables_stay_bounded():
     table = byte_words.WordTable(lambda ws: np.array([[float(len(w))] for w in ws]), 1, max_words=2)
     for words in (["a", "bb"], ["ccc"], ["dddd", "a"]):
@@ -417,3 +630,13 @@ def test_pipeline_stages(spark):
     assert masked.columns == docs.columns and masked.count() == kept.count()
     mixed = corpus_pipeline.mix_sources(spark, masked, SF)
     assert mixed.columns == docs.columns and corpus_pipeline.pack_documents(spark, mixed, SF).count() >= mixed.count()
+
+
+def test_pipeline_stages_at_their_edges(spark, edges):
+    import corpus_pipeline
+
+    docs = edges.select("doc_id", "text", "lang", "source", "n_chars", F.lit(1).alias("shard"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), SF).isEmpty() and stage(spark, docs, SF).columns == docs.columns
+    assert corpus_pipeline.drop_near_duplicates(spark, docs, SF).count() == 4  # empty, "word", long, words: one each
+    assert corpus_pipeline.pack_documents(spark, docs, SF).filter("piece = 0").count() == len(EDGES)
