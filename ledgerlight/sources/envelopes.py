@@ -43,7 +43,9 @@ def envelope_faults(envelopes: DataFrame) -> DataFrame:
 
 def bars_of(envelopes: DataFrame) -> DataFrame:
     """A row per bar: symbol, bar (variant) and its provenance."""
-    parsed = F.try_parse_json("response_payload_json")
+    # JSON has no NaN; what some servers write becomes an object that the validator knows.
+    spelled = F.regexp_replace("response_payload_json", r"(?<=[:,\[\s])(-?Infinity|NaN)(?=\s*[,}\]])", '{"nonfinite":"$1"}')
+    parsed = F.try_parse_json(spelled)
     by_symbol = F.try_variant_get(parsed, "$.bars", "map<string, array<variant>>")
     rows = envelopes.select("source_response_id", "ingestion_run_id", "fetched_at", F.explode(by_symbol).alias("symbol", "bars"))
     return rows.select("source_response_id", "ingestion_run_id", "fetched_at", F.trim("symbol").alias("symbol"), F.explode("bars").alias("bar"))

@@ -8,27 +8,37 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ledgerlight.operators.versions import latest_one
 
+_RULE = "key array<string>, version string, tie string"
+
 
 def keep_current(stream: DataFrame, target: str, checkpoint: str, key: list[str], version: str, tie: str) -> StreamingQuery:
-    """Folds every micro-batch into the current version per key.
+    """Keeps the current version per key of a stream, at a cost that follows each micro-batch and not what came before.
 
-    Each batch writes ``target/<batch>``, from what the batch before wrote and the new
-    rows; a repeated batch overwrites its own output, so a restart changes nothing.
+    A batch writes only its own winners, to ``target/<batch>``; a repeated batch
+    overwrites its own output, so a restart changes nothing. Reading (``read_kept``)
+    picks the winner among batches; ``compact`` folds old batches into one.
     """
     columns = stream.columns
 
     def fold(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.select(*columns)
-        if number > 0:
-            rows = rows.unionByName(spark.read.parquet(f"{target}/{number - 1:09d}").select(*columns))
-        latest_one(rows, key, [F.col(version).desc(), F.col(tie)]).write.mode("overwrite").parquet(f"{target}/{number:09d}")
+        if number == 0:
+            rule = batch.sparkSession.createDataFrame([(key, version, tie)], _RULE)
+            rule.coalesce(1).write.mode("overwrite").json(f"{target}/_rule")
+        latest_one(batch.select(*columns), key, [F.col(version).desc(), F.col(tie)]).write.mode("overwrite").parquet(f"{target}/{number:09d}")
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_kept(spark: SparkSession, target: str, number: int) -> DataFrame:
-    return spark.read.parquet(f"{target}/{number:09d}")
+def read_kept(spark: SparkSession, target: str, number: int, since: int = 0) -> DataFrame:
+    """The current versions after batch ``number``; ``since``: the batch that older ones were folded into."""
+    rule = spark.read.schema(_RULE).json(f"{target}/_rule").first()
+    rows = spark.read.parquet(*[f"{target}/{n:09d}" for n in range(since, number + 1)])
+    return latest_one(rows, rule["key"], [F.col(rule["version"]).desc(), F.col(rule["tie"])])
+
+
+def compact(spark: SparkSession, target: str, number: int, since: int = 0) -> None:
+    """Folds the batches from ``since`` to ``number`` into ``target/compacted-<number>``: the base of later reads, once moved in place of batch ``number``."""
+    read_kept(spark, target, number, since).write.mode("overwrite").parquet(f"{target}/compacted-{number:09d}")
 
 
 def windowed_counts(stream: DataFrame, time_col: str = "ts", late: str = "7 days", width: str = "1 day") -> DataFrame:

@@ -79,9 +79,9 @@ def test_bars_are_validated_by_kind_of_number(spark):
     good = '{"t": "2026-01-05T05:00:00Z", "o": 10, "h": 11.5, "l": 9, "c": 10.25, "v": 100}'
     cases = [good, good.replace("10.25", '"10.25"'), good.replace("10.25", "true"), good.replace("10.25", "10.123456789"), good.replace("100}", "0}"), good.replace("05:00:00Z", "05:00:00"), good.replace('"h": 11.5', '"h": 10.1'), '{"t": "2026-01-05T05:00:00Z"}']
     rows = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, j string").select("i", F.lit("A").alias("symbol"), F.parse_json("j").alias("bar"), F.lit("2026-01-09 00:00:00").cast("timestamp").alias("fetched_at"))
-    issues = {r["i"]: r["issues"] for r in validate.validate_bars(rows).collect()}
+    issues = {r["i"]: [i["code"] for i in r["issues"]] for r in validate.validate_bars(rows).collect()}
     assert issues[0] == [] and issues[1] == issues[2] == ["numeric_type"] and issues[3] == ["decimal_20_8"] and issues[4] == ["not_positive"]
-    assert issues[5][0] == "invalid_timestamp" and issues[6] == ["outside_low_high"] and "required_field" in issues[7]
+    assert issues[5][0] == "invalid_timestamp" and issues[6] == ["outside_low_high"] and issues[7] == ["required_field"] * 5
 
 
 def test_envelopes_open_into_bars_articles_facts(spark):
@@ -98,11 +98,30 @@ def test_articles_and_facts_report_their_issues(spark):
     bad = a.replace("https://x", "https://user:pw@x").replace("7", "true")
     rows = spark.createDataFrame([(1, a), (2, bad)], "i int, j string").select("i", F.parse_json("j").alias("article"), F.lit("2026-02-01 00:00:00").cast("timestamp").alias("fetched_at"))
     found = {r["i"]: r for r in validate.validate_articles(rows, ["A", "B"]).collect()}
-    assert found[1]["issues"] == [] and found[1]["configured_symbols"] == ["A", "B"] and found[2]["issues"] == ["article_id", "url"]
+    assert found[1]["issues"] == [] and found[1]["configured_symbols"] == ["A", "B"] and [tuple(i) for i in found[2]["issues"]] == [("invalid_article_id", "id"), ("invalid_citation_url", "url")]
     f = '{"start": "2025-01-01", "end": "2025-12-31", "val": -5, "accn": "0000000001-26-000001", "fy": 2025, "form": "10-K", "filed": "2026-02-01"}'
     rows = spark.createDataFrame([(1, "Revenues", f), (2, "Assets", f), (3, "Revenues", f.replace("2025,", "true,"))], "i int, concept string, j string").select("i", "concept", F.parse_json("j").alias("observation"))
-    found = {r["i"]: r["issues"] for r in validate.validate_facts(rows, ["Assets"]).collect()}
-    assert found == {1: [], 2: ["period"], 3: ["fiscal_year"]}
+    found = {r["i"]: [tuple(i) for i in r["issues"]] for r in validate.validate_facts(rows, ["Assets"]).collect()}
+    assert found == {1: [], 2: [("unexpected_start_for_instant_fact", "start")], 3: [("invalid_optional_integer", "fy")]}
+    odd = [f.replace("-5", "1.123456789"), f.replace("-5", "123456789012345678901"), f.replace("-5", '"5"'), f.replace('"2025-01-01"', '"2026-01-01"'), "[1]", f.replace('"10-K"', '" "').replace("0000000001-26-000001", "1")]
+    rows = spark.createDataFrame([(i, o) for i, o in enumerate(odd)], "i int, j string").select("i", F.lit("Revenues").alias("concept"), F.parse_json("j").alias("observation"))
+    found = {r["i"]: [i["code"] for i in r["issues"]] for r in validate.validate_facts(rows, ["Assets"]).collect()}
+    assert found == {0: ["fact_value_exceeds_scale"], 1: ["fact_value_out_of_range"], 2: ["invalid_fact_value"], 3: ["period_start_after_end"], 4: ["observation_not_object"], 5: ["invalid_accession_number", "missing_or_invalid_required_string"]}
+
+
+def test_articles_say_what_is_wrong_where(spark):
+    a = '{"id": 7, "headline": "H", "source": "s", "url": "https://x.org/a", "summary": null, "content": " ", "created_at": "2026-01-01T00:00:00Z", "updated_at": "2026-01-02T00:00:00Z", "symbols": []}'
+    odd = [a, a.replace("01T00:00:00Z", "01T00:00:00"), a.replace("2026-01-01", "2026-01-03"), a.replace("2026-01-02", "2027-01-02"), a.replace('"H"', "3").replace("null", "5"), a.replace("[]", '["A", " "]'), a.replace("[]", "3"), a.replace("2026-01-02T", "soon")]
+    rows = spark.createDataFrame([(i, o) for i, o in enumerate(odd)], "i int, j string").select("i", F.parse_json("j").alias("article"), F.lit("2026-02-01 00:00:00").cast("timestamp").alias("fetched_at"))
+    found = {r["i"]: [i["code"] for i in r["issues"]] for r in validate.validate_articles(rows, ["A"]).collect()}
+    assert found == {0: [], 1: ["timezone_required"], 2: ["created_after_updated"], 3: ["updated_after_fetched"], 4: ["invalid_required_string", "invalid_optional_string"], 5: ["invalid_symbol_tag"], 6: ["invalid_symbols"], 7: ["invalid_timestamp"]}
+
+
+def test_numbers_that_json_cannot_say_are_not_finite(spark):
+    payload = '{"bars": {"A": [{"t": "2026-01-05T05:00:00Z", "o": NaN, "h": 1, "l": 1, "c": -Infinity, "v": 1}]}}'
+    e = spark.createDataFrame([("r1", payload, "x")], "source_response_id string, response_payload_json string, ingestion_run_id string").withColumn("fetched_at", F.lit("2026-02-01 00:00:00").cast("timestamp"))
+    assert [tuple(i) for i in validate.validate_bars(envelopes.bars_of(e)).first()["issues"]] == [("nonfinite", "open"), ("nonfinite", "close")]
+    assert validate.issue_counts(validate.validate_bars(envelopes.bars_of(e))).count() == 2
 
 
 def test_trailing_months_bridge(spark):
