@@ -255,6 +255,8 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     guests = tops.select(F.col("range").alias("of"), F.col("top.text").alias("text")).join(broadcast_if_small(below, 100_000), "of")
     guests = guests.select(F.lit(None).cast("long").alias("doc_id"), "text", "range", F.lit(True).alias("guest"))
     both = rows.withColumn("guest", F.lit(False)).unionByName(guests).withColumn("keys", digests("text"))
+    # Ranges are many where there is much: so are the partitions, whatever the session's setting.
+    both = both.repartition(max(1, (len(by_id) + len(by_hash)) // 4), "range")
     order = Window.partitionBy("range").orderBy("guest", F.col("doc_id").desc_nulls_last(), mixed, "text")
     both = both.withColumn("_next", F.lead(F.struct("text", "keys")).over(order)).filter(~F.col("guest"))
     return both.select("doc_id", "text", "keys", F.col("_next.text").alias("next_text"), F.col("_next.keys").alias("next_keys"))
