@@ -14,7 +14,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlight.llm.subword import chunks_of_text
@@ -105,6 +105,17 @@ def rows_of_texts(table: WordTable, texts: pa.Array):
         yield from table.rows(words)
 
 
+def most_held(per_word: DataFrame, times: Column, most: int) -> DataFrame:
+    """The words that most texts hold, about ``most`` at most; of words of the last count those of the smallest hash. The cut is found from how many words have each count."""
+    cut, share, room = 0, 1.0, most
+    for r in sorted(per_word.groupBy(times.alias("times")).agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True):
+        if r["words"] > room:
+            cut, share = r["times"], room / r["words"]
+            break
+        room -= r["words"]
+    return per_word.filter((times > cut) | ((times == cut) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < share * (1 << 20))))
+
+
 def held_out(of: Column, folds: int, fold: int) -> Column:
     """Whether a row is held out: crc32 of the id as text, modulo ``folds``; a null id counts as empty text."""
     return (F.crc32(F.coalesce(of.cast("string"), F.lit(""))) % folds) == fold

@@ -73,7 +73,7 @@ SELECT conv_id, n AS n_turns, sha256(whole) AS turns_sha256, length(t)::BIGINT A
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    scanned = secret_scan.scan(docs, secret_scan.train(secret_scan.labelled_findings(spark)), path_col="source")
+    scanned = secret_scan.scan(docs, secret_scan.train_for(docs), path_col="source")
     return scanned.select("doc_id", "secret_candidates", F.size("secrets").cast("long").alias("n_secrets"), "secrets", F.sha2("redacted", 256).alias("redacted_sha256"))
 
 

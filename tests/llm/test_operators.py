@@ -206,6 +206,16 @@ def test_quoted_and_aligned_names_propose_their_values(spark):
     assert [password in r["redacted"] for r in found] == [False] * len(rows)
 
 
+def test_dictionary_comes_from_all_documents(spark):
+    rows = spark.createDataFrame([(f"zorblat common{i} words",) for i in range(40)] + [("once",), (None,), ("zorblat",)], "text string")
+    known = secret_scan.dictionary_of(rows)
+    assert {"zorblat", "words", "common"} <= known and "once" not in known and secret_scan.KNOWN <= known
+    assert secret_scan.dictionary_of(rows.limit(0)) == secret_scan.KNOWN
+    assert secret_scan.coverage("zorblat-x9-words", known) == 12 / 16 and secret_scan.coverage("", known) == 0
+    plain, secret = (secret_scan.features(c, "key ", " ", "", known) for c in ("zorblat-words-common-3", "xk3lq-wprtz-mnbvcq-3"))
+    assert plain[12] > 0.7 > secret[12]
+
+
 def test_candidates_take_linear_time():
     for text in ("a-" * 100_000, "x:" * 100_000, "a" + " " * 200_000, "1a=bcdefgh " * 20_000, "a1" * 200_000):
         start = time.time()
