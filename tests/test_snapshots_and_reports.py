@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ledgerlight.functions import text as T
 from ledgerlight.functions.decimals import half_even_ratio
-from ledgerlight.operators import boundary, claims, filings, market, quality, reports, retrieval, serving, snapshots, versions
-from ledgerlight.sources import envelopes
+from ledgerlight.operators import boundary, claims, filings, market, quality, reports, retrieval, serving, sessions, snapshots, versions
+from ledgerlight.sources import envelopes, replay
 
 
 def test_ratios_are_rounded_once(spark):
@@ -291,3 +291,25 @@ def test_small_checks_of_arrays_and_texts(spark):
     assert [r["i"] for r in quality.unsorted_sets(rows, "s").collect()] == [2] and sorted(r["i"] for r in quality.short_texts(rows, "t").collect()) == [2, 3]
     said = spark.createDataFrame([(" aapl\t", "https://x.org:8/a", Decimal("-1234567.885"))], "s string, u string, v decimal(20,3)").select(T.symbol(F.col("s")), T.authority(F.col("u")), T.grouped_money(F.col("v")), T.short_money(F.col("v"))).first()
     assert tuple(said) == ("AAPL", "x.org:8", "-1,234,567.88", "USD -1.23M")
+
+
+def test_sessions_come_back_as_they_were_sealed():
+    key = b"0123456789abcdef"
+    sealed = sessions.seal({"b": 1, "a": "ü"}, key)
+    assert sessions.opened(json.loads(json.dumps(sealed)), key) == {"a": "ü", "b": 1}
+    for broken in (sealed | {"payload": {"a": "u", "b": 1}}, sealed | {"signature": "0" * 64}, {}):
+        with pytest.raises(ValueError):
+            sessions.opened(broken, key)
+
+
+def test_pages_are_followed_to_their_end(spark, tmp_path):
+    pages = {"r1/first": {"bars": {"A": [1, 2]}, "next_page_token": "p2"}, "r1/p2": {"bars": {"A": [3]}, "next_page_token": None}, "r2/first": {"bars": {}}}
+    for name, page in pages.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / f"{name}.json").write_text(json.dumps(page))
+    replay.register(spark)
+    read = lambda: spark.read.format("paged_replay").option("path", str(tmp_path)).load()
+    assert sorted((r["request"], r["page_number"], r["response_page_token"], r["records_received"]) for r in read().collect()) == [("r1", 1, None, 2), ("r1", 2, "p2", 1), ("r2", 1, None, 0)]
+    (tmp_path / "r1/p2.json").write_text(json.dumps({"bars": {}, "next_page_token": "p2"}))
+    with pytest.raises(Exception, match="names no new page"):
+        read().collect()
