@@ -73,6 +73,20 @@ def documents(rows: DataFrame, *, id_prefix: str, key: str, text: str, version_f
     return kept.withColumn("document_version_id", T.content_id(**identity))
 
 
+def news_documents(articles: DataFrame) -> DataFrame:
+    """Research documents of articles (article_id, headline, content, summary, created_at, ...): id, title, evidence date; those without text are left out."""
+    rows = articles.withColumn("document_text", article_text(F.col("content"), F.col("summary"))).filter("document_text is not null")
+    return rows.withColumns({"document_id": F.concat_ws(":", F.lit("alpaca:news"), F.col("article_id").cast("string")), "title": F.col("headline"), "evidence_date": F.to_date("created_at"), "source_type": F.lit("news"), "text_origin": F.when(F.nullif(visible_text(F.col("content")), F.lit("")).isNull(), "summary").otherwise("content")})
+
+
+def all_documents(*parts: DataFrame) -> DataFrame:
+    """Documents of several sources as one table; what a source has no column for is null."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
 def chunk_spans(text: str, target: int = 2400, most: int = 3200, overlap: int = 300) -> Iterator[tuple[int, int]]:
     """Half-open spans that cover a text, cut at the best boundary between ``target`` and ``most`` characters."""
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerlight.functions import text as T
 from ledgerlight.functions.decimals import half_even_ratio
-from ledgerlight.operators import boundary, claims, filings, market, quality, reports, retrieval, serving, sessions, snapshots, versions
+from ledgerlight.operators import boundary, claims, corpus, filings, market, quality, reports, retrieval, serving, sessions, snapshots, versions
 from ledgerlight.sources import envelopes, replay
 
 
@@ -313,3 +313,39 @@ def test_pages_are_followed_to_their_end(spark, tmp_path):
     (tmp_path / "r1/p2.json").write_text(json.dumps({"bars": {}, "next_page_token": "p2"}))
     with pytest.raises(Exception, match="names no new page"):
         read().collect()
+
+
+def test_documents_of_both_sources_are_one_table(spark):
+    news = spark.createDataFrame([(7, "H", "<p>a <b>b</b></p><script>x</script>", "s", dt.datetime(2026, 1, 2)), (8, "I", " ", "sum", dt.datetime(2026, 1, 2)), (9, "J", None, "", dt.datetime(2026, 1, 2))], "article_id long, headline string, content string, summary string, created_at timestamp")
+    section = spark.createDataFrame([("A", "0000000001-25-000001", "10-K", dt.date(2025, 1, 2), "item_1", "Business", "text")], "project_symbol string, accession_number string, filing_form string, filing_date date, section_code string, section_title string, section_text string")
+    found = corpus.all_documents(corpus.news_documents(news), filings.filing_documents(section))
+    rows = {r["document_id"]: (r["title"], r["document_text"], r["evidence_date"], r["section_code"]) for r in found.collect()}
+    assert rows == {"alpaca:news:7": ("H", "a b", dt.date(2026, 1, 2), None), "alpaca:news:8": ("I", "sum", dt.date(2026, 1, 2), None), "sec:filing:0000000001-25-000001:item_1": ("10-K - Business", "text", dt.date(2025, 1, 2), "item_1")}
+
+
+def test_companies_need_two_sections_of_one_response(spark):
+    rows = spark.createDataFrame([("a", "r1"), ("a", "r1"), ("b", "r2"), ("c", "r3"), ("c", "r4")], "cik string, source_response_id string")
+    assert sorted((r["cik"], r["sections"], r["responses"]) for r in filings.section_coverage(rows).collect()) == [("b", 1, 1), ("c", 2, 2)]
+
+
+def test_tables_snapshots_and_what_is_new_in_them(spark, tmp_path):
+    from ledgerlight.sinks import snapshots as sink
+
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS made LOCATION 'file://{tmp_path}/db'")
+    for _ in range(2):
+        sink.create_if_absent(spark, "made.rows_of_a_run", "id BIGINT NOT NULL, ingestion_run_id STRING")
+    assert spark.table("made.rows_of_a_run").columns == ["id", "ingestion_run_id"]
+    with pytest.raises(ValueError):
+        sink.create_if_absent(spark, "made.x; DROP", "id INT")
+    root = f"file://{tmp_path}/root"
+    docs, chunks = (lambda ids: spark.createDataFrame([(i,) for i in ids], "document_id int")), (lambda ids: spark.createDataFrame([(f"c{i}", i) for i in ids], "chunk_id string, document_id int"))
+    sink.publish(spark, root, "s1", {"docs": docs([1, 2]), "chunks": chunks([1, 2])})
+    sink.publish(spark, root, "s2", {"docs": docs([2, 3]), "chunks": chunks([2, 3, 9])})
+    assert sorted(r["chunk_id"] for r in sink.changed_ids(spark, root, "chunks", 1, 2, "chunk_id").collect()) == ["c3", "c9"]
+    assert [r["document_id"] for r in sink.orphans_after(spark, root, "chunks", "docs", ["document_id"]).collect()] == [9]
+
+
+def test_facts_belong_to_their_configured_company(spark):
+    facts = spark.createDataFrame([("1", "A"), ("2", "X"), ("3", "C")], "cik string, project_symbol string")
+    known = spark.createDataFrame([("A", "1"), ("B", "2")], "project_symbol string, cik string")
+    assert {r["cik"]: r["fault"] for r in snapshots.facts_in_config(facts, known).collect()} == {"1": None, "2": "other_symbol", "3": "unknown_cik"}
