@@ -118,7 +118,8 @@ def _running(rows: DataFrame, key: str, order: Column, ties: list[str], value: C
     before = Window.partitionBy(key).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.select(key, "_run", F.coalesce(F.sum("_own").over(before), F.lit(0)).alias("_before"))
     own = Window.partitionBy(key, "_run").orderBy("_h", *ties).rowsBetween(Window.unboundedPreceding, 0)
-    return dealt.join(runs.hint("merge"), [key, "_run"]).withColumn("sum", F.col("_before") + F.sum(value).over(own)).drop("_h", "_run", "_before")
+    # Dealt by key and run, or the join would take the windows' dealing by key for both sides.
+    return dealt.join(runs.repartition(key, "_run").hint("merge"), [key, "_run"]).withColumn("sum", F.col("_before") + F.sum(value).over(own)).drop("_h", "_run", "_before")
 
 
 def shards_for(total_words: int, words_per_shard: int = 1_000_000) -> int:
