@@ -175,8 +175,9 @@ def number_within(df: DataFrame, key: str, order: list[str], salts: int) -> Data
     before = Window.partitionBy(key).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(key, "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     own = Window.partitionBy(key, "_salt").orderBy(*order)
+    # Dealt by key and salt, as the last window needs it; else the join would take the first window's dealing by key alone.
     return (
-        salted.join(offsets.hint("merge"), [key, "_salt"])  # the window needs the rows by these keys anyway
+        salted.join(offsets.repartition(key, "_salt").hint("merge"), [key, "_salt"])
         .withColumn("number", F.col("_before") + F.row_number().over(own) - 1)
         .drop("_salt", "_n", "_before")
     )
