@@ -27,6 +27,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every document, learning from labelled ones that are not held out. One row per row; null and empty texts score as texts without evidence, a null id is held out by the rule of an empty one."""
     docs, labels = (_table(spark, sf_dir, t) for t in ("documents", "labels"))
     docs = docs.select("doc_id", "text")
     out = held_out(F.col("doc_id"), 3, 1)
@@ -35,7 +36,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Formats every conversation and conversation -7, and reads the turns back from the output."""
+    """Formats every conversation and conversation -7, and reads the turns back from the output.
+
+    Null texts and roles are empty; ties in turn go by role and text; a null conv_id is one conversation.
+    """
     said = "</s>[INST] ok [/INST]"
     extra = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', :said), (-7L, 1L, 'assistant', :said) AS t(conv_id, turn, role, text)", args={"said": said})
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
@@ -72,16 +76,19 @@ SELECT conv_id, n AS n_turns, sha256(whole) AS turns_sha256, length(t)::BIGINT A
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scans every document. One row per row; a null text has no candidates and a null hash, a null source is an empty path."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     scanned = secret_scan.scan(docs, secret_scan.train_for(docs), path_col="source")
     return scanned.select("doc_id", "secret_candidates", F.size("secrets").cast("long").alias("n_secrets"), "secrets", F.sha2("redacted", 256).alias("redacted_sha256"))
 
 
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints every document and its edited text. One row per row; null texts are empty, null ids come last, equal ids in order of a hash of their text."""
     return doc_fingerprint.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicts the language of every document. One row per row; texts without a letter are ``und``, ties go to the smaller language."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = held_out(F.col("doc_id"), 4, 2)
     found = lang_id.predict(docs, lang_id.train(docs.filter(~out)))
@@ -89,23 +96,28 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches the vectors whose id is divisible by 100 among all. Null, zero and odd vectors and null ids take no part; ties go to the smaller id, repeated ids are one."""
     return inverted_multi_index.nearest_neighbours(_table(spark, sf_dir, "embeddings"))
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups every document by its fingerprint. One row per row; null and empty texts have fingerprint zero, null ids name a group only if it has no other."""
     return simhash_dedup.near_duplicate_groups(_table(spark, sf_dir, "documents"))
 
 
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes every document's ids and reads the files back. One row per row; null texts are the end id alone, null ids come first, equal ids in order of their text."""
     docs = _table(spark, sf_dir, "documents")
     return token_store.read_token_shards(token_store.write_token_shards(docs, tokenizer_path()))
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document. One row per row; null texts have size 0, null sources come last, equal rows are taken together."""
     return source_mix.mixed_words(_table(spark, sf_dir, "documents"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs every document. One row per piece; null texts are the end id alone, null and repeated ids are packed like others, and equal pieces take places as they come."""
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
