@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import chat_format, doc_fingerprint, inverted_multi_index, lang_id, packing, secret_scan, simhash_dedup, source_mix, token_store, toxicity
+from ledgerlight.llm import chat_format, collocations, doc_fingerprint, inverted_multi_index, lang_id, packing, secret_scan, simhash_dedup, source_mix, token_store, toxicity
 from ledgerlight.llm.byte_words import held_out
 
 #: Of the public tokenizer files, the one that queries use.
@@ -121,6 +121,32 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mines every document's phrases by lang. Null texts are empty, a null lang is ``und``, repeated rows count each time."""
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH words AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+), totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang), grams AS (
+  SELECT lang, unnest([array_to_string(w[i:i + k - 1], ' ') for i in range(1, len(w) - k + 2)]) AS phrase FROM words, (VALUES (1), (2), (3), (4)) AS t(k)
+), f AS (SELECT lang, phrase, count(*) AS f, string_split(phrase, ' ') AS w FROM grams GROUP BY lang, phrase HAVING count(*) >= 30),
+cuts AS (
+  SELECT lang, phrase, f AS a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS rest FROM f, (VALUES (1), (2), (3)) AS t(k) WHERE k < len(w)
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, k, h.f AS l, t.f AS r, ((2000000::HUGEINT * c.a) // (h.f + t.f))::BIGINT AS score
+  FROM cuts AS c JOIN f AS h ON c.lang = h.lang AND c.head = h.phrase JOIN f AS t ON c.lang = t.lang AND c.rest = t.phrase
+), weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1), inside AS (
+  SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, max(f) AS longer FROM f, (VALUES (2), (3)) AS t(k), (VALUES (1), (2), (3)) AS u(i) WHERE k < len(w) AND i + k - 1 <= len(w) GROUP BY 1, 2
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+  FROM weakest JOIN totals USING (lang) LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a)
+WHERE rank <= 2000
+"""
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_chat_format": op2_chat_format,
@@ -132,5 +158,6 @@ QUERIES = {
     "op8_token_store": op8_token_store,
     "op9_source_mix": op9_source_mix,
     "op10_packing": op10_packing,
+    "op11_collocations": op11_collocations,
 }
-ORACLES = {"op2_chat_format": OP2_SQL}
+ORACLES = {"op2_chat_format": OP2_SQL, "op11_collocations": OP11_SQL}
