@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import chat_format, collocations, doc_fingerprint, inverted_multi_index, lang_id, packing, secret_scan, simhash_dedup, source_mix, token_store, toxicity
+from ledgerlight.llm import chat_format, collocations, doc_fingerprint, hard_negatives, inverted_multi_index, lang_id, packing, secret_scan, simhash_dedup, source_mix, token_store, toxicity
 from ledgerlight.llm.byte_words import held_out
 
 #: Of the public tokenizer files, the one that queries use.
@@ -147,6 +147,26 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM (
 WHERE rank <= 2000
 """
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mines hard negatives for the vectors whose id is divisible by 100 among all. Null labels, null and odd vectors and null ids take no part; ties go to the smaller id, of rows that share an id one takes part."""
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
+OP13_SQL = """
+WITH rows_in AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * v::DOUBLE)::BIGINT for v in embedding] AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([v for v in embedding if v IS NULL OR NOT isfinite(v)]) = 0
+), pairs AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_sum([a.x[i] * b.x[i] for i in range(1, len(a.x) + 1)])::BIGINT AS score
+  FROM rows_in AS a JOIN rows_in AS b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN pairs USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) QUALIFY row_number() OVER w <= 5
+"""
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_chat_format": op2_chat_format,
@@ -159,5 +179,6 @@ QUERIES = {
     "op9_source_mix": op9_source_mix,
     "op10_packing": op10_packing,
     "op11_collocations": op11_collocations,
+    "op13_hard_negatives": op13_hard_negatives,
 }
-ORACLES = {"op2_chat_format": OP2_SQL, "op11_collocations": OP11_SQL}
+ORACLES = {"op2_chat_format": OP2_SQL, "op11_collocations": OP11_SQL, "op13_hard_negatives": OP13_SQL}
