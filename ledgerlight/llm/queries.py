@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import chat_format, collocations, doc_fingerprint, hard_negatives, inverted_multi_index, lang_id, packing, secret_scan, simhash_dedup, source_mix, token_store, toxicity
+from ledgerlight.llm import chat_format, collocations, doc_fingerprint, hard_negatives, html_extraction, inverted_multi_index, lang_id, packing, secret_scan, simhash_dedup, source_mix, token_store, toxicity
 from ledgerlight.llm.byte_words import held_out
 
 #: Of the public tokenizer files, the one that queries use.
@@ -147,6 +147,11 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM (
 WHERE rank <= 2000
 """
 
+def op12_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extracts every page's main text. One row per row; null html gives an empty text, null urls are one empty host."""
+    return html_extraction.extract_texts(_table(spark, sf_dir, "pages"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mines hard negatives for the vectors whose id is divisible by 100 among all. Null labels, null and odd vectors and null ids take no part; ties go to the smaller id, of rows that share an id one takes part."""
     return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
@@ -179,6 +184,7 @@ QUERIES = {
     "op9_source_mix": op9_source_mix,
     "op10_packing": op10_packing,
     "op11_collocations": op11_collocations,
+    "op12_page_text": op12_page_text,
     "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLES = {"op2_chat_format": OP2_SQL, "op11_collocations": OP11_SQL, "op13_hard_negatives": OP13_SQL}
