@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -9,31 +11,37 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlight.operators.claims import is_noise
+from ledgerlight.operators.embedding import embed_text
 
 #: Rows of vectors and of queries that meet in one block, about.
 VECTOR_BLOCK, QUERY_BLOCK = 20_000, 512
 
 
-def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, id, score: the ``k`` most similar vectors of each stated query, itself excluded; ties to the smaller id.
+def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, *, id_col: str = "vec_id", vector_col: str = "embedding", query_id_col: str | None = None, digits: int | None = None) -> DataFrame:
+    """query_id, rank, id, score: the ``k`` most similar vectors of each stated query; ties to the smaller id.
+
+    Queries come from the vectors themselves, and none finds itself, unless
+    ``query_id_col`` says that their ids are of another kind. ``digits``: scores are
+    rounded before they are ranked. Zero vectors are never found and find nothing.
 
     Both sides are dealt to blocks by a hash of the id, and each block of queries meets
     each block of vectors in one group of bounded size, which keeps its best ``k`` of
     every query; only those meet by query. Nothing passes through the driver but two counts.
     """
-    slim = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("v is not null")
-    rows, asked = slim(vectors), slim(queries)
+    slim = lambda df, c: df.select(F.col(c).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("v is not null")
+    rows, asked = slim(vectors, id_col), slim(queries, query_id_col or id_col)
+    apart = query_id_col is not None
     row_blocks, query_blocks = max(1, -(-vectors.count() // VECTOR_BLOCK)), max(1, -(-queries.count() // QUERY_BLOCK))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     mine = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     left = rows.select(mine(row_blocks).alias("r"), every(query_blocks).alias("q"), F.lit(False).alias("is_query"), "id", "v")
     right = asked.select(every(row_blocks).alias("r"), mine(query_blocks).alias("q"), F.lit(True).alias("is_query"), "id", "v")
-    near = left.unionByName(right).groupBy("r", "q").applyInArrow(lambda block: _nearest(block, k), "query_id long, id long, score double")
+    near = left.unionByName(right).groupBy("r", "q").applyInArrow(lambda block: _nearest(block, k, apart, digits), "query_id long, id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
-def _nearest(block: pa.Table, k: int) -> pa.Table:
+def _nearest(block: pa.Table, k: int, apart: bool = False, digits: int | None = None) -> pa.Table:
     """Of one block: the best ``k`` vectors of each of its queries."""
     parts = [block.filter(pa.compute.equal(block.column("is_query"), side)) for side in (True, False)]
     (ids, q), (own, x) = ((p.column("id").to_numpy().astype(np.int64), np.array(p.column("v").to_pylist(), np.float64)) for p in parts)
@@ -41,7 +49,8 @@ def _nearest(block: pa.Table, k: int) -> pa.Table:
     if len(ids) and len(own):
         with np.errstate(invalid="ignore", divide="ignore"):
             s = (q @ x.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :])
-        s[(ids[:, None] == own[None, :]) | ~np.isfinite(s)] = -np.inf
+        s[~np.isfinite(s) if apart else (ids[:, None] == own[None, :]) | ~np.isfinite(s)] = -np.inf
+        s = s if digits is None else np.round(s, digits)
         order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
         score = np.take_along_axis(s, order, 1)
         keep = np.isfinite(score)
@@ -54,7 +63,7 @@ def fuse_ranks(*rankings: DataFrame, k: int = 10, constant: int = 60) -> DataFra
     every = rankings[0].select("query_id", "id", "rank")
     for r in rankings[1:]:
         every = every.unionByName(r.select("query_id", "id", "rank"))
-    fused = every.groupBy("query_id", "id").agg(F.sum(1 / (constant + F.col("rank"))).alias("score"))
+    fused = every.groupBy("query_id", "id").agg(F.round(F.sum(1 / (constant + F.col("rank"))), 12).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return fused.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -69,8 +78,8 @@ def in_scope(chunks: DataFrame, symbols: list[str], source_type: str | None = No
     return rows if section_code is None else rows.filter(F.col("section_code") == section_code)
 
 
-def lexical_top_k(chunks: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str = "chunk_id", text_col: str = "chunk_text") -> DataFrame:
-    """query_id, rank, id, score: chunks by the summed rarity of the query's words they hold (``queries``: query_id, query_text).
+def lexical_top_k(chunks: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str = "chunk_id", text_col: str = "chunk_text", digits: int = 9) -> DataFrame:
+    """query_id, rank, id, score: chunks by the summed rarity of the query's words they hold (``queries``: query_id, query_text); scores are rounded before they are ranked.
 
     Words of the queries alone are matched and counted, so a word that most chunks hold moves no text.
     """
@@ -80,14 +89,22 @@ def lexical_top_k(chunks: DataFrame, queries: DataFrame, k: int = 10, *, id_col:
     held = chunks.select(F.col(id_col).alias("id"), F.explode(words(F.col(text_col))).alias("word")).join(wanted, "word", "left_semi")
     size = chunks.agg(F.count(F.lit(1)).alias("_chunks"))  # one row
     rarity = held.groupBy("word").agg(F.count(F.lit(1)).alias("_n")).crossJoin(size).select("word", F.log(1 + F.col("_chunks") / F.col("_n")).alias("_weight"))
-    scored = held.join(rarity, "word").join(asked, "word").groupBy("query_id", "id").agg(F.sum("_weight").alias("score"))
+    scored = held.join(rarity, "word").join(asked, "word").groupBy("query_id", "id").agg(F.round(F.sum("_weight"), digits).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
-def hybrid_top_k(by_vector: DataFrame, by_words: DataFrame, k: int = 5) -> DataFrame:
-    """The fused ranking of a vector search and a word search, each of twice as many candidates."""
-    return fuse_ranks(by_vector, by_words, k=k)
+def embedding_top_k(chunks: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str = "chunk_id", text_col: str = "chunk_text", dims: int = 64) -> DataFrame:
+    """query_id, rank, id, score: chunks by the cosine of their text's embedding with the query's (``queries``: query_id, query_text)."""
+    held = embed_text(chunks, id_col=id_col, text_col=text_col, dims=dims)
+    asked = embed_text(queries, id_col="query_id", text_col="query_text", dims=dims)
+    return cosine_top_k(held, asked, k, id_col=id_col, query_id_col="query_id", digits=9)
+
+
+def hybrid_top_k(chunks: DataFrame, queries: DataFrame, k: int = 5, *, id_col: str = "chunk_id", text_col: str = "chunk_text", dims: int = 64) -> DataFrame:
+    """The fused ranking of a search by embeddings and one by words, each of twice as many candidates."""
+    sides = [search(chunks, queries, 2 * k, id_col=id_col, text_col=text_col) for search in (partial(embedding_top_k, dims=dims), lexical_top_k)]
+    return fuse_ranks(*sides, k=k)
 
 
 def candidates_for(k: int, comparison: bool, topic: str, most: int = 10) -> int:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlight.functions import text as T
-from ledgerlight.operators import boundary, claims, filings, quality, reports, retrieval, snapshots, versions
+from ledgerlight.operators import boundary, claims, embedding, filings, quality, reports, retrieval, snapshots, versions
 from ledgerlight.plans.reference_queries import BARS, FACTS, bars, facts, table
 from ledgerlight.sources import envelopes
 
@@ -454,21 +454,47 @@ SCORES_SQL = """SELECT count(*) FILTER (p_partkey % 7 != 0) AS expected_status,
 # --- retrieval -----------------------------------------------------------------------------
 
 
-def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents for every benchmark item divisible by 50, by the rarity of its words; then fused with the order of ids among those found, without noise."""
+def _searched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All documents, and every benchmark item whose id is divisible by 50 as a query."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk_text"))
-    q = table(spark, sf_dir, "benchmark").filter("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
-    by_words = retrieval.lexical_top_k(d, q, 10)
-    by_id = by_words.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("id")))
-    fused = retrieval.hybrid_top_k(by_id, by_words, 5).select("query_id", "rank", F.col("id").alias("chunk_id"), F.round("score", 9).alias("score"))
+    return d, table(spark, sf_dir, "benchmark").filter("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+
+
+def text_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embedding of every document, and its length."""
+    found = embedding.embed_text(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.array_join("embedding", ",").alias("embedding"), F.round(embedding.norm(F.col("embedding")), 9).alias("norm"))
+
+
+def _embedded(name: str, rows: str) -> str:
+    """SQL of a table of (id, place, value), the sums of the words' vectors."""
+    return f"""{name} AS (SELECT id, ('0x' || substr(md5(word), 8 * k + 1, 7))::BIGINT % 64 AS place, sum(CASE WHEN substr(md5(word), 8 * k + 8, 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') THEN -1 ELSE 1 END)::BIGINT AS value
+  FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS word FROM ({rows})), range(4) AS t(k) GROUP BY ALL)"""
+
+
+EMBEDDINGS_SQL = rf"""WITH {_embedded("e", "SELECT doc_id AS id, text FROM documents")}, d AS (SELECT doc_id, p.range AS place, coalesce(value, 0) AS value FROM documents CROSS JOIN range(64) AS p LEFT JOIN e ON id = doc_id AND place = p.range)
+SELECT doc_id, string_agg(value::VARCHAR, ',' ORDER BY place) AS embedding, round(sqrt(sum(value * value)), 9) AS norm FROM d GROUP BY doc_id"""
+
+
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for every benchmark item divisible by 50: by embeddings and by the rarity of words, fused, without noise."""
+    d, q = _searched(spark, sf_dir)
+    fused = retrieval.hybrid_top_k(d, q, 5).select("query_id", "rank", F.col("id").alias("chunk_id"), F.round("score", 9).alias("score"))
     return retrieval.without_noise(fused.withColumn("title", F.lit("t")).join(d, "chunk_id"), 5).select("query_id", "rank", "chunk_id", "score")
 
 
-HYBRID_SQL = r"""WITH q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS word FROM benchmark WHERE item_id % 50 = 0),
-h AS (SELECT doc_id AS id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS word FROM documents), k AS (SELECT * FROM h WHERE word IN (SELECT word FROM q)),
-w AS (SELECT word, ln(1 + (SELECT count(*) FROM documents) / count(*)) AS weight FROM k GROUP BY word), s AS (SELECT query_id, id, sum(weight) AS score FROM k JOIN w USING (word) JOIN q USING (word) GROUP BY query_id, id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS n FROM s), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id) AS m FROM r WHERE n <= 10),
-f AS (SELECT query_id, id, 1 / (60 + n) + 1 / (60 + m) AS score FROM t) SELECT query_id, rank, id AS chunk_id, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f) WHERE rank <= 5"""
+_BY_WORDS = r"""q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS word FROM benchmark WHERE item_id % 50 = 0),
+h AS (SELECT id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS word FROM held), k AS (SELECT * FROM h WHERE word IN (SELECT word FROM q)),
+w AS (SELECT word, ln(1 + (SELECT count(*) FROM held) / count(*)) AS weight FROM k GROUP BY word), s AS (SELECT query_id, id, round(sum(weight), 9) AS score FROM k JOIN w USING (word) JOIN q USING (word) GROUP BY query_id, id),
+words AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM s QUALIFY n <= 10)"""
+HYBRID_SQL = rf"""WITH held AS (SELECT doc_id AS id, text FROM documents), {_BY_WORDS}, {_embedded("e", "SELECT id, text FROM held")}, {_embedded("f", "SELECT item_id AS id, text FROM benchmark WHERE item_id % 50 = 0")},
+el AS (SELECT id, sqrt(sum(value * value)) AS l FROM e GROUP BY id HAVING l > 0), fl AS (SELECT id, sqrt(sum(value * value)) AS l FROM f GROUP BY id HAVING l > 0),
+c AS (SELECT f.id AS query_id, e.id, sum(e.value * f.value) AS d FROM e JOIN f USING (place) GROUP BY ALL),
+-- A pair without a common place has the cosine 0.
+v AS (SELECT fl.id AS query_id, el.id, round(coalesce(d, 0) / (fl.l * el.l), 9) AS score FROM fl CROSS JOIN el LEFT JOIN c ON c.query_id = fl.id AND c.id = el.id),
+vectors AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM v QUALIFY n <= 10),
+u AS (SELECT query_id, id, round(sum(1 / (60 + n)), 12) AS score FROM (SELECT query_id, id, n FROM words UNION ALL SELECT query_id, id, n FROM vectors) GROUP BY ALL)
+SELECT query_id, rank, id AS chunk_id, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM u) WHERE rank <= 5"""
 
 
 def match_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -515,6 +541,7 @@ ALL = {
     "request_texts": (request_texts, REQUEST_SQL),
     "shown_metrics": (shown_metrics, SHOWN_SQL),
     "report_scores": (report_scores, SCORES_SQL),
+    "text_embeddings": (text_embeddings, EMBEDDINGS_SQL),
     "hybrid_search": (hybrid_search, HYBRID_SQL),
     "match_measures": (match_measures, MATCH_SQL),
     "short_texts": (short_texts, SHORT_SQL),
