@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlight.operators.multiset import difference
+
 
 def repeated_keys(rows: DataFrame, key: list[str]) -> DataFrame:
     """Keys that stand more than once; nulls are equal to each other."""
@@ -29,9 +31,8 @@ def orphans(children: DataFrame, parents: DataFrame, keys: list[str]) -> DataFra
 
 
 def replay_difference(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Rows, with repeats, that stand in one snapshot only, and on which side."""
-    side = lambda rows, name: rows.withColumn("side", F.lit(name))
-    return side(before.exceptAll(after), "before").unionByName(side(after.exceptAll(before), "after"))
+    """Rows, with repeats, that stand in one snapshot only, and on which side; equal buckets of rows are never shuffled."""
+    return difference(before, after)
 
 
 def provenance_mismatches(published: DataFrame, source: DataFrame, key: list[str], columns: list[str]) -> DataFrame:

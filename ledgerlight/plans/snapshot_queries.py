@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ledgerlight.functions import text as T
 from ledgerlight.operators import boundary, claims, embedding, filings, quality, reports, retrieval, snapshots, versions
 from ledgerlight.plans.reference_queries import BARS, FACTS, bars, facts, table
+from ledgerlight.sinks import search_index, work_folder
+from ledgerlight.sinks import snapshots as snapshots_sink
 from ledgerlight.sources import envelopes
 
 
@@ -497,6 +499,29 @@ u AS (SELECT query_id, id, round(sum(1 / (60 + n)), 12) AS score FROM (SELECT qu
 SELECT query_id, rank, id AS chunk_id, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM u) WHERE rank <= 5"""
 
 
+def _versions_of_documents(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Documents as published four times: three of four at first, then all with every fifth text longer, then without every seventh, then with every 77th back."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    longer = d.withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" seventh heaven"))).otherwise(F.col("text")))
+    return [d.filter("doc_id % 4 != 3"), longer, longer.filter("doc_id % 7 != 0"), longer.filter("doc_id % 7 != 0 or doc_id % 11 = 0")]
+
+
+def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A word index that has followed four snapshots of the documents by their changes, searched for every benchmark item divisible by 50 and for the words that were added."""
+    root = work_folder(spark, "index")
+    index = search_index.SegmentIndex(spark, f"{root}/index")
+    for rows in _versions_of_documents(spark, sf_dir):
+        snapshots_sink.publish(spark, f"{root}/tables", snapshots_sink.snapshot_id(rows, "doc_id", "documents"), {"documents": rows})
+        index.sync(f"{root}/tables", "documents")
+    added = spark.sql("SELECT -1L AS query_id, 'seventh heaven' AS query_text")
+    return index.search(_searched(spark, sf_dir)[1].unionByName(added), 10).select("query_id", "rank", F.col("id").alias("doc_id"), "score")
+
+
+INDEX_SQL = rf"""WITH held AS (SELECT doc_id AS id, text || CASE WHEN doc_id % 5 = 0 THEN ' seventh heaven' ELSE '' END AS text FROM documents WHERE doc_id % 7 != 0 OR doc_id % 11 = 0),
+{_BY_WORDS.replace("WHERE item_id % 50 = 0)", "WHERE item_id % 50 = 0 UNION ALL SELECT -1, unnest(['seventh', 'heaven']))", 1)}
+SELECT query_id, n::INTEGER AS rank, id AS doc_id, score FROM words"""
+
+
 def match_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares of the right flag, mode and status among the first lines of every order."""
     line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("rank"), F.array("l_returnflag").alias("configured_symbols"), F.col("l_linestatus").alias("source_type"), F.col("l_returnflag").alias("section_code"))
@@ -543,6 +568,7 @@ ALL = {
     "report_scores": (report_scores, SCORES_SQL),
     "text_embeddings": (text_embeddings, EMBEDDINGS_SQL),
     "hybrid_search": (hybrid_search, HYBRID_SQL),
+    "index_search": (index_search, INDEX_SQL),
     "match_measures": (match_measures, MATCH_SQL),
     "short_texts": (short_texts, SHORT_SQL),
 }

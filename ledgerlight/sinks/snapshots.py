@@ -11,7 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.functions.text import sha256
+from ledgerlight.operators import multiset
 from ledgerlight.operators.quality import orphans
 from ledgerlight.operators.serving import check_identifier
 
@@ -19,9 +19,8 @@ _MANIFEST = "number long, snapshot_id string, table string, path string, rows lo
 
 
 def snapshot_id(rows: DataFrame, id_col: str, strategy: str) -> str:
-    """A hash of the strategy and of all ids, whatever their order: hashes per block are hashed in order."""
-    blocks = rows.groupBy(F.pmod(F.xxhash64(id_col), F.lit(4096)).alias("b")).agg(sha256(F.concat_ws("\n", F.array_sort(F.collect_list(id_col)))).alias("h"))
-    return blocks.agg(sha256(F.concat_ws("\n", F.lit(strategy), F.array_sort(F.collect_list(F.concat_ws(":", "b", "h"))))).alias("id")).first()["id"]
+    """A hash of the strategy and of all ids, whatever their order: the root of their tree of sums."""
+    return multiset.root(rows.select(id_col), strategy)
 
 
 def manifests(spark: SparkSession, root: str) -> DataFrame:
@@ -57,9 +56,10 @@ def read_current(spark: SparkSession, root: str, table: str, number: int | None
 
 
 def changes(spark: SparkSession, root: str, table: str, before: int, after: int) -> DataFrame:
-    """Rows that a snapshot added or removed, by two-way EXCEPT ALL."""
+    """Rows, with repeats, that a snapshot added or removed."""
     old, new = read_current(spark, root, table, before), read_current(spark, root, table, after)
-    return new.exceptAll(old).withColumn("change", F.lit("added")).unionByName(old.exceptAll(new).withColumn("change", F.lit("removed")))
+    found = multiset.difference(old, new)
+    return found.withColumn("change", F.when(F.col("side") == "after", "added").otherwise("removed")).drop("side")
 
 
 def changed_ids(spark: SparkSession, root: str, table: str, before: int, after: int, id_col: str) -> DataFrame:
