@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ledgerlight.functions.text import any_pattern
+from ledgerlight.operators.bands import band_join
 
 # Words that relate quantities, words of scale, dashes, months, and topics that are no developments.
 RELATION_TERMS = ["above", "below", "higher", "lower", "larger", "smaller", "strong", "weak", "stronger", "weaker", "better", "worse", "outperformed", "underperformed"]
@@ -109,24 +110,38 @@ def unsupported_claims(claims: DataFrame, sources: DataFrame, key: str) -> DataF
     return claims.alias("c").join(sources.alias("s"), same, "left_anti")
 
 
+def _ten(power: Column) -> Column:
+    """Ten to a power from -12 to 12."""
+    return F.element_at(F.array(*[F.lit(Decimal(1).scaleb(p)).cast("decimal(25,12)") for p in range(-12, 13)]), power + 13)
+
+
 def off_expected(claims: DataFrame, expected: DataFrame, key: str) -> DataFrame:
     """Claims that no expected value of their key bears out.
 
     ``expected``: key, kind (percent, scaled, number or date), expected (a ratio for
     percent, whole money for scaled), expected_day. A claim may differ by half a unit
     of its last digit: a percentage from the ratio times 100, a scaled one from the
-    money over its scale. A year is that of an expected date.
+    money over its scale. A year is that of an expected date. Claims and expected values
+    meet in cells of a claim's last digit, so a key with very many of both is no cross join.
     """
-    half = F.element_at(F.array(*[F.lit(Decimal(5).scaleb(-p - 1)).cast("decimal(20,12)") for p in range(12)]), F.least(F.col("c.precision"), F.lit(11)) + 1)
-    value, expect = F.col("c.value").cast("decimal(28,10)"), F.col("e.expected").cast("decimal(28,10)")
-    factor = F.lit(1).cast("decimal(13,0)")
-    for word, power in SCALES.items():
-        factor = F.when(F.col("c.scale") == word, F.lit(10**power).cast("decimal(13,0)")).otherwise(factor)
-    close = F.when(F.col("c.kind") == "percent", F.abs(value - expect * 100) <= half).otherwise(F.abs(value * factor - expect) <= half * factor)
-    days = F.when(F.col("c.kind") == "date", F.col("c.day") == F.col("e.expected_day")).otherwise(value == F.year("e.expected_day"))
-    dated = F.col("c.kind").isin("date", "year")
-    same = (F.col(f"c.{key}") == F.col(f"e.{key}")) & (F.when(dated, F.lit("date")).otherwise(F.col("c.kind")) == F.col("e.kind"))
-    return claims.alias("c").join(expected.alias("e"), same & F.when(dated, days).otherwise(close), "left_anti")
+    dated = F.col("kind").isin("date", "year")
+    power = F.lit(0)
+    for word, n in SCALES.items():
+        power = F.when(F.col("scale") == word, n).otherwise(power)
+    # The exponent of ten of a claim's last digit, and what it says in the expected value's terms.
+    plain = claims.filter(~dated).withColumns({"_power": power, "_digit": power - F.least("precision", F.lit(11))})
+    written = F.col("value").cast("decimal(28,10)")
+    said = F.when(F.col("_power") > 0, (written * _ten(F.col("_power")).cast("decimal(13,0)")).try_cast("decimal(38,10)")).otherwise(written.cast("decimal(38,10)"))
+    half = _ten(F.col("_digit")) / 2
+    cell = lambda c: F.floor(c * _ten(-F.col("_digit")))
+    # An expected value meets the claims of its key once for each last digit that these are written to.
+    digits = plain.select(key, "kind", "_digit").distinct()
+    times = F.when(F.col("kind") == "percent", F.lit(100)).otherwise(F.lit(1)).cast("decimal(3,0)")
+    held = expected.filter("kind != 'date'").select(key, "kind", (F.col("expected").cast("decimal(28,10)") * times).alias("_expected")).join(digits, [key, "kind"])
+    off = band_join(plain, held, [key, "kind", "_digit"], low=said - half, high=said + half, low_cell=cell(said - half), value="_expected", value_cell=cell(F.col("_expected")), how="left_anti")
+    day = F.when(F.col("c.kind") == "date", F.col("c.day") == F.col("e.expected_day")).otherwise(F.col("c.value") == F.year("e.expected_day"))
+    late = claims.filter(dated).alias("c").join(expected.filter("kind = 'date'").alias("e"), (F.col(f"c.{key}") == F.col(f"e.{key}")) & day, "left_anti")
+    return off.drop("_power", "_digit").unionByName(late)
 
 
 def relation_terms(text: Column) -> Column:

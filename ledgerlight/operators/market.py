@@ -1,7 +1,9 @@
 """Session-based market metrics: one row per symbol, from its last 61 closes.
 
-One shuffle by symbol; windows and aggregates share it. A series is a symbol's
-whole history, of which the windows keep 61 rows before anything is computed.
+A series is a symbol's whole history, and one symbol may hold a third of all bars. No
+window or task sees a whole series: it is cut into blocks of time, a block is summed up
+where it lies (its number of bars, its last ones, the highest, the lowest and the worst
+fall within it), and the summaries of blocks combine as those of bars do.
 """
 
 from __future__ import annotations
@@ -13,14 +15,45 @@ from ledgerlight.functions.decimals import half_even_ratio, published, ratio
 
 HORIZONS = (1, 5, 20, 60)
 SESSIONS = 61
+#: Days of a block of a series.
+BLOCK_DAYS = 128
+
+
+def _block(date: Column, days: int) -> Column:
+    return F.floor(F.datediff(date, F.lit("1970-01-01").cast("date")) / days)
+
+
+def newest(rows: DataFrame, key: list[str], order: list[Column], n: int, *, date: str, days: int = BLOCK_DAYS) -> DataFrame:
+    """The first ``n`` rows of each key by ``order`` (the latest ``date`` first), with ``back`` (0: the first).
+
+    Blocks of days keep their own first ``n``, and tasks keep those of the blocks they
+    read before anything is shuffled; only these meet by key.
+    """
+    block = Window.partitionBy(*key, "_block").orderBy(*order)
+    kept = rows.withColumn("_block", _block(F.col(date), days)).withColumn("_n", F.row_number().over(block)).filter(F.col("_n") <= n).drop("_n", "_block")
+    return kept.withColumn("back", F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1).filter(F.col("back") < n)
 
 
 def last_sessions(bars: DataFrame, symbol: str = "symbol") -> DataFrame:
     """The last 61 bars of each symbol with ``back`` (0: the last) and observations_available."""
-    back = Window.partitionBy(symbol).orderBy(F.col("trading_date").desc(), F.col("bar_timestamp").desc())
-    every = Window.partitionBy(symbol)
-    numbered = bars.withColumn("back", F.row_number().over(back) - 1).withColumn("observations_available", F.count(F.lit(1)).over(every))
-    return numbered.filter(F.col("back") < SESSIONS)
+    order = [F.col("trading_date").desc(), F.col("bar_timestamp").desc()]
+    counts = bars.groupBy(symbol).agg(F.count(F.lit(1)).alias("observations_available"))
+    return newest(bars, [symbol], order, SESSIONS, date="trading_date").join(counts, symbol)
+
+
+def series_summary(bars: DataFrame, symbol: str = "symbol", days: int = BLOCK_DAYS) -> DataFrame:
+    """Per symbol over its whole history: bars, first_date, last_date, high, low, and worst_fall (close over the highest close until then, less one; 0 if it never fell).
+
+    A block's (high, low, worst close under a running high) is made within the block; a
+    fall from a high before the block to its low is added when blocks meet in order.
+    """
+    dealt = bars.withColumn("_block", _block(F.col("trading_date"), days))
+    so_far = Window.partitionBy(symbol, "_block").orderBy("trading_date", "bar_timestamp").rowsBetween(Window.unboundedPreceding, 0)
+    fallen = dealt.withColumn("_fall", half_even_ratio(F.col("close") - F.max("close").over(so_far), F.max("close").over(so_far)))
+    blocks = fallen.groupBy(symbol, "_block").agg(F.count(F.lit(1)).alias("bars"), F.min("trading_date").alias("first_date"), F.max("trading_date").alias("last_date"), F.max("close").alias("high"), F.min("close").alias("low"), F.min("_fall").alias("worst"))
+    earlier = F.max("high").over(Window.partitionBy(symbol).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.withColumn("worst", F.least("worst", half_even_ratio(F.col("low") - earlier, earlier)))
+    return blocks.groupBy(symbol).agg(F.sum("bars").alias("bars"), F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"), F.max("high").alias("high"), F.min("low").alias("low"), F.least(F.min("worst"), F.lit(0)).cast("decimal(20,10)").alias("worst_fall"))
 
 
 def market_metrics(bars: DataFrame, symbol: str = "symbol") -> DataFrame:
@@ -80,7 +113,6 @@ def coverage_gate(bars: DataFrame, symbol: str = "symbol") -> DataFrame:
 
 def top_sessions(bars: DataFrame, n: int, symbol: str = "symbol") -> DataFrame:
     """The last n + 1 closes of each symbol, with the close indexed to 100 at the first of them."""
-    newest = Window.partitionBy(symbol).orderBy(F.col("trading_date").desc())
     oldest = Window.partitionBy(symbol).orderBy("trading_date")
-    kept = bars.withColumn("rn", F.row_number().over(newest)).filter(F.col("rn") <= n + 1).drop("rn")
+    kept = newest(bars, [symbol], [F.col("trading_date").desc()], n + 1, date="trading_date").drop("back")
     return kept.withColumn("indexed_close", F.bround(ratio(F.col("close"), F.first("close").over(oldest)) * 100, 2))

@@ -7,6 +7,8 @@ partial aggregates, so a key with a third of all rows is combined before it move
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,10 +38,9 @@ def current_versions(rows: DataFrame, key: list[str], version: str, content: lis
     current one's and superseded if not. Of equal versions the smallest ``tie`` stays.
     """
     seen = _observed(rows, key, version, content_sign(content, sets), tie)
-    whole = Window.partitionBy(*key)
-    latest = F.max(version).over(whole)
-    current_sign = F.max_by("sign", version).over(whole)
-    seen = seen.withColumn("latest", latest).withColumn("same", F.col("sign") == current_sign)
+    # Joined back to its versions by key, not by a window over a key's whole history: such a join can be split.
+    last = seen.groupBy(*[F.col(c).alias(f"_{c}") for c in key]).agg(F.max(version).alias("latest"), F.max_by("sign", version).alias("_sign"))
+    seen = seen.join(last, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key])).withColumn("same", F.col("sign") == F.col("_sign"))
     older = F.col(version) < F.col("latest")
     out = seen.groupBy(*key).agg(
         F.max(version).alias(version),
@@ -53,23 +54,26 @@ def current_versions(rows: DataFrame, key: list[str], version: str, content: lis
 
 
 def earliest_of_latest(rows: DataFrame, key: list[str], version: str, content: list[str], arrival: list[str], sets: list[str] = ()) -> DataFrame:
-    """The first arrival of each key's latest version; contents are compared at that version only."""
-    rank = F.rank().over(Window.partitionBy(*key).orderBy(F.col(version).desc()))
-    ranked = rows.withColumn("_rank", rank)
-    latest = F.col("_rank") == 1
-    sign = F.when(latest, content_sign(content, sets))
+    """The first arrival of each key's latest version; contents are compared at that version only.
+
+    Summed up by (key, version) first, in tasks before anything moves; a key's versions
+    then combine as such sums do, and no task or window sees all rows of a key.
+    """
+    sign = content_sign(content, sets)
     kept = [c for c in rows.columns if c not in key]
-    out = ranked.groupBy(*key).agg(
-        F.min_by(F.struct(*kept), F.when(latest, F.struct(*arrival))).alias("row"),
-        F.count_if(~latest).alias("superseded"),
-        (F.count_if(latest) - 1).alias("repeats"),
-        (F.min(sign) != F.max(sign)).alias("conflict"),
+    seen = rows.groupBy(*key, version).agg(
+        F.min_by(F.struct(*kept), F.struct(*arrival)).alias("row"),
+        F.count(F.lit(1)).alias("n"),
+        F.min(sign).alias("least"),
+        F.max(sign).alias("most"),
     )
-    return out.select(*key, "row.*", "superseded", "repeats", "conflict")
+    of_last = F.max_by(F.struct("row", "n", "least", "most"), version).alias("last")
+    out = seen.groupBy(*key).agg(of_last, F.sum("n").alias("all"))
+    return out.select(*key, "last.row.*", (F.col("all") - F.col("last.n")).alias("superseded"), (F.col("last.n") - 1).alias("repeats"), (F.col("last.least") != F.col("last.most")).alias("conflict"))
 
 
 def latest_one(rows: DataFrame, key: list[str], order: list) -> DataFrame:
-    """The first row of each key in an order that leaves no ties."""
+    """The first row of each key in an order that leaves no ties; tasks keep their own first before anything is shuffled."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("_n = 1").drop("_n")
 
 
@@ -79,21 +83,19 @@ def latest_responses(responses: DataFrame, entity: str, configured: DataFrame |
     ``responses``: entity, source_response_id, fetched_at, response_sha256. Of those
     fetched last the smallest id stays; ``tie_conflict`` if they hold different
     payloads, ``repeated_id`` if one of the entity's ids stands more than once in all
-    responses. ``in_scope``: the entity is configured.
+    responses. ``in_scope``: the entity is configured. Responses are summed up by
+    (entity, time of retrieval) before an entity's meet.
     """
-    ids = responses.groupBy("source_response_id").agg(F.count(F.lit(1)).alias("_times"))
-    rank = F.rank().over(Window.partitionBy(entity).orderBy(F.col("fetched_at").desc()))
-    ranked = responses.join(ids, "source_response_id").withColumn("_last", rank == 1)
     rest = [c for c in responses.columns if c != entity]
-    last = F.when(F.col("_last"), F.col("source_response_id"))
-    out = ranked.groupBy(entity).agg(
-        F.min_by(F.struct(*rest), last).alias("row"),
-        F.count_if(~F.col("_last")).alias("superseded"),
-        (F.count_if("_last") - 1).alias("tie_repeats"),
-        (F.count_distinct(F.when(F.col("_last"), F.col("response_sha256"))) > 1).alias("tie_conflict"),
-        (F.max("_times") > 1).alias("repeated_id"),
-    )
-    out = out.select(entity, "row.*", "superseded", "tie_repeats", "tie_conflict", "repeated_id")
+    hashes = F.col("response_sha256")
+    seen = responses.groupBy(entity, "fetched_at").agg(F.min_by(F.struct(*rest), "source_response_id").alias("row"), F.count(F.lit(1)).alias("n"), F.min(hashes).alias("least"), F.max(hashes).alias("most"))
+    out = seen.groupBy(entity).agg(F.max_by(F.struct("row", "n", "least", "most"), "fetched_at").alias("last"), F.sum("n").alias("all"))
+    pairs = responses.groupBy("source_response_id", entity).agg(F.count(F.lit(1)).alias("_n"))
+    repeated = pairs.groupBy("source_response_id").agg(F.sum("_n").alias("_n")).filter("_n > 1")
+    ids = pairs.join(repeated, "source_response_id", "left_semi").select(entity).distinct()
+    out = out.join(ids.withColumn("repeated_id", F.lit(True)), entity, "left")
+    last = F.col("last")
+    out = out.select(entity, "last.row.*", (F.col("all") - last["n"]).alias("superseded"), (last["n"] - 1).alias("tie_repeats"), F.coalesce(last["least"] != last["most"], F.lit(False)).alias("tie_conflict"), F.coalesce("repeated_id", F.lit(False)).alias("repeated_id"))
     if configured is None:
         return out
     return out.join(configured.select(entity).distinct().withColumn("in_scope", F.lit(True)), entity, "left").withColumn("in_scope", F.coalesce("in_scope", F.lit(False)))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerlight.functions import text as T
 from ledgerlight.functions.times import age_hours, days_inclusive, market_date
-from ledgerlight.operators import claims, corpus, fundamentals, market, quality, retrieval, serving, versions
+from ledgerlight.operators import bands, claims, corpus, fundamentals, market, quality, retrieval, serving, versions
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,16 @@ HISTORY_SQL = f"""WITH {BARS} SELECT symbol, trading_date, close::DOUBLE AS clos
   round_even((close::DOUBLE / first_value(close::DOUBLE) OVER (PARTITION BY symbol ORDER BY trading_date)) * 100, 2) AS indexed_close FROM kept"""
 
 
+def series_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Highest and lowest close of each symbol and its worst fall, over its whole history."""
+    found = market.series_summary(bars(spark, sf_dir))
+    return found.select("symbol", "bars", "first_date", "last_date", *[F.col(c).cast("double").alias(c) for c in ("high", "low", "worst_fall")])
+
+
+SUMMARY_SQL = f"""WITH {BARS}, p AS (SELECT symbol, trading_date, close, (close * 100000000)::HUGEINT AS ci, max((close * 100000000)::HUGEINT) OVER (PARTITION BY symbol ORDER BY trading_date) AS peak FROM bars)
+SELECT symbol, count(*) AS bars, min(trading_date) AS first_date, max(trading_date) AS last_date, max(close)::DOUBLE AS high, min(close)::DOUBLE AS low, least(min({_half_even("ci - peak", "peak")}), 0)::DOUBLE AS worst_fall FROM p GROUP BY symbol"""
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts", "value", "props")
 
@@ -283,6 +293,32 @@ UNION ALL SELECT 'scaled', count(*), count(DISTINCT o_orderkey), round(sum(o_tot
 UNION ALL SELECT 'percent', count(*), count(DISTINCT o_orderkey), count(*) * 12.5 FROM orders"""
 
 
+def unborne_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every order a claim in thousands, a little off its price: those that no order of the same priority bears out, and how many a priority has."""
+    price = F.col("o_totalprice").cast("decimal(20,2)")
+    tenths = F.floor((price + 333) / 100).cast("decimal(20,0)")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("key"), price.alias("expected"), F.concat(F.lit("It took $"), (tenths / 10).cast("decimal(20,1)").cast("string"), F.lit(" thousand.")).alias("text"))
+    expected = o.select("key", F.lit("scaled").alias("kind"), "expected", F.lit(None).cast("date").alias("expected_day"))
+    found = claims.off_expected(claims.claims_in(o.select("o_orderkey", "key", "text")), expected, "key")
+    return found.select("o_orderkey", "key", F.col("value").cast("double").alias("value"))
+
+
+UNBORNE_SQL = """WITH o AS (SELECT o_orderkey, o_orderpriority AS key, (o_totalprice::DECIMAL(20,2) * 100)::BIGINT AS cents FROM orders), c AS (SELECT *, (cents + 33300) // 10000 AS tenths FROM o)
+SELECT o_orderkey, key, tenths / 10 AS value FROM c WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.key = c.key AND o.cents BETWEEN c.tenths * 10000 - 5000 AND c.tenths * 10000 + 5000)"""
+
+
+def comparable_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a customer's orders about a year apart, of equally long spans of lines, as periods that compare."""
+    spans = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.datediff(F.max("l_shipdate"), F.min("l_shipdate")).alias("days"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("customer"), "o_orderkey", F.col("o_orderdate").cast("date").alias("period_end"))
+    rows = o.join(spans, F.col("o_orderkey") == F.col("l_orderkey")).select("customer", "o_orderkey", "period_end", "days")
+    return bands.comparable_periods(rows, ["customer"]).select("customer", F.col("o_orderkey").alias("order_key"), F.col("prior_o_orderkey").alias("prior_key"), "period_end", "prior_period_end")
+
+
+COMPARABLE_SQL = """WITH l AS (SELECT l_orderkey, date_diff('day', min(l_shipdate)::DATE, max(l_shipdate)::DATE) AS days FROM lineitem GROUP BY 1), r AS (SELECT o_custkey AS customer, o_orderkey AS k, o_orderdate::DATE AS d, days FROM orders JOIN l ON l_orderkey = o_orderkey)
+SELECT a.customer, a.k AS order_key, b.k AS prior_key, a.d AS period_end, b.d AS prior_period_end FROM r AS a JOIN r AS b ON a.customer = b.customer AND date_diff('day', b.d, a.d) BETWEEN 350 AND 380 AND abs(a.days - b.days) <= 2"""
+
+
 def relation_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relation terms of market statements that their source lacks."""
     p = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", F.lit("stronger and above"), "p_type").alias("said"), F.when(F.col("p_size") > 25, "above the mean").otherwise("no relation").alias("source"))
@@ -352,6 +388,7 @@ SELECT CASE WHEN days BETWEEN 330 AND 380 THEN 'year' WHEN days < 330 THEN 'shor
 ALL = {
     "market_metrics": (market_metrics, MARKET_SQL),
     "coverage_gate": (coverage_gate, COVERAGE_SQL),
+    "series_summary": (series_summary, SUMMARY_SQL),
     "price_history": (price_history, HISTORY_SQL),
     "latest_version": (latest_version, VERSION_SQL),
     "first_arrival": (first_arrival, ARRIVAL_SQL),
@@ -374,6 +411,8 @@ ALL = {
     "vector_top_k": (vector_top_k, VECTOR_SQL),
     "retrieval_measures": (retrieval_measures, MEASURES_SQL),
     "numeric_claims": (numeric_dates, CLAIMS_SQL),
+    "unborne_claims": (unborne_claims, UNBORNE_SQL),
+    "comparable_periods": (comparable_periods, COMPARABLE_SQL),
     "relation_terms": (relation_terms, TERMS_SQL),
     "json_values": (json_values, JSON_SQL),
     "market_dates": (market_dates, DATES_SQL),
