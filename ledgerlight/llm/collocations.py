@@ -1,16 +1,18 @@
-"""Phrases whose words stand together more often than apart, mined in two passes.
-
-Pass one counts nothing exactly: tasks put the hash of every word sequence of one to
-four words into a count-min sketch, whose cells stop at the threshold, and the
-sketches of all tasks are added up, slice by slice. A cell never holds less than any
-of its sequences occurs, so what is below the threshold in one row of cells cannot be
-frequent. Of the sum only one bit a cell is published: whether it reaches the
-threshold. Pass two counts the survivors exactly, combined in tasks before they move.
+"""Phrases whose words stand together more often than apart, mined by sketches, then exactly.
+
+At first nothing is counted exactly: tasks put the hash of every sequence of one or two
+words into a count-min sketch, whose cells stop at the threshold, and the sketches of
+all tasks are added up, slice by slice. A cell never holds less than any of its
+sequences occurs, so what is below the threshold in one row of cells cannot be
+frequent, and nothing that holds it can. Of the sum only one bit a cell is published:
+whether it reaches the threshold. Sequences of three and four words without a ruled-out
+pair are sketched in the same way. The last pass counts the survivors exactly, combined
+in tasks before they move.
 Scores come from exact counts, and phrases inside a longer candidate that holds most
 of their occurrences are subsumed by it.
 
 The sketch grows with the input up to ``max_cells``; beyond that more survive into
-pass two, and results stay the same. Sequences are counted by their words, not by
+the last pass, and results stay the same. Sequences are counted by their words, not by
 their hashes: two of one hash are told apart.
 
 Texts are lower-cased (A-Z), cut into pieces at ``[.,;:!?\\x0A-\\x0D]`` and into
@@ -22,6 +24,7 @@ ignored. An empty table gives no rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -32,15 +35,18 @@ from pyspark.sql import functions as F
 from ledgerlight.llm.cluster import broadcast_if_small, materialize, shipped
 
 LONGEST = 4
+#: Lengths of sequences that are sketched in one pass; later levels count only what holds no ruled-out sequence of those before.
+LEVELS = ((1, 2), (3, 4))
 DEPTH = 3
 #: Cells of one row of the sketch, at least and at most; sequences for each cell in between.
 MIN_CELLS, MAX_CELLS, LOAD = 1 << 14, 1 << 24, 24
-#: Characters of text that a task counts at a time, and sequences that it puts into its sketch at a time.
+#: Bytes of text that a task counts at a time, and sequences that it puts into its sketch at a time.
 _CHARS, _ADDED = 1 << 21, 3_000_000
 _SLICE = 1 << 18
 _MOST_WORDS, _MOST_HELD = 400_000, 300_000
 
-_TABLE = {ord(c): "\n" for c in ".,;:!?\n\x0b\x0c\r"} | {9: " "} | {65 + i: chr(97 + i) for i in range(26)}
+#: Of UTF-8: marks that end a piece, blanks, and A-Z in lower case; other characters hold none of these bytes.
+_TABLE = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"\n" * 10 + b" abcdefghijklmnopqrstuvwxyz")
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -49,20 +55,20 @@ class _Words(dict):
     """Numbers of words in the order they came; 0 is the end of a piece."""
 
     def __init__(self):
-        super().__init__({"\n": 0})
+        super().__init__({b"\n": 0})
         self.hashes = np.zeros(1 << 16, np.uint64)
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
         if n >= len(self.hashes):
             self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-        self.hashes[n] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)
+        self.hashes[n] = xxhash.xxh64_intdigest(word, 42)
         return n
 
 
-def tokens_of(text: str) -> list[str]:
-    """Words of a text in order, with "\\n" where a piece ends."""
-    return [w for w in text.translate(_TABLE).replace("\n", " \n ").split(" ") if w]
+def tokens_of(text: bytes) -> list[bytes]:
+    """Words of a UTF-8 text in order, with a line end where a piece ends."""
+    return [w for w in text.translate(_TABLE).replace(b"\n", b" \n ").split(b" ") if w]
 
 
 def _chunks(batches):
@@ -71,59 +77,73 @@ def _chunks(batches):
 
     def numbered(lang, texts):
         known = words.setdefault(lang, _Words())
-        tokens = tokens_of("\n".join(texts))
+        tokens = tokens_of(b"\n".join(texts))
         ids = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
         return lang, tokens, ids, known.hashes[ids]
 
+    held: dict[str, list[bytes]] = {}
+    sizes: dict[str, int] = {}
     for batch in batches:
-        if sum(map(len, words.values())) > _MOST_WORDS:
-            words.clear()
-        held: dict[str, list[str]] = {}
-        sizes: dict[str, int] = {}
-        for k in range(len(batch)):
-            lang, text = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+            text = text.as_py()
             held.setdefault(lang, []).append(text)
             sizes[lang] = sizes.get(lang, 0) + len(text)
-            if sizes[lang] > _CHARS:
+            if sizes[lang] > _CHARS or sum(sizes.values()) > 4 * _CHARS:
+                lang = max(sizes, key=sizes.get)
                 yield numbered(lang, held.pop(lang))
-                sizes[lang] = 0
-                if len(words.get(lang, ())) > _MOST_WORDS:
+                del sizes[lang]
+                if len(words[lang]) > _MOST_WORDS or len(words) > 64:
                     del words[lang]
-        for lang, texts in held.items():
-            yield numbered(lang, texts)
+    for lang, texts in held.items():
+        yield numbered(lang, texts)
 
 
-def _sequences(lang: str, ids: np.ndarray, hashes: np.ndarray):
-    """For 1 to ``LONGEST`` words: where sequences begin that lie in one piece, and their hashes."""
+class Reached:
+    """Of the lengths ``of``: one bit for each cell of the added sketches, whether it reaches the threshold."""
+
+    def __init__(self, of: tuple[int, ...], cells: np.ndarray, bits: int):
+        self.of, self.cells, self.bits = of, cells, bits
+
+
+def _cell(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
+    return ((hashes * _ODD[row]) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _sequences(lang: str, ids: np.ndarray, hashes: np.ndarray, known: list[Reached]):
+    """For 1 to ``LONGEST`` words: where sequences begin that lie in one piece, and their hashes; what ``known`` rules out, or holds what it rules out, is left out."""
     seed = np.uint64(xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), 7))
-    inside = ids > 0
-    whole, mixed = inside, hashes ^ seed
+    alive, mixed = ids > 0, hashes ^ seed
     for n in range(1, LONGEST + 1):
         if n > 1:
-            whole = whole[:-1] & inside[n - 1 :]
+            alive = alive[:-1] & alive[1:]
             mixed = (mixed[:-1] ^ (mixed[:-1] >> np.uint64(31))) * _MIX + hashes[n - 1 :]
-        at = np.flatnonzero(whole)
-        found = mixed[at] ^ (mixed[at] >> np.uint64(29))
-        yield n, at, found * _MIX
+        at = np.flatnonzero(alive)
+        found = (mixed[at] ^ (mixed[at] >> np.uint64(29))) * _MIX
+        for reached in known:
+            if n in reached.of:
+                for row in range(DEPTH):
+                    cell = _cell(found, row, reached.bits)
+                    kept = (reached.cells[row][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 > 0
+                    at, found = at[kept], found[kept]
+                alive = np.zeros(len(alive), bool)
+                alive[at] = True
+        yield n, at, found
         if len(ids) <= n:
             return
 
 
-def _cell(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return ((hashes * _ODD[row]) >> np.uint64(64 - bits)).astype(np.int64)
-
-
 def sketch_cells(sequences: int, max_cells: int = MAX_CELLS) -> int:
     """Bits of a cell's number, for about so many sequences."""
     return int(math.log2(min(max(MIN_CELLS, max_cells), max(MIN_CELLS, 1 << math.ceil(math.log2(max(1, sequences) / LOAD + 1))))))
 
 
-def _sketches(texts: DataFrame, bits: int, threshold: int) -> DataFrame:
-    """(slice, cells) of the sketch of each task; cells are bytes that stop at the threshold."""
+def _sketches(texts: DataFrame, of: tuple[int, ...], known: Callable[[], list[Reached]], bits: int, threshold: int) -> DataFrame:
+    """(slice, cells) of the sketch of each task, of sequences of the lengths ``of``; cells are bytes that stop at the threshold."""
 
     def count(batches):
         sketch = np.zeros((DEPTH, 1 << bits), np.uint8)
         waiting: list[np.ndarray] = []
+        tested = known()
         any_row = False
 
         def add():
@@ -136,7 +156,7 @@ def _sketches(texts: DataFrame, bits: int, threshold: int) -> DataFrame:
 
         for lang, _, ids, hashes in _chunks(batches):
             any_row = True
-            waiting += [h for _, _, h in _sequences(lang, ids, hashes)]
+            waiting += [h for n, _, h in _sequences(lang, ids, hashes, tested) if n in of]
             if sum(map(len, waiting)) >= _ADDED:
                 add()
         if waiting:
@@ -150,8 +170,8 @@ def _sketches(texts: DataFrame, bits: int, threshold: int) -> DataFrame:
     return texts.coalesce(texts.sparkSession.sparkContext.defaultParallelism).mapInArrow(count, "slice int, cells binary")
 
 
-def _reached(sketches: DataFrame, bits: int, threshold: int) -> np.ndarray:
-    """Adds up the sketches of all tasks: one bit a cell, whether it reaches the threshold."""
+def _reached(sketches: DataFrame, of: tuple[int, ...], bits: int, threshold: int) -> Reached:
+    """Adds up the sketches of all tasks."""
 
     def add(batches):
         at, held = None, None
@@ -175,7 +195,7 @@ def _reached(sketches: DataFrame, bits: int, threshold: int) -> np.ndarray:
     for r in summed.toLocalIterator():  # at most MAX_CELLS bits a row of the sketch
         part = np.frombuffer(r["bits"], np.uint8)
         published[r["slice"] * (_SLICE // 8) : r["slice"] * (_SLICE // 8) + len(part)] = part
-    return published.reshape(DEPTH, -1)
+    return Reached(of, published.reshape(DEPTH, -1), bits)
 
 
 def _same(ids: np.ndarray, at: np.ndarray, n: int, first: np.ndarray, of: np.ndarray) -> bool:
@@ -196,29 +216,27 @@ def count_sequences(docs: DataFrame, *, threshold: int = 30, max_cells: int = MA
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # For the sketch's size, a word is taken for six characters.
     characters = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits = sketch_cells(LONGEST * characters // 6, max_cells)
-    stop = min(threshold, 255)
-    held = shipped(spark, _reached(_sketches(texts, bits, stop), bits, stop))
+    bits = sketch_cells(len(LEVELS[0]) * characters // 6, max_cells)
+    stop, known = min(threshold, 255), []
+    for of in LEVELS:
+        known.append(_reached(_sketches(texts, of, shipped(spark, known), bits, stop), of, bits, stop))
+    held = shipped(spark, known)
 
     def count(batches):
         published = held()
-        counts: dict[tuple[str, str], int] = {}
+        counts: dict[tuple[str, bytes], int] = {}
 
         def flushed():
             keys = list(counts)
-            table = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "phrase", "n"])
+            table = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "phrase", "n"])
             counts.clear()
             return table
 
         for lang, tokens, ids, hashes in _chunks(batches):
-            counts[lang, ""] = counts.get((lang, ""), 0) + int((ids > 0).sum())
-            for n, at, found in _sequences(lang, ids, hashes):
-                for row in range(DEPTH):
-                    cell = _cell(found, row, bits)
-                    kept = (published[row][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 > 0
-                    at, found = at[kept], found[kept]
+            counts[lang, b""] = counts.get((lang, b""), 0) + int((ids > 0).sum())
+            for n, at, found in _sequences(lang, ids, hashes, published):
                 for first, times in zip(*(x.tolist() for x in distinct(ids, at, found, n)), strict=True):
-                    key = lang, " ".join(tokens[first : first + n])
+                    key = lang, b" ".join(tokens[first : first + n])
                     counts[key] = counts.get(key, 0) + times
             if len(counts) > _MOST_HELD:
                 yield flushed()

@@ -66,7 +66,7 @@ def test_phrases_equal_brute_force(spark, spoken, max_cells, monkeypatch):
 
 def test_sketches_never_count_less(spark, spoken):
     texts = spark.createDataFrame([(lang or "und", text or "") for lang, text in spoken], "lang string, text string").repartition(3)
-    reached = collocations._reached(collocations._sketches(texts, 8, 30), 8, 30)
+    reached = collocations._reached(collocations._sketches(texts, (1, 2), list, 8, 30), (1, 2), 8, 30).cells
     counts, _ = brute_counts(spoken)
     exact = collocations.count_sequences(texts, threshold=30)
     assert {(r["lang"], r["phrase"]): r["n"] for r in exact.filter("phrase != ''").collect()} == {(lang, " ".join(w)): n for (lang, w), n in counts.items() if n >= 30}
