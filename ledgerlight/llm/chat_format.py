@@ -7,6 +7,11 @@ canonical turns of (role, text). Turns become marked text; control strings insid
 texts are escaped, so that reading the text back gives exactly the turns. Roles stay
 as given, but for the names that a layout has of its own.
 
+Records may also be columns: then their paths are those of the DataFrame's schema, hashed
+in the same way, and texts of any length pass without a JSON parser. JSON strings may be
+as long as a row can hold; their paths are read from the record with long strings made
+short, where the parser would refuse it.
+
 Null texts and null roles are empty strings. A record of an unknown layout, also one
 with a field beyond a known layout's, keeps its fingerprint and has null turns and
 text. A record that is no JSON object has no fingerprint. A conversation without turns
@@ -19,6 +24,7 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 #: Fields of a record that mappings may name. Arrays of objects hold one turn each.
 MESSAGE_LISTS = {"messages": ("role", "content"), "conversations": ("from", "value"), "turns": ("speaker", "text")}
@@ -53,7 +59,10 @@ def _turn(role: str, text: str, names: dict[str, str]):
 
 def _paths(json: Column) -> Column:
     """The nested fields of a JSON text: names in order, braces around those of an object, brackets around an array's; null if it is no object."""
-    shape = F.schema_of_variant(F.try_parse_json(json))
+    # Of strings only the ends matter here: what the parser of variants refuses for its size is tried again with long strings cut out.
+    plain = F.replace(F.replace(json, F.lit("\\\\"), F.lit("")), F.lit('\\"'), F.lit(""))
+    brief = F.regexp_replace(plain, r'"[^"]{100,}+"', '""')
+    shape = F.schema_of_variant(F.coalesce(F.try_parse_json(json), F.try_parse_json(brief)))
     shape = F.regexp_replace(F.regexp_replace(shape, "OBJECT<", "{"), "ARRAY<", "[")
     # What is left between names and braces are types of values.
     shape = F.regexp_replace(shape, r": (?:[A-Z_]+(?:\([0-9, ]+\))?)(?=[,>])", "")
@@ -86,22 +95,46 @@ def schema_fingerprint(json: Column) -> Column:
     return F.when(paths.isNotNull(), _hash(paths))
 
 
+def typed_paths(kind: DataType) -> str:
+    """The paths of a type's nested fields, written as those of a JSON record."""
+    if isinstance(kind, StructType):
+        return "{" + ", ".join(f"{f.name}{of if (of := typed_paths(f.dataType)) == '' else ': ' + of}" for f in sorted(kind.fields, key=lambda f: f.name)) + ">"
+    return f"[{typed_paths(kind.elementType)}>" if isinstance(kind, ArrayType) else ""
+
+
+def _by_hash() -> Column:
+    return F.create_map(*[x for paths, name in _layouts() for x in (_hash(F.lit(paths)), F.lit(name))])
+
+
+def _turns(mapping: str, record: Column, held: list[str] | None = None) -> Column:
+    """The turns of a record whose layout has this mapping; ``held``: the fields that it has, if not all."""
+    about = MAPPINGS[mapping]
+    if "list" in about:
+        role, text = MESSAGE_LISTS[about["list"]]
+        return F.transform(record[about["list"]], _turn(role, text, about.get("roles", {})))
+    return F.array_compact(F.array(*[F.when(record[f].isNotNull(), F.struct(F.lit(r).alias("role"), record[f].alias("text"))) for f, r, _ in about["fields"] if held is None or f in held]))
+
+
 def canonical_turns(records: DataFrame, json_col: str = "record") -> DataFrame:
     """Adds schema_fingerprint, mapping (null: unknown) and turns: array of (role, text)."""
-    by_hash = F.create_map(*[x for paths, name in _layouts() for x in (_hash(F.lit(paths)), F.lit(name))])
-    parsed = records.withColumn("_r", F.from_json(json_col, _RECORD)).withColumn("schema_fingerprint", schema_fingerprint(F.col(json_col)))
-    parsed = parsed.withColumn("mapping", F.element_at(by_hash, F.col("schema_fingerprint")))
+    parsed = records.withColumn("_r", F.from_json(json_col, _RECORD, {"maxStringLen": str((1 << 31) - 1)})).withColumn("schema_fingerprint", schema_fingerprint(F.col(json_col)))
+    parsed = parsed.withColumn("mapping", F.element_at(_by_hash(), F.col("schema_fingerprint")))
     turns = F.lit(None).cast("array<struct<role: string, text: string>>")
-    for name, about in MAPPINGS.items():
-        if "list" in about:
-            role, text = MESSAGE_LISTS[about["list"]]
-            own = F.transform(F.col("_r")[about["list"]], _turn(role, text, about.get("roles", {})))
-        else:
-            own = F.array_compact(F.array(*[F.when(F.col("_r")[f].isNotNull(), F.struct(F.lit(r).alias("role"), F.col("_r")[f].alias("text"))) for f, r, _ in about["fields"]]))
-        turns = F.when(F.col("mapping") == name, own).otherwise(turns)
+    for name in MAPPINGS:
+        turns = F.when(F.col("mapping") == name, _turns(name, F.col("_r"))).otherwise(turns)
     return parsed.withColumn("turns", turns).drop("_r")
 
 
+def canonical_turns_of_columns(records: DataFrame, record_col: str = "record") -> DataFrame:
+    """As ``canonical_turns``, of records in a struct column: its type's fingerprint selects the one mapping of all rows."""
+    kind = records.schema[record_col].dataType
+    paths = typed_paths(kind)
+    known = dict(_layouts()).get(paths)
+    turns = _turns(known, F.col(record_col), kind.names) if known else F.lit(None).cast("array<struct<role: string, text: string>>")
+    fingerprint = _hash(F.lit(paths))
+    return records.withColumns({"schema_fingerprint": fingerprint, "mapping": F.element_at(_by_hash(), fingerprint), "turns": turns})
+
+
 def escape(text: Column) -> Column:
     """Doubles backslashes and puts one behind the first character of every control string."""
     return F.regexp_replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), r"([\[<])(?=(?<=\[)(?:/?INST|OUT|/?ROLE|SAYS)\]|(?<=<)(?:/?s>|</?SYS>>))", r"$1\\")
@@ -139,8 +172,9 @@ def read_turns(formatted: Column) -> Column:
 
 
 def format_chats(records: DataFrame, json_col: str = "record") -> DataFrame:
-    """Adds schema_fingerprint, mapping, turns, formatted and loss_spans (the loss mask) to records in JSON."""
-    return canonical_turns(records, json_col).withColumns({"formatted": format_turns(F.col("turns")), "loss_spans": loss_spans(F.col("turns"))})
+    """Adds schema_fingerprint, mapping, turns, formatted and loss_spans (the loss mask) to records, in JSON or a struct column."""
+    is_text = dict(records.dtypes)[json_col] == "string"
+    return (canonical_turns if is_text else canonical_turns_of_columns)(records, json_col).withColumns({"formatted": format_turns(F.col("turns")), "loss_spans": loss_spans(F.col("turns"))})
 
 
 def loss_spans(turns: Column) -> Column:
@@ -165,10 +199,10 @@ def loss_text(formatted: Column) -> Column:
 
 
 def records_of_turns(rows: DataFrame) -> DataFrame:
-    """Rows by turn (conv_id, turn, role, text) to one ``messages`` record each, ties in turn by role and text.
+    """Rows by turn (conv_id, turn, role, text) to one ``messages`` record (a struct) each, ties in turn by role and text.
 
     A conversation becomes one row, as its text is one sequence; nothing else is gathered.
     """
     said = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
     messages = F.transform(F.array_sort(F.collect_list(said)), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
-    return rows.groupBy("conv_id").agg(F.to_json(F.struct(messages.alias("messages"))).alias("record"))
+    return rows.groupBy("conv_id").agg(F.struct(messages.alias("messages")).alias("record"))
