@@ -43,6 +43,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, or the shortest that begins with it and is not taken."""
+    while name in taken:
+        name += "_"
+    return name
+
+
 def shipped(spark: SparkSession, model: object) -> Callable[[], object]:
     """Sends a bounded model to the executors once; tasks call what is returned to get it.
 

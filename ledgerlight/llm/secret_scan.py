@@ -54,8 +54,8 @@ _WORDS = (
     "dummy fake default change changeme placeholder insert replace none null true false string number version build release commit hash checksum order "
     "invoice phone card account page index image style class color table config server client local host http https www com org net html json xml"
 ).split()
-#: Letters of a word of the dictionary, and the characters of a candidate whose coverage is measured, from its start.
-_SHORTEST, _LONGEST, _COVERED = 3, 12, 4096
+#: Letters of a word of the dictionary.
+_SHORTEST, _LONGEST = 3, 32
 KNOWN = frozenset(w for w in _WORDS if len(w) >= _SHORTEST)
 #: Words that a dictionary takes from documents, at most: those of the most texts.
 MOST_WORDS = 20_000
@@ -130,8 +130,7 @@ def dictionary_of(docs: DataFrame, *, text_col: str = "text", most: int = MOST_W
 
 
 def coverage(low: str, dictionary: frozenset[str]) -> float:
-    """Share of a text's first characters that words of the dictionary cover, the longest first."""
-    low = low[:_COVERED]
+    """Share of a text that words of the dictionary cover, from left to right, the longest first."""
     at = held = 0
     while at < len(low):
         n = next((n for n in range(min(_LONGEST, len(low) - at), _SHORTEST - 1, -1) if low[at : at + n] in dictionary), 0)
@@ -325,10 +324,12 @@ def scan(docs: DataFrame, forest: Forest, *, threshold: float = 0.5, text_col: s
 
 
 def redact(docs: DataFrame, forest: Forest, *, text_col: str = "text", path_col: str | None = None, threshold: float = 0.5) -> DataFrame:
-    """``docs`` with its secrets masked, the same columns; ``n_chars`` follows the text where there is such a column."""
-    scanned = scan(docs, forest, threshold=threshold, text_col=text_col, path_col=path_col)
-    changed = F.size("secrets") > 0
-    columns = {text_col: F.col("redacted")}
-    if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(changed, F.length("redacted").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))
-    return scanned.select(*[columns.get(c, F.col(c)).alias(c) for c in docs.columns])
+    """``docs`` with its secrets masked, the same columns whatever their names; ``n_chars`` follows the text where there is such a column."""
+    columns = docs.columns
+    plain = {c: f"c{i}" for i, c in enumerate(columns)}
+    scanned = scan(docs.toDF(*plain.values()), forest, threshold=threshold, text_col=plain[text_col], path_col=path_col and plain[path_col])
+    out = {c: F.col(n) for c, n in plain.items()} | {text_col: F.col("redacted")}
+    if "n_chars" in columns:
+        kind = dict(docs.dtypes)["n_chars"]
+        out["n_chars"] = F.when(F.size("secrets") > 0, F.length("redacted").cast(kind)).otherwise(out["n_chars"])
+    return scanned.select(*[out[c].alias(c) for c in columns])

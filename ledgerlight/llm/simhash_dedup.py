@@ -181,6 +181,10 @@ def keep_one_per_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     A row is known by its id and its text's hash, so rows of other groups that share its id, or have none, stay.
     """
+    columns = docs.columns
+    plain = {c: f"c{i}" for i, c in enumerate(columns)}  # names that cannot meet those of the key
+    docs = docs.toDF(*plain.values())
+    id_col, text_col = plain[id_col], plain[text_col]
     names = ["_id", "_hash", "_none"]
     key = [F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.col(text_col)).alias("_hash"), F.col(text_col).isNull().alias("_none")]
     own = materialize(fingerprints(docs, id_col, text_col, extra=tuple(key[1:])), "simhash")
@@ -188,4 +192,4 @@ def keep_one_per_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     kept = own.join(_classes(own).select("fp", "label"), "fp").groupBy("label").agg(F.min(order).alias("least")).select(*[F.col(f"least.{n}").alias(f"_kept{n}") for n in names])
     same = [k.eqNullSafe(F.col(f"_kept{n}")) for k, n in zip(key, names, strict=True)]
     rows = docs.join(kept, same[0] & same[1] & same[2], "left_semi")
-    return rows.withColumns(dict(zip(names, key, strict=True))).dropDuplicates(names).drop(*names)
+    return rows.withColumns(dict(zip(names, key, strict=True))).dropDuplicates(names).drop(*names).toDF(*columns)

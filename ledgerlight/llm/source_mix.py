@@ -201,19 +201,22 @@ def draw(measured: DataFrame, plan: DataFrame, bits: int) -> DataFrame:
     return joined.withColumn("draws", mine).drop("_s", "_pb", "_b", "_draws")
 
 
-def mix(docs: DataFrame, *, shards: int | None = None, seed: int = 42, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, *, shards: int | None = None, seed: int = 42, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shard_col: str = "shard", order_col: str = "shard_order") -> DataFrame:
     """The mixed corpus: the rows of ``docs``, repeated as drawn, with shard and a local random order.
 
-    ``shard`` and ``shard_order`` are added; write it with
-    ``.repartition("shard").sortWithinPartitions("shard", "shard_order")``. Unless
-    stated, the number of shards follows the input (``shards_for``).
+    ``shard_col`` and ``order_col`` are added and must be names that ``docs`` has not;
+    write the mix with ``.repartition(shard_col).sortWithinPartitions(shard_col,
+    order_col)``. Unless stated, the number of shards follows the input (``shards_for``).
     """
-    measured = measure(docs.drop("shard", "shard_order"), seed=seed, id_col=id_col, text_col=text_col, source_col=source_col)
+    if {shard_col, order_col} & {*docs.columns}:
+        raise ValueError(f"{shard_col} and {order_col} are columns of the documents: name others")
+    plain = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    measured = measure(docs.toDF(*plain.values()), seed=seed, id_col=plain[id_col], text_col=plain[text_col], source_col=plain[source_col])
     slim = materialize(measured.select("_source", "_size", "_place"), "mix-measured")
     plan, bits = plan_mix(slim, weights=weights, max_repeat=max_repeat, shards=shards, seed=seed)
     drawn = draw(measured, plan, bits).withColumn("_draw", F.explode("draws"))
-    kept = [F.col(c) for c in docs.columns if c not in ("shard", "shard_order")]
-    return drawn.select(*kept, F.col("_draw.shard").alias("shard"), F.xxhash64(F.lit(seed), "_place", "_draw.copy").alias("shard_order"))
+    kept = [F.col(n).alias(c) for c, n in plain.items()]
+    return drawn.select(*kept, F.col("_draw.shard").alias(shard_col), F.xxhash64(F.lit(seed), "_place", "_draw.copy").alias(order_col))
 
 
 def mixed_words(docs: DataFrame, *, shards: int | None = None, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
