@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from ledgerlight.llm.subword import chunks_of_text
 
-_PIECE = 64
 _NEAREST = np.array([(1 << 8 * k) - 1 for k in range(8)], np.uint64)
 
 
@@ -43,13 +42,8 @@ def words_of(text: str) -> list[str]:
 
 def grams(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the words' bytes (each word with a space before): row of the word, byte, window of the bytes before (at most ``order``, the nearest lowest), and how many those are."""
-    pieces, owner = [], []  # very long words are coded in pieces, each with its own start
-    for i, w in enumerate(words):
-        for at in range(0, len(w), _PIECE):
-            pieces.append(b" " + w[at : at + _PIECE])
-            owner.append(i)
-    flat = np.frombuffer(b"".join(pieces), np.uint8)
-    lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    flat = np.frombuffer(b"".join(b" " + w for w in words), np.uint8)
+    lens = np.fromiter(map(len, words), np.int64, len(words)) + 1
     place = np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)
     keep = np.flatnonzero(place > 0)  # the space itself costs the same in every language: it is not coded
     length = np.minimum(place[keep], order)
@@ -57,7 +51,7 @@ def grams(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.nd
     for k in range(1, order + 1):
         there = np.flatnonzero(length >= k)
         window[there] |= flat[keep[there] - k].astype(np.uint64) << np.uint64(8 * (k - 1))
-    return np.repeat(np.array(owner, np.int64), lens)[keep], flat[keep], window, length
+    return np.repeat(np.arange(len(words)), lens)[keep], flat[keep], window, length
 
 
 def context(window: np.ndarray, k: int | np.ndarray) -> np.ndarray:
@@ -71,17 +65,18 @@ def key_of(context: np.ndarray, byte: np.ndarray) -> np.ndarray:
 
 
 class WordTable:
-    """Values of words by row, filled as words come; emptied beyond ``max_words``, so memory stays bounded."""
+    """Values of words by row, filled as words come; emptied beyond ``max_words`` and beyond ``max_chars`` in them, so memory stays bounded."""
 
-    def __init__(self, score: Callable[[list[str]], np.ndarray], columns: int, max_words: int = 400_000):
-        self._score, self._max = score, max_words
+    def __init__(self, score: Callable[[list[str]], np.ndarray], columns: int, max_words: int = 400_000, max_chars: int = 16_000_000):
+        self._score, self._max, self._max_chars, self._chars = score, max_words, max_chars, 0
         self._rows: dict[str, int] = {}
         self.values = np.zeros((1 << 12, columns))
 
     def rows(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Row numbers of the words of each text."""
-        if len(self._rows) > self._max:
+        if len(self._rows) > self._max or self._chars > self._max_chars:
             self._rows.clear()
+            self._chars = 0
         table = self._rows
         new = [w for w in dict.fromkeys(w for words in texts for w in words) if w not in table]
         if new:
@@ -90,6 +85,7 @@ class WordTable:
                 self.values = np.concatenate([self.values, np.zeros_like(self.values)])
             self.values[n : n + len(new)] = self._score(new)
             table.update(zip(new, range(n, n + len(new)), strict=True))
+            self._chars += sum(map(len, new))
         return [np.fromiter(map(table.__getitem__, words), np.int64, len(words)) for words in texts]
 
 
