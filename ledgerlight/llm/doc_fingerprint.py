@@ -233,7 +233,7 @@ def _borders(rows: DataFrame, value: Column, n: int, min_bucket: int) -> list[in
     return sorted(set(found or []))
 
 
-def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_bucket: int = 1000) -> DataFrame:
+def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_bucket: int = 256) -> DataFrame:
     """doc_id, text, keys (digests), and next_text, next_keys of the next document in descending order of id; the first follows the last.
 
     Ids are cut into ranges of about equally many rows, rows without an id into ranges
@@ -256,7 +256,7 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     guests = guests.select(F.lit(None).cast("long").alias("doc_id"), "text", "range", F.lit(True).alias("guest"))
     both = rows.withColumn("guest", F.lit(False)).unionByName(guests).withColumn("keys", digests("text"))
     # Ranges are many where there is much: so are the partitions, whatever the session's setting.
-    both = both.repartition(max(1, (len(by_id) + len(by_hash)) // 4), "range")
+    both = both.repartition(max(1, (len(by_id) + len(by_hash)) // 2), "range")
     order = Window.partitionBy("range").orderBy("guest", F.col("doc_id").desc_nulls_last(), mixed, "text")
     both = both.withColumn("_next", F.lead(F.struct("text", "keys")).over(order)).filter(~F.col("guest"))
     return both.select("doc_id", "text", "keys", F.col("_next.text").alias("next_text"), F.col("_next.keys").alias("next_keys"))
