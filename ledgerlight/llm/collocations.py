@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,9 @@ MIN_CELLS, MAX_CELLS, LOAD = 1 << 14, 1 << 24, 24
 #: Bytes of text that a task counts at a time, and sequences that it puts into its sketch at a time.
 _CHARS, _ADDED = 1 << 21, 3_000_000
 _SLICE = 1 << 18
-_MOST_WORDS, _MOST_HELD = 400_000, 300_000
+_MOST_WORDS, _MOST_HELD = 400_000, 1_000_000
+#: Characters of text for a task, about.
+TASK_CHARS = 1 << 29
 
 #: Of UTF-8: marks that end a piece, blanks, and A-Z in lower case; other characters hold none of these bytes.
 _TABLE = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"\n" * 10 + b" abcdefghijklmnopqrstuvwxyz")
@@ -166,8 +169,7 @@ def _sketches(texts: DataFrame, of: tuple[int, ...], known: Callable[[], list[Re
             for k in range(0, len(flat), _SLICE):
                 yield pa.RecordBatch.from_arrays([pa.array([k // _SLICE], pa.int32()), pa.array([flat[k : k + _SLICE].tobytes()], pa.binary())], ["slice", "cells"])
 
-    # One sketch for each core, however many files there are.
-    return texts.coalesce(texts.sparkSession.sparkContext.defaultParallelism).mapInArrow(count, "slice int, cells binary")
+    return texts.mapInArrow(count, "slice int, cells binary")
 
 
 def _reached(sketches: DataFrame, of: tuple[int, ...], bits: int, threshold: int) -> Reached:
@@ -217,6 +219,8 @@ def count_sequences(docs: DataFrame, *, threshold: int = 30, max_cells: int = MA
     # For the sketch's size, a word is taken for six characters.
     characters = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = sketch_cells(len(LEVELS[0]) * characters // 6, max_cells)
+    # Sketches and counted tables are one for each task: no more tasks than cores and the text's size call for.
+    texts = texts.coalesce(max(spark.sparkContext.defaultParallelism, -(-characters // TASK_CHARS)))
     stop, known = min(threshold, 255), []
     for of in LEVELS:
         known.append(_reached(_sketches(texts, of, shipped(spark, known), bits, stop), of, bits, stop))
@@ -224,24 +228,25 @@ def count_sequences(docs: DataFrame, *, threshold: int = 30, max_cells: int = MA
 
     def count(batches):
         published = held()
-        counts: dict[tuple[str, bytes], int] = {}
+        counts: dict[str, dict[bytes, int]] = {}
 
         def flushed():
-            keys = list(counts)
-            table = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "phrase", "n"])
+            for lang, mine in counts.items():
+                keys, n = iter(mine), 100_000
+                while some := list(islice(keys, n)):
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.binary()).cast(pa.string()), pa.array([mine[k] for k in some], pa.int64())], ["lang", "phrase", "n"])
             counts.clear()
-            return table
 
         for lang, tokens, ids, hashes in _chunks(batches):
-            counts[lang, b""] = counts.get((lang, b""), 0) + int((ids > 0).sum())
+            mine = counts.setdefault(lang, {})
+            mine[b""] = mine.get(b"", 0) + int((ids > 0).sum())
             for n, at, found in _sequences(lang, ids, hashes, published):
                 for first, times in zip(*(x.tolist() for x in distinct(ids, at, found, n)), strict=True):
-                    key = lang, b" ".join(tokens[first : first + n])
-                    counts[key] = counts.get(key, 0) + times
-            if len(counts) > _MOST_HELD:
-                yield flushed()
-        if counts:
-            yield flushed()
+                    key = b" ".join(tokens[first : first + n])
+                    mine[key] = mine.get(key, 0) + times
+            if sum(map(len, counts.values())) > _MOST_HELD:
+                yield from flushed()
+        yield from flushed()
 
     found = texts.mapInArrow(count, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     return found.filter((F.col("n") >= threshold) | (F.col("phrase") == ""))
