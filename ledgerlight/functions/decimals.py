@@ -24,7 +24,7 @@ def ratio(a: Column, b: Column) -> Column:
     return (a.cast("decimal(20,8)") / F.nullif(b.cast("decimal(20,8)"), F.lit(0).cast("decimal(20,8)"))).cast("decimal(38,18)")
 
 
-def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often ``body`` names it."""
     return F.transform(F.array(value), body)[0]
 
@@ -40,10 +40,10 @@ def half_even_ratio(a: Column, b: Column) -> Column:
     tick = F.lit(Decimal("0.0000000001"))
 
     def digits(rest: Column, low: Column, then: Callable[[Column, Column], Column]) -> Column:
-        return _bound((rest % low).cast(wide), lambda left: then(((rest - left) / low).try_cast(whole), left))
+        return bound((rest % low).cast(wide), lambda left: then(((rest - left) / low).try_cast(whole), left))
 
     def more(left: Column, low: Column, then: Callable[[Column, Column], Column]) -> Column:
-        return _bound((left * ten).cast("decimal(36,8)"), lambda rest: digits(rest, low, then))
+        return bound((left * ten).cast("decimal(36,8)"), lambda rest: digits(rest, low, then))
 
     def ended(front: Column, first: Column, second: Column, left: Column, low: Column) -> Column:
         up = (left * 2 > low) | ((left * 2 == low) & (second % 2 == 1))
@@ -52,10 +52,10 @@ def half_even_ratio(a: Column, b: Column) -> Column:
 
     def divided(s: Column) -> Column:
         low = s["low"]
-        return digits(s["top"], low, lambda front, l0: more(l0, low, lambda first, l1: more(l1, low, lambda second, l2: _bound(second, lambda held: ended(front, first, held, l2, low)))))
+        return digits(s["top"], low, lambda front, l0: more(l0, low, lambda first, l1: more(l1, low, lambda second, l2: bound(second, lambda held: ended(front, first, held, l2, low)))))
 
     both = F.struct(F.abs(a.cast(wide)).alias("top"), F.abs(F.nullif(b.cast(wide), F.lit(0).cast(wide))).alias("low"), ((a < 0) != (b < 0)).alias("negative"))
-    return _bound(both, lambda s: _bound(divided(s), lambda size: F.when(s["negative"], -size).otherwise(size).cast("decimal(30,10)")))
+    return bound(both, lambda s: bound(divided(s), lambda size: F.when(s["negative"], -size).otherwise(size).cast("decimal(30,10)")))
 
 
 def published(c: Column, precision: int = 20, scale: int = 10) -> Column:
