@@ -42,22 +42,18 @@ class SegmentIndex:
         # A second writer of the same version fails here, before its segments are seen.
         self.spark.createDataFrame([row], _VERSION).coalesce(1).write.mode("errorifexists").json(f"{self.root}/_versions/{row[0]:08d}")
 
+    def _read(self, segments: list[int], what: str) -> DataFrame:
+        """Rows of several segments as one scan; each row says of which segment it is."""
+        return self.spark.read.parquet(*[f"{self.root}/segments/{s:08d}/{what}" for s in segments])
+
     def _postings(self, segments: list[int]) -> DataFrame:
-        parts = [self.spark.read.parquet(f"{self.root}/segments/{s:08d}/words").withColumn("segment", F.lit(s)) for s in segments]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        return self._read(segments, "words")
 
     def _dead(self, segments: list[int]) -> DataFrame | None:
         """id, killed_by: the last segment but the first that touched an id."""
         if len(segments) < 2:
             return None
-        parts = [self.spark.read.parquet(f"{self.root}/segments/{s:08d}/touched").select("id", F.lit(s).alias("segment")) for s in segments[1:]]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out.groupBy("id").agg(F.max("segment").alias("killed_by"))
+        return self._read(segments[1:], "touched").groupBy("id").agg(F.max("segment").alias("killed_by"))
 
     def _live(self, postings: DataFrame, segments: list[int]) -> DataFrame:
         dead = self._dead(segments)
@@ -67,9 +63,9 @@ class SegmentIndex:
 
     def _write(self, segment: int, words: DataFrame, touched: DataFrame | None) -> None:
         path = f"{self.root}/segments/{segment:08d}"
-        words.select("word", "id").repartitionByRange("word").sortWithinPartitions("word", "id").write.mode("overwrite").parquet(f"{path}/words")
+        words.select("word", "id", F.lit(segment).cast("bigint").alias("segment")).repartitionByRange("word").sortWithinPartitions("word", "id").write.mode("overwrite").parquet(f"{path}/words")
         if touched is not None:
-            touched.select("id").write.mode("overwrite").parquet(f"{path}/touched")
+            touched.select("id", F.lit(segment).cast("bigint").alias("segment")).write.mode("overwrite").parquet(f"{path}/touched")
 
     def apply(self, changes: DataFrame, source_number: int = 0) -> int:
         """Adds a change set (id_col, text_col, change: added or removed) as a segment; an id that is removed and added is replaced. Returns the segment."""
