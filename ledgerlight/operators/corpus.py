@@ -1,13 +1,11 @@
 """Texts for retrieval: cleaning, documents, and chunks with their offsets.
 
-Chunking is greedy and sequential within a document, so it runs in Arrow batches
-over documents; documents are independent, nothing is shuffled.
+Chunking is greedy and sequential within a document: a fold over its text in built-in
+expressions, where it is read; documents are independent, nothing is shuffled.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -17,10 +15,11 @@ from pyspark.sql.types import StringType
 
 from ledgerlight.functions import text as T
 
-# Boundaries of chunks, and elements whose text is not read.
-PARAGRAPH = re.compile(r"\n[ \t]*\n+")
-SENTENCE = re.compile(r"[.!?](?:[\"')\]]*)[ \t\n]+")
-BLANK = re.compile(r"\s+")
+# Boundaries of chunks (each with the first character behind it), and elements whose text is not read.
+PARAGRAPH = r"\n[ \t]*\n+[^\n]"
+SENTENCE = r"[.!?][\"\x27)\]]*[ \t\n]+[^ \t\n]"
+_SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+BLANK = rf"[{_SPACE}]+[^{_SPACE}]"
 HIDDEN = ("script", "style", "noscript", "head", "template", "ix:header", "ix:hidden")
 
 
@@ -54,7 +53,7 @@ def visible_text(html: pd.Series) -> pd.Series:
         parser = _Visible()
         parser.feed(source)
         parser.close()
-        return BLANK.sub(" ", " ".join(parser.parts)).strip()
+        return " ".join(" ".join(parser.parts).split())
 
     return html.map(one, na_action="ignore")
 
@@ -87,37 +86,50 @@ def all_documents(*parts: DataFrame) -> DataFrame:
     return out
 
 
-def chunk_spans(text: str, target: int = 2400, most: int = 3200, overlap: int = 300) -> Iterator[tuple[int, int]]:
-    """Half-open spans that cover a text, cut at the best boundary between ``target`` and ``most`` characters."""
-
-    def ends(pattern, lo, hi):
-        return (m.end() for m in pattern.finditer(text, lo, hi))
-
-    start, n = 0, len(text)
-    while n - start > most:
-        goal, limit = start + target, start + most
-        choices = [next((e for e in ends(p, goal, limit + 1) if e <= limit), None) for p in (PARAGRAPH, SENTENCE)]
-        for pattern, upto in ((PARAGRAPH, goal), (SENTENCE, goal), (BLANK, limit)):
-            choices.append(max((e for e in ends(pattern, start, upto + 1) if start < e <= upto), default=None))
-        end = next((e for e in choices if e is not None), limit)
-        yield start, end
-        back = max(start + 1, end - overlap) if overlap else end
-        start = next((e for p in (PARAGRAPH, SENTENCE, BLANK) for e in ends(p, back, end) if e < end), back)
-    if n:
-        yield start, n
+def _let(name: str, value: str, body: str) -> str:
+    """SQL of ``body``, in which ``name`` is ``value``, computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def chunk_spans(text: str, target: int = 2400, most: int = 3200, overlap: int = 300) -> Column:
+    """Chunks of a text (SQL): array of character_start, character_end, chunk_text.
+
+    From where a chunk starts its end is, of what there is: the first paragraph's end
+    from ``target`` on, the first sentence's, the last paragraph's before it, the last
+    sentence's, the last blank's, or ``most`` characters. The next one starts at the
+    first boundary in the last ``overlap`` characters. The fold looks at a stretch of
+    the text around the chunk only, so it is linear in the text.
+    """
+    slab = max(1 << 15, 2 * most + 2)
+    first = lambda region, p: f"length(regexp_extract({region}, r'(?s)^.*?{p}', 0))"
+    # Breaks of paragraphs are told from left to right, each behind the one before; other boundaries end at one place only.
+    last = lambda region, p: f"length(regexp_extract({region}, r'(?s)^{f'(?:.*?{p[:-5]})+{p[-5:]}' if p == PARAGRAPH else '.*' + p}', 0))"
+    at = lambda base, n: f"if({n} > 0, {base} + {n} - 1, null)"
+    # Places are counted from the stretch's own start.
+    near, ahead, wide = f"substring(w, s + 1, {target + 1})", f"substring(w, s + {target} + 1, {most - target + 1})", f"substring(w, s + 1, {most + 1})"
+    ends = [at(f"s + {target}", first(ahead, p)) for p in (PARAGRAPH, SENTENCE)] + [at("s", last(r, p)) for r, p in ((near, PARAGRAPH), (near, SENTENCE), (wide, BLANK))]
+    tail = "substring(w, back + 1, e - back)"
+    starts = [at("back", first(tail, p)) for p in (PARAGRAPH, SENTENCE, BLANK)] if overlap else []
+    back = f"greatest(s + 1, e - {overlap})" if overlap else "e"
+    span = lambda a, b: f"concat(t.spans, array(named_struct('a', {a}, 'b', {b})))"
+    go_on = _let("e", f"coalesce({', '.join(ends)}, s + {most})", _let("back", back, f"named_struct('s', base + coalesce({', '.join([*starts, 'back'])}), 'done', false, 'spans', {span('t.s', 'base + e')})"))
+    stop = f"named_struct('s', t.s, 'done', true, 'spans', {span('t.s', 'n')})"
+    stretch = lambda place, body: _let("base", f"cast(({place} div {slab}) * {slab} as int)", _let("w", f"concat(get(slabs, base div {slab}), coalesce(get(slabs, base div {slab} + 1), ''))", body))
+    step = f"if(n - t.s <= {most}, {stop}, {stretch('t.s', _let('s', 't.s - base', go_on))})"
+    fold = lambda start, steps: f"aggregate(sequence(1, {steps}), {start}, (t, i) -> if(t.done, t, {step}))"
+    # A step costs what has been found: few are tried at first, and more only for a text of very short chunks.
+    begin = "named_struct('s', 0, 'done', false, 'spans', cast(array() as array<struct<a: int, b: int>>))"
+    whole = _let("r", fold(begin, f"cast(ceil(n / {target - overlap}D) as int) + 8"), f"if(r.done, r.spans, {fold('r', f'greatest(1, n - {most} + 1)')}.spans)")
+    text_of = stretch("p.a", "named_struct('character_start', cast(p.a as bigint), 'character_end', cast(p.b as bigint), 'chunk_text', substring(w, p.a - base + 1, p.b - p.a))")
+    cut = _let("n", f"length({text})", _let("slabs", f"regexp_extract_all({text}, r'(?s).{{1,{slab}}}', 0)", f"transform({whole}, p -> {text_of})"))
+    return F.expr(f"if({text} is null or {text} = '', cast(array() as array<struct<character_start: bigint, character_end: bigint, chunk_text: string>>), {cut})")
 
 
 def chunks(docs: DataFrame, *, id_col: str = "document_version_id", text_col: str = "document_text", target: int = 2400, most: int = 3200, overlap: int = 300) -> DataFrame:
     """One row per chunk: id, chunk_index, character_start, character_end, chunk_text, its hash, chunk_id. Empty texts have none."""
     if not 0 <= overlap < target <= most:
         raise ValueError("overlap < target <= most")
-
-    @F.pandas_udf("array<struct<character_start: bigint, character_end: bigint>>")
-    def spans(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [] if t is None else [{"character_start": a, "character_end": b} for a, b in chunk_spans(t, target, most, overlap)])
-
-    cut = docs.select(id_col, text_col, F.posexplode(spans(F.col(text_col))).alias("chunk_index", "span")).select(id_col, "chunk_index", "span.*", text_col)
-    cut = cut.withColumn("chunk_text", T.slice_chars(F.col(text_col), F.col("character_start"), F.col("character_end"))).drop(text_col)
+    cut = docs.select(id_col, F.posexplode(chunk_spans(f"`{text_col}`", target, most, overlap)).alias("chunk_index", "span")).select(id_col, "chunk_index", "span.*")
     cut = cut.withColumn("chunk_text_sha256", T.sha256(F.col("chunk_text")))
     strategy = F.lit(f"greedy-{target}-{most}-{overlap}")
     return cut.withColumn("chunk_id", T.content_id(document=F.col(id_col).cast("string"), strategy=strategy, start=F.col("character_start"), end=F.col("character_end"), sha256=F.col("chunk_text_sha256")))

@@ -235,16 +235,37 @@ SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(t) AS text_sha256 FROM c"""
 
 
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Visible text of pages (an HTML parser in Arrow batches; SQL cannot say it)."""
+    """Visible text of pages."""
     return table(spark, sf_dir, "pages").select("page_id", corpus.visible_text("html").alias("page_text"))
 
 
+#: Comments and hidden elements go, other tags become blanks, then the references that pages hold are read; what is cut off at a page's end is left as it is.
+HTML_SQL = r"""WITH t AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<!DOCTYPE[^>]*>|<head\b.*?</head>|<(?:script|style|noscript|template)\b.*?</(?:script|style|noscript|template)>', ' ', 'g'), '</?[A-Za-z][^>]*>', ' ', 'g') AS t FROM pages),
+r AS (SELECT page_id, replace(replace(replace(replace(regexp_replace(t, '&amp(?:;|\b)', chr(1), 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), chr(1), '&') AS t FROM t)
+SELECT page_id, trim(regexp_replace(t, '[\s\x0b\x1c-\x1f\x85\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS page_text FROM r"""
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.documents(table(spark, sf_dir, "documents"), id_prefix="doc", key="doc_id", text="text", version_fields=["lang", "source"])
 
 
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.chunks(_documents(spark, sf_dir), id_col="document_id")
+    return corpus.chunks(_documents(spark, sf_dir), id_col="document_id").select("document_id", "chunk_index", "character_start", "character_end", "chunk_text_sha256")
+
+
+def _sql_end(base: str, region: str, pattern: str) -> str:
+    m = f"length(regexp_extract({region}, '(?s)^{pattern}'))"
+    return f"CASE WHEN {m} > 0 THEN {base} + {m} - 1 END"
+
+
+#: Collapsed texts have neither paragraphs nor other white space than single blanks.
+_SENTENCE = r"[.!?][\"\x27)\]]* [^ ]"
+CHUNKS_SQL = rf"""WITH RECURSIVE d AS (SELECT 'doc:' || doc_id AS document_id, trim(regexp_replace(text, '[\s\x0b\x1c-\x1f\x85\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ' ', 'g')) AS t FROM documents),
+c AS (SELECT document_id, t, 0 AS k, 0 AS s, NULL::BIGINT AS e, 0::BIGINT AS following FROM d WHERE t != '' UNION ALL
+  SELECT document_id, t, k + 1, s2, e2, CASE WHEN e2 = length(t) THEN NULL ELSE coalesce({_sql_end("back", "substring(t, back + 1, e2 - back)", f".*?{_SENTENCE}")}, {_sql_end("back", "substring(t, back + 1, e2 - back)", ".*? [^ ]")}, back) END
+  FROM (SELECT *, greatest(s2 + 1, e2 - 300) AS back FROM (SELECT document_id, t, k, following AS s2, CASE WHEN length(t) - following <= 3200 THEN length(t) ELSE coalesce(
+    {_sql_end("following + 2400", "substring(t, following + 2401, 801)", f".*?{_SENTENCE}")}, {_sql_end("following", "substring(t, following + 1, 2401)", f".*{_SENTENCE}")}, {_sql_end("following", "substring(t, following + 1, 3201)", ".* [^ ]")}, following + 3200) END AS e2 FROM c WHERE following IS NOT NULL)))
+SELECT document_id, (k - 1)::INTEGER AS chunk_index, s::BIGINT AS character_start, e::BIGINT AS character_end, sha256(substring(t, s + 1, e - s)) AS chunk_text_sha256 FROM c WHERE k > 0"""
 
 
 def chunk_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -358,10 +379,12 @@ WINDOW_SQL = "SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(
 
 
 def squared_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1, 6).selectExpr("id", "id * id AS squared").orderBy("id")
+    """Keys of regions, counted from 1, and their squares, in order."""
+    key = (F.col("r_regionkey") + 1).cast("bigint")
+    return table(spark, sf_dir, "region").select(key.alias("id"), (key * key).alias("squared")).orderBy("id")
 
 
-SQUARED_SQL = "SELECT range AS id, range * range AS squared FROM range(1, 6)"
+SQUARED_SQL = "SELECT r_regionkey::BIGINT + 1 AS id, (r_regionkey::BIGINT + 1) * (r_regionkey::BIGINT + 1) AS squared FROM region"
 
 
 def scope_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -405,8 +428,8 @@ ALL = {
     "readiness": (readiness, READINESS_SQL),
     "route_precision": (route_precision, PRECISION_SQL),
     "clean_text": (clean_text, CLEAN_SQL),
-    "html_text": (html_text, None),
-    "chunk_documents": (chunk_documents, None),
+    "html_text": (html_text, HTML_SQL),
+    "chunk_documents": (chunk_documents, CHUNKS_SQL),
     "chunk_invariants": (chunk_invariants, INVARIANTS_SQL),
     "vector_top_k": (vector_top_k, VECTOR_SQL),
     "retrieval_measures": (retrieval_measures, MEASURES_SQL),

@@ -416,7 +416,7 @@ SCOPE_FAULTS_SQL = """SELECT n_nationkey AS request_id, CASE WHEN n_nationkey %
 def request_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Research requests in words for nations, compared with their region; a window of 7 sessions is not supported."""
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    both = n.join(F.broadcast(r.limit(1000)), F.col("n_regionkey") == F.col("r_regionkey"))
+    both = n.join(r, F.col("n_regionkey") == F.col("r_regionkey"))
     two = F.col("n_nationkey") % 2 == 0
     rows = both.select(F.col("n_nationkey").alias("request_id"), F.when(two, F.array("n_name", "r_name")).otherwise(F.array("n_name")).alias("names"), F.when(two, F.array(F.lit("N"), F.lit("R"))).otherwise(F.array(F.lit("N"))).alias("symbols"), F.when(F.col("n_nationkey") % 3 == 0, 7).otherwise(20).alias("window"))
     return reports.request_text(rows)

@@ -2,6 +2,8 @@
 
 import datetime as dt
 import os
+import random
+import re
 import tempfile
 from decimal import Decimal
 
@@ -143,7 +145,45 @@ def test_chunks_cover_the_text(spark):
     assert found.filter("document_id in ('e', 'n')").isEmpty() and found.filter("document_id = 's'").count() == 1
     faults = corpus.chunk_faults(found, docs, id_col="document_id").filter("document_id = 'd'").first()
     assert (faults["index_faults"], faults["gaps"], faults["slice_faults"], faults["uncovered"]) == (0, 0, 0, False)
-    assert list(corpus.chunk_spans("a" * 25, 10, 10, 0)) == [(0, 10), (10, 20), (20, 25)]
+    plain = corpus.chunks(spark.createDataFrame([("d", "a" * 25)], "document_id string, document_text string"), id_col="document_id", target=10, most=10, overlap=0)
+    assert sorted((r["character_start"], r["character_end"], r["chunk_text"]) for r in plain.collect()) == [(0, 10, "a" * 10), (10, 20, "a" * 10), (20, 25, "a" * 5)]
+
+
+def plain_spans(text, target, most, overlap):
+    """Chunks by a loop over boundaries, each found by a plain scan of the stretch that it is looked for in."""
+    forms = [re.compile(p) for p in (r"\n[ \t]*\n+", r"[.!?][\"')\]]*[ \t\n]+", r"\s+")]
+
+    def ends(form, lo, hi, upto):
+        return [m.end() for m in forms[form].finditer(text, lo, hi) if m.end() <= upto]
+
+    start, found = 0, []
+    while len(text) - start > most:
+        goal, limit = start + target, start + most
+        ahead = [ends(k, goal, limit + 1, limit) for k in (0, 1)]
+        behind = [ends(k, start, upto + 1, upto) for k, upto in ((0, goal), (1, goal), (2, limit))]
+        end = next((e[0] for e in ahead if e), None) or next((e[-1] for e in behind if e), limit)
+        found.append((start, end))
+        back = max(start + 1, end - overlap) if overlap else end
+        start = next((e[0] for e in (ends(k, back, end, end - 1) for k in (0, 1, 2)) if e), back)
+    return [*found, (start, len(text))] if text else found
+
+
+@pytest.mark.parametrize("sizes", [(40, 60, 10), (10, 10, 0), (30, 50, 29)])
+def test_chunks_end_where_a_plain_scan_says(spark, sizes):
+    rng = random.Random(1)
+    parts = ["a", "bc ", "d. ", 'e?") ', "\n\n", "\n \n\n", " ", "\xa0", "\n\n \n", "!", "\n", "\t", "öß", "😀 "]
+    texts = ["".join(rng.choice([*parts, "xyz" * rng.randint(1, 9)]) for _ in range(rng.randint(0, 300))) for _ in range(200)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in rows.select("i", corpus.chunk_spans("t", *sizes).alias("s")).collect():
+        text = texts[r["i"]]
+        assert [(x["character_start"], x["character_end"]) for x in r["s"]] == plain_spans(text, *sizes)
+        assert all(x["chunk_text"] == text[x["character_start"] : x["character_end"]] for x in r["s"])
+
+
+def test_long_texts_are_cut_in_one_fold(spark):
+    rows = spark.sql("SELECT repeat('word. another word ', 60000) AS t")
+    (row,) = rows.select(F.size(corpus.chunk_spans("t")).alias("n"), F.length("t").alias("c")).collect()
+    assert row["n"] > row["c"] / 3200
 
 
 def test_html_keeps_visible_text_only(spark):
