@@ -165,6 +165,25 @@ def section_faults(sections: DataFrame, issues: DataFrame, findings: DataFrame)
     return ruled.unionByName(unknown).unionByName(unborne).unionByName(terms.select("request_id", "section", F.lit("relation_term").alias("fault"))).distinct()
 
 
+def comparison_faults(sections: DataFrame, findings: DataFrame, requests: DataFrame) -> DataFrame:
+    """(request_id, finding_id, fault) of comparisons that do not cite exactly the eligible findings.
+
+    Eligible are the findings of dimensions in which every requested symbol has one: a
+    comparison that is available or degraded cites all of them (``left_out``) and
+    nothing else (``not_eligible``). ``findings``: request_id, finding_id, dimension,
+    symbol; ``requests``: request_id, symbols; ``sections`` as in ``section_faults``.
+    """
+    wanted = requests.select("request_id", F.size(F.array_distinct("symbols")).alias("_wanted"))
+    asked = findings.join(requests.select("request_id", F.explode(F.array_distinct("symbols")).alias("symbol")), ["request_id", "symbol"], "left_semi")
+    covered = asked.groupBy("request_id", "dimension").agg(F.count_distinct("symbol").alias("_n")).join(wanted, "request_id").filter("_n = _wanted")
+    eligible = asked.join(covered, ["request_id", "dimension"], "left_semi").select("request_id", "finding_id").distinct()
+    compared = sections.filter((F.col("section") == "comparative_assessment") & F.col("status").isin("available", "degraded"))
+    cited = compared.select("request_id", F.explode("source_finding_ids").alias("finding_id")).distinct()
+    key = ["request_id", "finding_id"]
+    left_out = eligible.join(compared.select("request_id").distinct(), "request_id", "left_semi").join(cited, key, "left_anti")
+    return left_out.withColumn("fault", F.lit("left_out")).unionByName(cited.join(eligible, key, "left_anti").withColumn("fault", F.lit("not_eligible")))
+
+
 def answer_sources(findings: DataFrame, metrics: DataFrame, sections: DataFrame, notes: DataFrame) -> DataFrame:
     """What a follow-up may cite, as source_id, source_type, text, evidence_ids.
 

@@ -384,6 +384,21 @@ SECTION_FAULTS_SQL = """WITH o AS (SELECT o_orderkey % 3 AS t, o_orderkey % 7 =
   UNION ALL SELECT 'numeric_claim', count(*) FROM o WHERE t = 2 UNION ALL SELECT 'relation_term', count(*) FROM o WHERE t < 2 AND term) SELECT * FROM f WHERE n > 0"""
 
 
+def comparison_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as requests to compare the flags of their lines, lines as findings by status; the comparison cites the lines of more than ten pieces."""
+    line = table(spark, sf_dir, "lineitem")
+    findings = line.select(F.col("l_orderkey").alias("request_id"), F.col("l_linenumber").alias("finding_id"), F.col("l_linestatus").alias("dimension"), F.col("l_returnflag").alias("symbol"))
+    requests = findings.groupBy("request_id").agg(F.collect_set("symbol").alias("symbols"))
+    cited = line.groupBy(F.col("l_orderkey").alias("request_id")).agg(F.collect_list(F.when(F.col("l_quantity") > 10, F.col("l_linenumber"))).alias("source_finding_ids"))
+    sections = cited.select("request_id", F.lit("comparative_assessment").alias("section"), F.when(F.col("request_id") % 3 == 0, "unavailable").otherwise("available").alias("status"), "source_finding_ids")
+    return reports.comparison_faults(sections, findings, requests)
+
+
+COMPARISON_SQL = """WITH l AS (SELECT l_orderkey AS r, l_linenumber AS f, l_linestatus AS d, l_returnflag AS s, l_quantity > 10 AS cited FROM lineitem WHERE l_orderkey % 3 != 0), w AS (SELECT r, count(DISTINCT s) AS n FROM l GROUP BY r),
+c AS (SELECT r, d FROM l JOIN w USING (r) GROUP BY r, d, n HAVING count(DISTINCT s) = n), e AS (SELECT DISTINCT r, f FROM l JOIN c USING (r, d)), k AS (SELECT DISTINCT r, f FROM l WHERE cited)
+SELECT r AS request_id, f AS finding_id, 'left_out' AS fault FROM (SELECT * FROM e EXCEPT SELECT * FROM k) UNION ALL SELECT r, f, 'not_eligible' FROM (SELECT * FROM k EXCEPT SELECT * FROM e)"""
+
+
 def answer_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An answer per order, citing a source of its own; some cite what is unknown, some claim what no source says."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("answer_id"), "o_orderkey", F.col("o_orderdate").cast("date").alias("d"))
@@ -561,6 +576,7 @@ ALL = {
     "market_findings": (market_findings, FINDINGS_SQL),
     "finding_faults": (finding_faults, FINDING_FAULTS_SQL),
     "section_faults": (section_faults, SECTION_FAULTS_SQL),
+    "comparison_faults": (comparison_faults, COMPARISON_SQL),
     "answer_faults": (answer_faults, ANSWER_FAULTS_SQL),
     "scope_faults": (scope_faults, SCOPE_FAULTS_SQL),
     "request_texts": (request_texts, REQUEST_SQL),

@@ -10,7 +10,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlight.operators import bands, embedding, market, multiset, retrieval, versions
+from ledgerlight.operators import bands, embedding, market, multiset, reports, retrieval, versions
 from ledgerlight.sinks import snapshots
 from ledgerlight.sinks.search_index import SegmentIndex
 
@@ -135,3 +135,12 @@ def test_bands_equal_all_pairs(spark, how):
     ids = {i for i, _ in pairs}
     got = [(r["i"], r["j"]) if how == "inner" else r["i"] for r in found.collect()]
     assert sorted(got) == sorted(pairs if how == "inner" else ids if how == "left_semi" else {i for i, _, _ in left} - ids)
+
+
+def test_comparisons_cite_the_eligible_findings_and_no_others(spark):
+    findings = spark.createDataFrame([(1, "a", "market", "X"), (1, "b", "market", "Y"), (1, "c", "risks", "X"), (1, "d", "news", "X"), (1, "e", "news", "Z"), (2, "a", "market", "X")], "request_id int, finding_id string, dimension string, symbol string")
+    requests = spark.createDataFrame([(1, ["X", "Y"]), (2, ["X", "Y"])], "request_id int, symbols array<string>")
+    section = "request_id int, section string, status string, source_finding_ids array<string>"
+    faults = lambda *rows: sorted(map(tuple, reports.comparison_faults(spark.createDataFrame([(r, "comparative_assessment", s, c) for r, s, c in rows], section), findings, requests).collect()))
+    assert faults((1, "available", ["a", "b"]), (2, "unavailable", [])) == []
+    assert faults((1, "degraded", ["b", "c"]), (2, "available", ["a"])) == [(1, "a", "left_out"), (1, "c", "not_eligible"), (2, "a", "not_eligible")]
