@@ -30,7 +30,12 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def half_even_ratio(a: Column, b: Column) -> Column:
-    """a / b at scale 10, rounded half-even once from the exact quotient, for operands of (30,8); null if b is 0 or the quotient has more than 20 whole digits.
+    """a / b at scale 10, rounded half-even once from the exact quotient, for operands of (30,8); null if b is 0 or the quotient has more than 20 whole digits."""
+    return half_even_ratios((a, b))[0]
+
+
+def half_even_ratios(*pairs: tuple[Column, Column]) -> Column:
+    """The ratios of several pairs (see ``half_even_ratio``) as an array: one expression, however many there are.
 
     The quotient's digits come by long division, five at a time, so nothing is rounded
     on the way. Each step's rest is bound once: named twice it would double the
@@ -54,8 +59,8 @@ def half_even_ratio(a: Column, b: Column) -> Column:
         low = s["low"]
         return digits(s["top"], low, lambda front, l0: more(l0, low, lambda first, l1: more(l1, low, lambda second, l2: bound(second, lambda held: ended(front, first, held, l2, low)))))
 
-    both = F.struct(F.abs(a.cast(wide)).alias("top"), F.abs(F.nullif(b.cast(wide), F.lit(0).cast(wide))).alias("low"), ((a < 0) != (b < 0)).alias("negative"))
-    return bound(both, lambda s: bound(divided(s), lambda size: F.when(s["negative"], -size).otherwise(size).cast("decimal(30,10)")))
+    both = [F.struct(F.abs(a.cast(wide)).alias("top"), F.abs(F.nullif(b.cast(wide), F.lit(0).cast(wide))).alias("low"), ((a < 0) != (b < 0)).alias("negative")) for a, b in pairs]
+    return F.transform(F.array(*both), lambda s: bound(divided(s), lambda size: F.when(s["negative"], -size).otherwise(size).cast("decimal(30,10)")))
 
 
 def published(c: Column, precision: int = 20, scale: int = 10) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlight.functions.decimals import half_even_ratio, published, ratio
+from ledgerlight.functions.decimals import half_even_ratio, half_even_ratios, published, ratio
 
 HORIZONS = (1, 5, 20, 60)
 SESSIONS = 61
@@ -71,30 +71,36 @@ def market_metrics(bars: DataFrame, symbol: str = "symbol") -> DataFrame:
         within = F.when(F.col("back") < n, F.col("close").cast("decimal(20,8)"))
         return F.when(F.count(within) == n, F.sum(within))
 
-    def change(new: Column, old: Column) -> Column:
-        return half_even_ratio(new - old, old).cast("decimal(20,10)")
-
     def volatility(n: int) -> Column:
         within = F.when(F.col("back") < n, F.col("step").cast("double"))
         return F.when(F.count(within) == n, F.stddev_samp(within) * F.sqrt(F.lit(252.0)))
 
-    last = at(0)
     found = [
         F.max("trading_date").alias("as_of_date"),
         F.min("trading_date").alias("window_start_date_60d"),
         F.max("observations_available").alias("observations_available"),
-        last.alias("close"),
-        *[change(last, at(n)).alias(f"return_{n}d") for n in HORIZONS],
+        at(0).alias("close"),
+        *[at(n).alias(f"_at_{n}") for n in HORIZONS],
         *[published(volatility(n)).alias(f"annualized_volatility_{n}d") for n in (20, 60)],
-        change(last, F.max("close")).alias("current_drawdown_60d"),
+        F.max("close").alias("_top"),
         F.least(F.min("fall"), F.lit(0)).cast("decimal(20,10)").alias("max_drawdown_60d"),
         *[total(n).alias(f"_sum_{n}") for n in (20, 60)],
     ]
     out = rows.groupBy(symbol).agg(*found)
+    close, top, short, long = (F.col(c) for c in ("close", "_top", "_sum_20", "_sum_60"))
     # Means are compared before they are rounded: as sums, each over its own number of closes.
-    close, short, long = F.col("close"), F.col("_sum_20"), F.col("_sum_60")
-    out = out.withColumns({"close_vs_sma_20": change(close * 20, short), "close_vs_sma_60": change(close * 60, long), "sma_20_vs_sma_60": change(short * 3, long)})
-    return out.withColumns({f"sma_{n}": half_even_ratio(F.col(f"_sum_{n}"), F.lit(n)).cast("decimal(28,10)") for n in (20, 60)}).drop("_sum_20", "_sum_60")
+    ratios = {
+        **{f"return_{n}d": (close - F.col(f"_at_{n}"), F.col(f"_at_{n}")) for n in HORIZONS},
+        "current_drawdown_60d": (close - top, top),
+        "close_vs_sma_20": (close * 20 - short, short),
+        "close_vs_sma_60": (close * 60 - long, long),
+        "sma_20_vs_sma_60": (short * 3 - long, long),
+        "sma_20": (short, F.lit(20)),
+        "sma_60": (long, F.lit(60)),
+    }
+    out = out.withColumn("_ratios", half_even_ratios(*ratios.values()))
+    out = out.withColumns({c: F.col("_ratios")[k].cast("decimal(28,10)" if c.startswith("sma_") and "vs" not in c else "decimal(20,10)") for k, c in enumerate(ratios)})
+    return out.drop("_ratios", "_top", "_sum_20", "_sum_60", *[f"_at_{n}" for n in HORIZONS])
 
 
 def coverage_gate(bars: DataFrame, symbol: str = "symbol") -> DataFrame:
