@@ -15,7 +15,7 @@ from ledgerlight.functions import text as T
 from ledgerlight.functions.decimals import exact
 from ledgerlight.functions.times import document_date, instant
 from ledgerlight.operators import claims, corpus, fundamentals, market, retrieval, serving, validate, versions
-from ledgerlight.plans import reference_queries, snapshot_queries
+from ledgerlight.plans import reference_queries, snapshot_queries, trace_queries
 from ledgerlight.sinks import snapshots
 from ledgerlight.sources import envelopes, requests
 from ledgerlight.streaming import incremental
@@ -31,7 +31,7 @@ def _plain(value):
     return str(value)
 
 
-EVERY = reference_queries.ALL | snapshot_queries.ALL
+EVERY = reference_queries.ALL | snapshot_queries.ALL | trace_queries.ALL
 
 
 @pytest.mark.parametrize("name", [n for n, (_, sql) in EVERY.items() if sql])
