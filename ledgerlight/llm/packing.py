@@ -3,10 +3,10 @@
 The work is split by size. Tasks encode texts and keep one slim row per piece.
 The driver sees only the histogram of piece lengths (at most ``capacity`` rows)
 and plans on it: a configuration linear program, solved by multiplicative
-weights, whose columns a knapsack dynamic program prices, then rounded down; what
-rounding leaves is filled best-fit, longest first. It never takes more sequences
-than best-fit alone. The plan is a list of runs
-"this configuration, k times". Pieces are then numbered within their length,
+weights, whose columns a knapsack dynamic program prices. Steps are rounded down to
+whole sequences as they are taken; what the last rounds would pack poorly is filled
+best-fit, longest first. It never takes more sequences than best-fit alone. The plan
+is a list of runs "this configuration, k times". Pieces are then numbered within their length,
 over salted groups, and each number looks up its place in the plan.
 
 Documents longer than ``capacity`` are cut so that only their first piece may be
@@ -53,23 +53,24 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 1024, en
 
 
 def price(lengths: np.ndarray, values: np.ndarray, capacity: int) -> np.ndarray:
-    """Unbounded knapsack: how often each length stands in the most valuable configuration; of equal ones that of longer pieces."""
-    best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    fit = np.searchsorted(lengths, np.arange(capacity + 1), "right")
-    for room in range(1, capacity + 1):
-        best[room], choice[room] = best[room - 1], -1
-        if k := fit[room]:
-            gains = best[room - lengths[:k]] + values[:k]
-            at = k - 1 - int(np.argmax(gains[::-1]))
-            if gains[at] > best[room] + 1e-12:
-                best[room], choice[room] = gains[at], at
+    """Unbounded knapsack: how often each length stands in the most valuable configuration; of equal ones that of longer pieces.
+
+    ``lengths`` rise. Values are laid out by what a length leaves of the capacity, so
+    that the best last piece for a room is one sum of two stretches of memory.
+    """
+    worth = np.full(capacity + 1, -1.0)
+    worth[capacity - lengths] = values
+    best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    for room in range(int(lengths[0]), capacity + 1):
+        gains = best[:room] + worth[capacity - room : capacity]
+        before = int(gains.argmax())
+        best[room] = best[room - 1]
+        if gains[before] > best[room] + 1e-12:
+            best[room], last[room] = gains[before], room - before
     times, room = np.zeros(len(lengths), np.int64), capacity
     while room > 0:
-        if (at := choice[room]) < 0:
-            room -= 1
-        else:
-            times[at] += 1
-            room -= int(lengths[at])
+        times[np.searchsorted(lengths, last[room])] += last[room] > 0
+        room -= int(last[room]) or 1
     return times
 
 
@@ -83,29 +84,27 @@ def fullest(lengths: np.ndarray, values: np.ndarray, left: np.ndarray, capacity:
     return times
 
 
-def solve_configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 300, rate: float = 1.0, full: float = 0.99) -> list[tuple[np.ndarray, float]]:
-    """Solution of the covering program: (configuration, times), no length covered more than once.
+def solve_configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, rate: float = 0.3) -> list[tuple[int, np.ndarray]]:
+    """Whole solution of the covering program: (times, configuration) in the order taken; every piece is covered once.
 
-    Each round prices the best configuration of what is still to cover under the
-    current weights and takes it for half of what its scarcest length has left (for
-    one sequence at least); the weights of what it covers fall by the share covered.
-    Longer pieces weigh more at first: they are the hard ones. Once no configuration
-    is ``full`` any more, the program has nothing left to choose.
+    Each round prices the best configuration under the current weights, and the step is
+    as wide as the program's demands allow: until the scarcest length of it is covered,
+    rounded down to whole sequences. The weights of what it covers then fall
+    exponentially by the share covered, so that pricing turns to what lags behind. Longer
+    pieces weigh more at first: they are the hard ones. A round uses up a length or all
+    but less than one configuration's worth of it, so rounds follow the number of
+    lengths, not of pieces.
     """
     weights = lengths / capacity * (1 + lengths / capacity)
-    left = counts.astype(float)
-    taken: dict[bytes, float] = {}
-    for _ in range(rounds):
+    left, taken = counts.copy(), []
+    while left.any():
         times = fullest(lengths, weights, left, capacity)
         held = times > 0
-        if times @ lengths < full * capacity:
-            break
-        most = float((left[held] / times[held]).min())
-        step = max(most / 2, min(most, 1.0))
-        taken[times.tobytes()] = taken.get(times.tobytes(), 0.0) + step
+        step = int((left[held] // times[held]).min())
+        taken.append((step, times))
         left -= step * times
         weights[held] *= np.exp(-rate * step * times[held] / counts[held])
-    return [(np.frombuffer(k, np.int64), x) for k, x in taken.items()]
+    return taken
 
 
 def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[int, np.ndarray]]:
@@ -123,12 +122,12 @@ def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple
     return runs
 
 
-def plan_packing(histogram: Mapping[int, int], capacity: int, rounds: int = 300) -> list[tuple[int, list[int]]]:
+def plan_packing(histogram: Mapping[int, int], capacity: int) -> list[tuple[int, list[int]]]:
     """Runs (k, lengths): k sequences, each holding these lengths in this order.
 
-    The program's solution is rounded down, fullest configurations first, and what that
-    leaves is packed best-fit. Should that take more sequences than packing everything
-    best-fit (small tables, on which rounding costs most), the latter is the plan.
+    The last configurations are made of what others left, and may be poor ones. So the
+    program's rounds are also cut short at a few places, with the rest packed best-fit:
+    of the plans with the fewest sequences the one that keeps most rounds is taken.
     """
     runs: list[tuple[int, list[int]]] = []
     if n := histogram.get(capacity, 0):
@@ -137,13 +136,12 @@ def plan_packing(histogram: Mapping[int, int], capacity: int, rounds: int = 300)
     counts = np.array([histogram[int(x)] for x in lengths], np.int64)
     if not len(lengths):
         return runs
-    left, rounded = counts.copy(), []
-    for times, x in sorted(solve_configurations(lengths, counts, capacity, rounds), key=lambda c: (-int(c[0] @ lengths), -c[1])):
-        held = times > 0
-        if k := int(min(x + 1e-9, (left[held] // times[held]).min())):
-            rounded.append((k, times))
-            left -= k * times
-    plans = [rounded + best_fit(lengths, left, capacity), best_fit(lengths, counts, capacity)]
+    solved = solve_configurations(lengths, counts, capacity)
+    plans = []
+    for twentieths in range(20, -1, -1):
+        kept = solved[: len(solved) * twentieths // 20]
+        left = counts - sum((k * times for k, times in kept), np.zeros_like(counts))
+        plans.append(kept + best_fit(lengths, left, capacity))
     plan = min(plans, key=lambda p: sum(k for k, _ in p))
     return runs + [(k, [int(x) for x, n in zip(lengths[::-1], times[::-1], strict=True) for _ in range(n)]) for k, times in plan]
 
@@ -183,12 +181,12 @@ def number_within(df: DataFrame, key: str, order: list[str], salts: int) -> Data
     )
 
 
-def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", rounds: int = 300) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece, with ``sequence_id`` and ``offset`` added to ``cut_pieces``."""
     spark = docs.sparkSession
     pieces = materialize(cut_pieces(docs, tokenizer_path, capacity=capacity, end_id=end_id, id_col=id_col, text_col=text_col), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    places = _places(plan_packing(histogram, capacity, rounds))
+    places = _places(plan_packing(histogram, capacity))
 
     def place(batches):
         for batch in batches:

@@ -650,3 +650,21 @@ def test_pipeline_stages_at_their_edges(spark, edges):
         assert stage(spark, docs.limit(0), SF).isEmpty() and stage(spark, docs, SF).columns == docs.columns
     assert corpus_pipeline.drop_near_duplicates(spark, docs, SF).count() == 4  # empty, "word", long, words: one each
     assert corpus_pipeline.pack_documents(spark, docs, SF).filter("piece = 0").count() == len(EDGES)
+
+
+def test_the_program_packs_nearly_all_itself():
+    rng = np.random.default_rng(5)
+    for few, n in ((3, 300), (400, 1500), (1000, 60_000)):
+        lengths, counts = np.unique(np.minimum(rng.gamma(3.0, 150.0, n).astype(int) % (1023 if few > 3 else few) + 1, 1023), return_counts=True)
+        solved = packing.solve_configurations(lengths, counts, 1024)
+        held = sum(k * times for k, times in solved)
+        assert (held == counts).all() and all(times @ lengths <= 1024 for _, times in solved)
+        # Rounds follow the lengths, not the pieces.
+        assert len(solved) <= 3 * len(lengths) + 10
+        plan = packing.plan_packing(dict(zip(lengths.tolist(), counts.tolist(), strict=True)), 1024)
+        as_run = [(k, [int(x) for x, t in zip(lengths[::-1], times[::-1], strict=True) for _ in range(t)]) for k, times in solved]
+        kept = next((i for i, (a, b) in enumerate(zip(plan, as_run, strict=False)) if a != b), min(len(plan), len(as_run)))
+        assert sum(k * len(run) for k, run in as_run[:kept]) >= 0.9 * n
+        bound = -(-int(lengths @ counts) // 1024)
+        best = sum(k for k, _ in packing.best_fit(lengths, counts, 1024))
+        assert bound <= sum(k for k, _ in plan) <= min(best, bound * 1.02 + 1)
