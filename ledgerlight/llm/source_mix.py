@@ -56,28 +56,42 @@ def _hypergeometric(total: str, marked: str, drawn: str, uniform: str) -> str:
     return f"aggregate(sequence({low}, {high}), named_struct('c', 0D, 'k', cast(-1 as bigint)), (a, k) -> if(a.c >= {uniform}, a, named_struct('c', a.c + {chance}, 'k', k)), a -> a.k)"
 
 
-def split_quotas(quotas: DataFrame, shards: int, seed: int = 42) -> DataFrame:
+def split_quotas(quotas: DataFrame, shards: int, seed: int = 42, levels_a_task: int = 8) -> DataFrame:
     """Deals quotas (source_no int from 0, quota long) to ``shards`` (a power of two) leaves.
 
-    Returns source_no and ``ends``: for each shard, the number of this source's
-    draws in it and the shards before.
+    One row per leaf and source that gets draws: shard, source_no, start (the source's
+    draws in the shards before) and n. A node carries its starts, so that no leaf asks
+    the others. The nodes of every ``levels_a_task`` levels are written and dealt
+    anew: only the first few hundred come from one task.
     """
     levels = shards.bit_length() - 1
     if shards != 1 << levels:
         raise ValueError("shards is a power of two")
-    nodes = quotas.agg(F.transform(F.array_sort(F.collect_list(F.struct("source_no", "quota"))), lambda x: x["quota"]).alias("q")).select(F.lit(1).cast("long").alias("node"), "q")
-    for _ in range(levels):
+    root = F.transform(F.array_sort(F.collect_list(F.struct("source_no", "quota"))), lambda x: x["quota"])
+    nodes = quotas.agg(root.alias("q")).select(F.lit(1).cast("long").alias("node"), "q", F.transform("q", lambda x: x * 0).alias("s"))
+    add = lambda x, y: F.zip_with(x, y, lambda u, v: u + v)
+    for level in range(levels):
+        if level and level % levels_a_task == 0:
+            # A stated number: few rows, much work in each, so none are to be coalesced.
+            tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            nodes = materialize(nodes, "mix-nodes").repartition(tasks, "node")
         draw = _hypergeometric("acc.total", "cast(x as double)", "acc.want", f"pmod(xxhash64({seed}L, node, size(acc.left)), 9007199254740992L) / 9007199254740992D")
         step = f"named_struct('draw', {draw})"
         left = F.expr(f"""aggregate(q, named_struct('total', total, 'want', floor(total / 2D) * 1D, 'left', cast(array() as array<bigint>)),
             (acc, x) -> transform(array({step}), s -> named_struct('total', acc.total - x, 'want', acc.want - s.draw, 'left', concat(acc.left, array(s.draw))))[0],
             acc -> acc.left)""")
         total = F.aggregate("q", F.lit(0.0), lambda a, x: a + x)
-        both = nodes.withColumn("total", total).withColumn("left", left).select("node", "q", F.explode(F.array(F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("q")), F.struct((F.col("node") * 2 + 1).alias("node"), F.zip_with("q", "left", lambda a, b: a - b).alias("q")))).alias("half"))
-        nodes = both.select("half.node", "half.q")
-    leaf = nodes.select((F.col("node") - shards).alias("shard"), F.posexplode("q").alias("source_no", "n"))
-    before = Window.partitionBy("source_no").orderBy("shard")
-    return leaf.withColumn("end", F.sum("n").over(before)).groupBy("source_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("shard", "end"))), lambda x: x["end"]).alias("ends"))
+        halved = nodes.withColumn("total", total).withColumn("left", left)
+        first = F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("q"), F.col("s"))
+        second = F.struct((F.col("node") * 2 + 1).alias("node"), F.zip_with("q", "left", lambda a, b: a - b).alias("q"), add("s", "left").alias("s"))
+        nodes = halved.select(F.explode(F.array(first, second)).alias("half")).select("half.*")
+    leaf = nodes.select((F.col("node") - shards).cast("int").alias("shard"), F.posexplode(F.arrays_zip("q", "s")).alias("source_no", "of"))
+    return leaf.select("shard", "source_no", F.col("of.s").alias("start"), F.col("of.q").alias("n")).filter("n > 0")
+
+
+def shards_of_draws(leaves: DataFrame) -> DataFrame:
+    """One row per draw: source_no, no (its number in the source's permuted order) and shard. As many rows as there are draws."""
+    return leaves.select("source_no", "shard", F.explode(F.expr("sequence(start, start + n - 1)")).alias("no"))
 
 
 def target_weights(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3) -> DataFrame:
@@ -185,8 +199,9 @@ def plan_mix(measured: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_r
     drawn = _running(drawn, "source_no", F.xxhash64(F.lit(seed + 1), "source_no", "copy", "_block", "first"), ["copy", "_block"], F.lit(1))
     drawn = materialize(drawn.withColumn("no", F.col("sum") - 1).drop("sum"), "mix-draws")
     quotas = sources.join(drawn.groupBy("source_no").agg(F.count(F.lit(1)).alias("quota")), "source_no", "left").select("source_no", F.coalesce("quota", F.lit(0)).alias("quota"))
-    ends = materialize(split_quotas(quotas, shards, seed), "mix-tree")
-    dealt = drawn.join(broadcast_if_small(ends, 100_000), "source_no").withColumn("shard", F.expr("size(filter(ends, e -> e <= no))"))
+    # Leaves and draws meet by number: a source with most draws is as many keys as it has draws.
+    leaves = materialize(split_quotas(quotas, shards, seed), "mix-tree")
+    dealt = drawn.join(shards_of_draws(leaves), ["source_no", "no"])
     draws = dealt.groupBy("source_no", "_block").agg(F.array_sort(F.collect_list(F.struct("copy", "shard", "first", "last"))).alias("draws"))
     table = rows.select("_source", "_block", "source_no", "source_size", "target").join(draws, ["source_no", "_block"], "left")
     return materialize(table.select("_source", "_block", "source_size", "target", "draws"), "mix-plan"), bits

@@ -537,9 +537,22 @@ def test_running_sums_cut_into_runs(spark):
 
 
 def test_quotas_split_exactly(spark):
-    ends = source_mix.split_quotas(spark.createDataFrame([(0, 1000), (1, 7), (2, 0)], "source_no int, quota long"), 8).collect()
-    assert {r["source_no"]: r["ends"][-1] for r in ends} == {0: 1000, 1: 7, 2: 0}
-    assert all(r["ends"] == sorted(r["ends"]) and len(r["ends"]) == 8 for r in ends)
+    quotas = {0: 1000, 1: 7, 2: 0}
+    leaves = source_mix.split_quotas(spark.createDataFrame([*quotas.items()], "source_no int, quota long"), 8, levels_a_task=2)
+    draws = source_mix.shards_of_draws(leaves).collect()
+    assert {s: sorted(r["no"] for r in draws if r["source_no"] == s) for s in quotas} == {s: list(range(n)) for s, n in quotas.items()}
+    ordered = sorted((r["source_no"], r["no"], r["shard"]) for r in draws)
+    assert all(a[2] <= b[2] for a, b in zip(ordered, ordered[1:], strict=False) if a[0] == b[0])
+    by_shard = [sum(r["shard"] == k for r in draws) for k in range(8)]
+    assert sum(by_shard) == 1007 and max(by_shard) - min(by_shard) <= 1
+
+
+def test_quotas_split_over_many_shards(spark):
+    quotas = spark.createDataFrame([(0, 200_000), (1, 7), (2, 0), (3, 60_000)], "source_no int, quota long")
+    draws = source_mix.shards_of_draws(source_mix.split_quotas(quotas, 65_536))
+    found = {r["source_no"]: (r["n"], r["last"], r["of"]) for r in draws.groupBy("source_no").agg(F.count("*").alias("n"), F.max("no").alias("last"), F.count_distinct("no").alias("of")).collect()}
+    assert found == {0: (200_000, 199_999, 200_000), 1: (7, 6, 7), 3: (60_000, 59_999, 60_000)}
+    assert draws.groupBy("shard").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] <= 4
 
 
 def test_packing_is_whole_and_tight(spark, docs, ids):
