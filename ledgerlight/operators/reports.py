@@ -39,8 +39,8 @@ def route_plan(requests: DataFrame) -> DataFrame:
 
 
 def rate_words(c: Column) -> Column:
-    """A ratio as a percentage with two decimals, half-even."""
-    return F.concat(F.bround(c * 100, 2).cast("decimal(38,2)").cast("string"), F.lit("%"))
+    """A ratio as a percentage with two decimals, half-even. It is rounded before it is multiplied: a product of many digits would be rounded twice."""
+    return F.concat((F.bround(c, 4) * 100).cast("decimal(38,2)").cast("string"), F.lit("%"))
 
 
 def scaled_words(c: Column) -> Column:

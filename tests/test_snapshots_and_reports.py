@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerlight.functions import text as T
 from ledgerlight.functions.decimals import half_even_ratio
 from ledgerlight.operators import boundary, claims, corpus, filings, market, quality, reports, retrieval, serving, sessions, snapshots, versions
+from ledgerlight.plans import snapshot_queries
 from ledgerlight.sources import envelopes, replay
 
 
@@ -349,3 +350,11 @@ def test_facts_belong_to_their_configured_company(spark):
     facts = spark.createDataFrame([("1", "A"), ("2", "X"), ("3", "C")], "cik string, project_symbol string")
     known = spark.createDataFrame([("A", "1"), ("B", "2")], "project_symbol string, cik string")
     assert {r["cik"]: r["fault"] for r in snapshots.facts_in_config(facts, known).collect()} == {"1": None, "2": "other_symbol", "3": "unknown_cik"}
+
+
+def test_rates_and_amounts_are_rounded_once(spark, tmp_path):
+    rows = [(Decimal("0.2375499950000000"), "23.75%"), (Decimal("0.2375500000000000"), "23.76%"), (Decimal("-0.0001499999999999"), "-0.01%")]
+    frame = spark.createDataFrame(rows, "v decimal(38,16), said string")
+    assert all(r[0] == r[1] for r in frame.select(reports.rate_words(F.col("v")), "said").collect())
+    spark.createDataFrame([(1259, 475099.99)], "o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    assert snapshot_queries.amounts(spark, str(tmp_path)).first()["rate"] == "23.75%"
