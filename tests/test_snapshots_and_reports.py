@@ -358,3 +358,14 @@ def test_rates_and_amounts_are_rounded_once(spark, tmp_path):
     assert all(r[0] == r[1] for r in frame.select(reports.rate_words(F.col("v")), "said").collect())
     spark.createDataFrame([(1259, 475099.99)], "o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
     assert snapshot_queries.amounts(spark, str(tmp_path)).first()["rate"] == "23.75%"
+
+
+def test_amounts_below_a_thousand_are_borne_by_their_value(spark):
+    day = dt.date(2026, 9, 4)
+    market = spark.createDataFrame([], "symbol string, as_of_date date, status string, return_60d decimal(20,10), annualized_volatility_60d decimal(20,10)")
+    earned = spark.createDataFrame([("A", day, "ready", Decimal(0), Decimal(0)), ("B", day, "ready", Decimal("999.99"), Decimal("0.5")), ("C", day, "ready", Decimal(10_000), Decimal("0.5"))], "symbol string, as_of_date date, status string, revenue_ttm decimal(28,2), net_margin_ttm decimal(20,10)")
+    ready = earned.select(F.lit("fundamental").alias("dimension"), "symbol", "as_of_date", F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(k).alias("kind"), F.col(f).cast("decimal(28,10)").alias("value")) for f, k in (("revenue_ttm", "scaled"), ("net_margin_ttm", "percent"))])))
+    found = reports.market_findings(market, earned)
+    assert reports.finding_faults(found, ready).isEmpty()
+    other = found.withColumn("statement", F.replace("statement", F.lit("999.99"), F.lit("998.99")))
+    assert [tuple(r) for r in reports.finding_faults(other, ready).collect()] == [("F-B", "numeric_claim")]
