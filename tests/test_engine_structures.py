@@ -3,14 +3,18 @@
 import hashlib
 import random
 import re
+import tracemalloc
+import weakref
 from collections import Counter
 from datetime import date, timedelta
 from decimal import Decimal
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlight.operators import bands, embedding, market, multiset, reports, retrieval, versions
+from ledgerlight.operators import bands, claims, corpus, embedding, market, multiset, reports, retrieval, versions
 from ledgerlight.sinks import snapshots
 from ledgerlight.sinks.search_index import SegmentIndex
 
@@ -144,3 +148,19 @@ def test_comparisons_cite_the_eligible_findings_and_no_others(spark):
     faults = lambda *rows: sorted(map(tuple, reports.comparison_faults(spark.createDataFrame([(r, "comparative_assessment", s, c) for r, s, c in rows], section), findings, requests).collect()))
     assert faults((1, "available", ["a", "b"]), (2, "unavailable", [])) == []
     assert faults((1, "degraded", ["b", "c"]), (2, "available", ["a"])) == [(1, "a", "left_out"), (1, "c", "not_eligible"), (2, "a", "not_eligible")]
+
+
+def test_a_block_of_vectors_is_searched_a_few_queries_at_a_time():
+    rng = np.random.default_rng(3)
+    n, asked = 8000, 256
+    v = np.round(rng.normal(size=(n + asked, 4)), 1)  # many ties
+    block = pa.table({"is_query": [False] * n + [True] * asked, "id": [*range(n), *range(asked)], "v": pa.array(list(v), pa.list_(pa.float64()))})
+    tracemalloc.start()
+    found = retrieval._nearest(block, 5, digits=6)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * n * asked  # one matrix of all scores is as large
+    with np.errstate(invalid="ignore", divide="ignore"):
+        s = np.round((v[n:] @ v[:n].T) / (np.linalg.norm(v[n:], axis=1)[:, None] * np.linalg.norm(v[:n], axis=1)[None, :]), 6)
+    wanted = [(q, i) for q in range(asked) for i in sorted((i for i in range(n) if i != q and np.isfinite(s[q, i])), key=lambda i: (-s[q, i], i))[:5]]
+    assert list(zip(found["query_id"].to_pylist(), found["id"].to_pylist(), strict=True)) == wanted
