@@ -164,3 +164,17 @@ def test_a_block_of_vectors_is_searched_a_few_queries_at_a_time():
         s = np.round((v[n:] @ v[:n].T) / (np.linalg.norm(v[n:], axis=1)[:, None] * np.linalg.norm(v[:n], axis=1)[None, :]), 6)
     wanted = [(q, i) for q in range(asked) for i in sorted((i for i in range(n) if i != q and np.isfinite(s[q, i])), key=lambda i: (-s[q, i], i))[:5]]
     assert list(zip(found["query_id"].to_pylist(), found["id"].to_pylist(), strict=True)) == wanted
+
+
+def test_words_are_summed_where_their_text_is_read(spark):
+    texts = spark.createDataFrame([(1, "one two one"), (2, None), (3, "…"), (1, "three"), (4, "Ünï ½ 日本")], "doc_id long, text string")
+    found = embedding.embed_text(texts, dims=8)
+    assert "Generate" not in found._jdf.queryExecution().toString()
+    said = {1: ["one", "two", "one", "three"], 2: [], 3: [], 4: ["ünï", "½", "日本"]}
+    placed = spark.createDataFrame([(w,) for w in sorted({w for ws in said.values() for w in ws})], "word string")
+    places = {r[0]: r[1] for r in placed.select("word", embedding.signed_places(F.col("word"), 8, 4)).collect()}
+    for row in found.collect():
+        wanted = [0] * 8
+        for p in (p for w in said[row["doc_id"]] for p in places[w]):
+            wanted[abs(p) - 1] += 1 if p > 0 else -1
+        assert row["embedding"] == wanted
