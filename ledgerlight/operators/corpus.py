@@ -6,9 +6,10 @@ expressions, where it is read; documents are independent, nothing is shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -43,19 +44,23 @@ class _Visible(HTMLParser):
             self.parts.append(piece)
 
 
-@F.pandas_udf(StringType())
-def visible_text(html: pd.Series) -> pd.Series:
+def in_slices(values: pa.Array, one: Callable, made: pa.DataType, rows: int = 64) -> pa.Array:
+    """``one`` of every value (None stays None) as an Arrow array of type ``made``; only a few rows at a time are Python objects."""
+    parts = [pa.array([None if v is None else one(v) for v in values.slice(at, rows).to_pylist()], made) for at in range(0, len(values), rows)]
+    return pa.concat_arrays(parts) if parts else pa.array([], made)
+
+
+@F.arrow_udf(StringType())
+def visible_text(html: pa.Array) -> pa.Array:
     """Visible text of HTML, pieces joined by one space, white space collapsed; null for null."""
 
     def one(source):
-        if source is None:
-            return None
         parser = _Visible()
         parser.feed(source)
         parser.close()
         return " ".join(" ".join(parser.parts).split())
 
-    return html.map(one, na_action="ignore")
+    return in_slices(html, one, pa.string())
 
 
 def article_text(content: Column, summary: Column) -> Column:

@@ -178,3 +178,20 @@ def test_words_are_summed_where_their_text_is_read(spark):
         for p in (p for w in said[row["doc_id"]] for p in places[w]):
             wanted[abs(p) - 1] += 1 if p > 0 else -1
         assert row["embedding"] == wanted
+
+
+def test_a_few_texts_at_a_time_are_python_objects():
+    lists = []
+
+    class Counted(str):
+        pass
+
+    def one(text):
+        lists.append(weakref.ref(kept := Counted(text)))
+        alive.append(sum(r() is not None for r in lists))
+        return kept
+
+    alive = []
+    made = corpus.in_slices(pa.array(["a", None, "c"] * 200), one, pa.string(), rows=16)
+    assert made.to_pylist() == ["a", None, "c"] * 200 and max(alive) <= 16
+    assert corpus.in_slices(pa.array([], pa.string()), one, pa.string()).to_pylist() == []
