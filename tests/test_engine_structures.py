@@ -195,3 +195,10 @@ def test_a_few_texts_at_a_time_are_python_objects():
     made = corpus.in_slices(pa.array(["a", None, "c"] * 200), one, pa.string(), rows=16)
     assert made.to_pylist() == ["a", None, "c"] * 200 and max(alive) <= 16
     assert corpus.in_slices(pa.array([], pa.string()), one, pa.string()).to_pylist() == []
+
+
+def test_repeated_ids_of_a_change_are_indexed_once(spark, tmp_path):
+    index = SegmentIndex(spark, str(tmp_path))
+    index.apply(spark.createDataFrame([(1, "same words", "added"), (1, "same again", "added"), (2, "words", "added")], "doc_id long, text string, change string"))
+    held = index._postings([1])
+    assert sorted(tuple(r) for r in held.select("word", "id").collect()) == [("again", 1), ("same", 1), ("words", 1), ("words", 2)]
