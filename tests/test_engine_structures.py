@@ -197,6 +197,11 @@ def test_a_few_texts_at_a_time_are_python_objects():
     assert corpus.in_slices(pa.array([], pa.string()), one, pa.string()).to_pylist() == []
 
 
+def test_parts_of_a_claim_are_computed_once(spark):
+    plan = claims.claims_in(spark.createDataFrame([("a 5%",)], "text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") <= 4 and plan.count("regexp_extract_all(") <= 4
+
+
 def test_repeated_ids_of_a_change_are_indexed_once(spark, tmp_path):
     index = SegmentIndex(spark, str(tmp_path))
     index.apply(spark.createDataFrame([(1, "same words", "added"), (1, "same again", "added"), (2, "words", "added")], "doc_id long, text string, change string"))
