@@ -7,6 +7,12 @@ above all, both models smooth by the same continuation counts of the shorter
 contexts, pooled over the classes, so a byte that neither class has met in its
 context weighs the same in both and only evidence of a class moves the comparison.
 
+The counts of all labelled words stay distributed. Every (context, byte) is dealt by
+the three bytes nearest to it, so all contexts of three bytes and more that share them
+meet in one task; the shorter ones are bounded by the alphabet and go through the
+driver. Texts are scored where they are read by the exact values of the words that most
+texts hold; all other words are looked up in the whole models by a shuffle.
+
 A text is compared by its length-normalised log-likelihoods: the difference per
 word over the whole text, the same over its ``TELLING`` most telling words (a few
 toxic expressions in a long text count as much as in a short one), and the least of
@@ -20,13 +26,16 @@ table need no care. With no labelled text of one of the classes every score is 0
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.byte_words import WordTable, context, grams, key_of, most_held, rows_of_texts, words_of_texts
-from ledgerlight.llm.cluster import materialize, shipped
+from ledgerlight.llm.byte_words import WordTable, context, grams, key_of, most_held, words_of_texts
+from ledgerlight.llm.cluster import broadcast_if_small, free_name, materialize, shipped
 
 ORDER = 7
 DISCOUNT = 0.75
@@ -36,13 +45,21 @@ TELLING, CLEAR = 3, 10.0
 #: the models do not see: the logistic function is fitted on that share. All other labelled documents are counted.
 TRAIN_DOCUMENTS = 6000
 CALIBRATION = 0.35
-#: Words that the published models are built from, at most: those that most labelled documents hold.
+#: Words whose values go to every task, at most: those that most labelled documents hold. All others are looked up by a shuffle.
 MODEL_WORDS = 250_000
-
-
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """Kneser-Ney discounts of counts: one for counts of 1, of 2 and above, estimated from how many counts there are of each."""
-    n = [float((counts == c).sum()) for c in (1, 2, 3, 4)]
+#: Bytes nearest to a gram by which it is dealt to tasks; contexts of fewer bytes go through the driver.
+NEAR = 3
+#: Values of words are whole numbers of 1 / UNIT bits, so that sums depend on no order.
+UNIT = 1 << 24
+#: Rejected rows that are broadcast, at most; more are joined by a shuffle.
+REJECTED_ROWS = 200_000
+#: Grams that one task of the models holds, about.
+TASK_GRAMS = 1_000_000
+
+
+def discounts(counts: np.ndarray, n: list[float] | None = None) -> np.ndarray:
+    """Kneser-Ney discounts of counts: one for counts of 1, of 2 and above, estimated from how many counts there are of 1 to 4 (``n``, if ``counts`` are not all)."""
+    n = n or [float((counts == c).sum()) for c in (1, 2, 3, 4)]
     if not all(n):
         return np.minimum(counts, DISCOUNT)
     y = n[0] / (n[0] + 2 * n[1])
@@ -50,23 +67,39 @@ def discounts(counts: np.ndarray) -> np.ndarray:
     return np.array(d)[np.minimum(counts, 3).astype(int)]
 
 
+def _raw(words: list[str]) -> list[bytes]:
+    return [w.encode("utf-8", "surrogatepass") + b"\0" for w in words]
+
+
 class KneserNey:
     """What each (context, byte) of full length adds to log2 P(toxic model) - log2 P(ordinary model)."""
 
     def __init__(self, words: list[str], counts: np.ndarray, order: int = ORDER):
         """``counts``: for each word, in how many texts of the ordinary and of the toxic class it stands."""
-        raw = [w.encode("utf-8", "surrogatepass") + b"\0" for w in words]
+        raw = _raw(words)
+        self._fit(*self._distinct(raw, counts, order), order) if raw else self._empty(order)
+
+    @classmethod
+    def of_grams(cls, byte: np.ndarray, window: np.ndarray, length: np.ndarray, held: np.ndarray, low: list, totals: dict[int, list[float]], order: int = ORDER) -> KneserNey:
+        """The models of all grams that share their nearest bytes: ``low`` and ``totals`` hold what other grams must tell, chances of shorter contexts and counts of counts by level."""
+        self = cls.__new__(cls)
+        if len(byte):
+            self._fit(*cls._together(byte, window, length, held), order, low, totals)
+        else:
+            self._empty(order)
+        return self
+
+    def _empty(self, order: int) -> None:
         self.order = order
-        if not raw:
-            self.keys = self.nodes = np.zeros(0, np.uint64)
-            self.gain = self.escape = np.zeros(0)
-            return
-        self.keys, byte, window, length, held = self._distinct(raw, counts, order)
-        del raw
-        shared = self._shared(byte, window, length, order)
+        self.keys = self.nodes = np.zeros(0, np.uint64)
+        self.gain = self.escape = np.zeros(0)
+
+    def _fit(self, keys, byte, window, length, held, order: int, low: list = (), totals: dict[int, list[float]] = {}) -> None:  # noqa: B006
+        self.order, self.keys = order, keys
+        shared = self._shared(byte, window, length, order, low, totals)
         self.nodes, node = np.unique(context(window, length), return_inverse=True)
         seen = np.stack([np.bincount(node, held[:, c], len(self.nodes)) for c in (0, 1)], 1)
-        taken = np.stack([discounts(held[:, c]) for c in (0, 1)], 1)
+        taken = np.stack([discounts(held[:, c], totals.get(order + c)) for c in (0, 1)], 1)
         given = np.stack([np.bincount(node, taken[:, c], len(self.nodes)) for c in (0, 1)], 1)
         lower = np.full(len(self.keys), 1 / 257)
         for k in range(order):
@@ -78,41 +111,45 @@ class KneserNey:
         self.gain = np.log2(chance[:, 1]) - np.log2(chance[:, 0])
         self.escape = np.log2(rest[:, 1]) - np.log2(rest[:, 0])
 
+    @staticmethod
+    def _together(byte, window, length, held) -> tuple[np.ndarray, ...]:
+        keys, first, at = np.unique(key_of(context(window, length), byte), return_index=True, return_inverse=True)
+        return keys, byte[first], window[first], length[first], np.stack([np.bincount(at, held[:, c], len(first)) for c in (0, 1)], 1)
+
     @staticmethod
     def _distinct(raw: list[bytes], counts: np.ndarray, order: int, chunk: int = 40_000) -> tuple[np.ndarray, ...]:
         """Of the distinct (context, byte) pairs, sorted keys, bytes, windows, lengths and counts of both classes; equal ones of a chunk of words go together first."""
-
-        def together(byte, window, length, held):
-            keys, first, at = np.unique(key_of(context(window, length), byte), return_index=True, return_inverse=True)
-            return keys, byte[first], window[first], length[first], np.stack([np.bincount(at, held[c], len(first)) for c in (0, 1)], 1)
-
         parts = []
         for lo in range(0, len(raw), chunk):
             owner, byte, window, length = grams(raw[lo : lo + chunk], order)
-            parts.append(together(byte, window, length.astype(np.int8), [counts[lo + owner, c] for c in (0, 1)])[1:])
-        byte, window, length, held = (np.concatenate(p) for p in zip(*parts, strict=True))
-        return together(byte, window, length, held.T)
+            parts.append(KneserNey._together(byte, window, length.astype(np.int8), counts[lo + owner])[1:])
+        return KneserNey._together(*(np.concatenate(p) for p in zip(*parts, strict=True)))
+
+    @staticmethod
+    def continued(byte: np.ndarray, window: np.ndarray, length: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+        """Keys, bytes and windows of the (context of ``k`` bytes, byte) that follow longer ones, and in how many contexts one byte longer each does."""
+        there = np.flatnonzero(length > k)
+        # Each distinct (longer context, byte) is one continuation of (context, byte).
+        _, one = np.unique(key_of(context(window[there], k + 1), byte[there]), return_index=True)
+        there = there[one]
+        keys, first, times = np.unique(key_of(context(window[there], k), byte[there]), return_index=True, return_counts=True)
+        return keys, byte[there[first]], window[there[first]], times.astype(float)
 
     @classmethod
-    def _shared(cls, byte: np.ndarray, window: np.ndarray, length: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    def level(cls, k: int, keys: np.ndarray, byte: np.ndarray, window: np.ndarray, times: np.ndarray, shared: list, n: list[float] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted keys and chances of the contexts of ``k`` bytes, from their counts and the chances ``shared`` of the shorter ones."""
+        _, node = np.unique(context(window, k), return_inverse=True)
+        total, taken = np.bincount(node, times), discounts(times, n)
+        rest = np.bincount(node, taken) / np.maximum(total, 1)
+        below = np.full(len(keys), 1 / 257) if k == 0 else cls._look(*shared[k - 1], key_of(context(window, k - 1), byte))
+        return keys, (times - taken) / total[node] + rest[node] * below if len(keys) else below
+
+    @classmethod
+    def _shared(cls, byte: np.ndarray, window: np.ndarray, length: np.ndarray, order: int, low: list, totals: dict[int, list[float]]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Continuation probabilities of both classes together: for each context length, sorted keys and chances."""
-        shared: list[tuple[np.ndarray, np.ndarray]] = []
-        for k in range(order):
-            there = np.flatnonzero(length > k)
-            # Each distinct (longer context, byte) is one continuation of (context, byte).
-            _, one = np.unique(key_of(context(window[there], k + 1), byte[there]), return_index=True)
-            there = there[one]
-            own = context(window[there], k)
-            keys, first, at = np.unique(key_of(own, byte[there]), return_index=True, return_inverse=True)
-            nodes, node = np.unique(own, return_inverse=True)
-            node = node[first]
-            times = np.bincount(at, minlength=len(keys)).astype(float)
-            total = np.bincount(node, times, len(nodes))
-            taken = discounts(times)
-            rest = np.bincount(node, taken, len(nodes)) / np.maximum(total, 1)
-            low = there[first]
-            below = np.full(len(keys), 1 / 257) if k == 0 else cls._look(*shared[k - 1], key_of(context(window[low], k - 1), byte[low]))
-            shared.append((keys, (times - taken) / total[node] + rest[node] * below))
+        shared = list(low)
+        for k in range(len(low), order):
+            shared.append(cls.level(k, *cls.continued(byte, window, length, k), shared, totals.get(k)))
         return shared
 
     @staticmethod
@@ -122,17 +159,21 @@ class KneserNey:
 
     def differences(self, words: list[str]) -> np.ndarray:
         """log2 P(word | toxic) - log2 P(word | ordinary), one column."""
-        raw = [w.encode("utf-8", "surrogatepass") + b"\0" for w in words]
+        raw = _raw(words)
         if not len(self.keys) or not raw:
             return np.zeros((len(raw), 1))
         owner, byte, window, length = grams(raw, self.order)
+        return np.bincount(owner, self.bits(byte, window, length), len(raw))[:, None]
+
+    def bits(self, byte: np.ndarray, window: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """What each gram adds: 0 where its context is unknown."""
+        if not len(self.keys):
+            return np.zeros(len(byte))
         full = context(window, length)
         key = key_of(full, byte)
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        hit = self.keys[at] == key
         node = np.minimum(np.searchsorted(self.nodes, full), len(self.nodes) - 1)
-        bits = np.where(hit, self.gain[at], np.where(self.nodes[node] == full, self.escape[node], 0.0))
-        return np.bincount(owner, bits, len(raw))[:, None]
+        return np.where(self.keys[at] == key, self.gain[at], np.where(self.nodes[node] == full, self.escape[node], 0.0))
 
 
 def features(bits: np.ndarray) -> tuple[float, float, float]:
@@ -162,24 +203,206 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float =
     return w
 
 
+_GRAMS = "kind int, window long, code int, n0 long, n1 long"
+
+
+def _arrow(schema: dict[str, pa.DataType], *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.values(), strict=True)], names=list(schema))
+
+
+def _dealt(rows: DataFrame, about: int) -> DataFrame:
+    """Rows with equal nearest bytes in one partition; ``about`` so many rows there are."""
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-about // TASK_GRAMS))
+    return rows.repartition(n, F.col("window").bitwiseAND(F.lit((1 << 8 * NEAR) - 1)))
+
+
+def _counted_grams(per_word: DataFrame) -> DataFrame:
+    """All distinct grams of the words (word, n0, n1) with their counts (kind -1), and what levels tell of themselves beyond their task.
+
+    kind k from NEAR to ORDER - 1, and ORDER and ORDER + 1 for the classes: in n0, how many
+    counts are ``code`` (1 to 4) on that level. kind NEAR - 1: contexts of that many bytes, in
+    n0 their continuations. Grams of shorter contexts are among those of kind -1.
+    """
+    types = {"kind": pa.int32(), "window": pa.int64(), "code": pa.int32(), "n0": pa.int64(), "n1": pa.int64()}
+
+    def rows(kind, window, code, n0, n1):
+        for a in range(0, len(window), 50_000):
+            part = [np.asarray(c[a : a + 50_000]).astype(np.int64) for c in (window, code, n0, n1)]
+            yield _arrow(types, np.full(len(part[0]), kind, np.int32), part[0], part[1].astype(np.int32), *part[2:])
+
+    def gram_rows(byte, window, length, held):
+        yield from rows(-1, window, length.astype(np.int32) << 8 | byte, held[:, 0], held[:, 1])
+
+    def explode(batches):
+        words, counts = [], []
+
+        def told():
+            yield from gram_rows(*KneserNey._distinct(_raw(words), np.concatenate(counts), ORDER)[1:])
+
+        for batch in batches:
+            words += batch.column(0).to_pylist()
+            counts.append(np.stack([batch.column(c).to_numpy().astype(float) for c in (1, 2)], 1))
+            if len(words) >= 40_000:
+                yield from told()
+                words, counts = [], []
+        if words:
+            yield from told()
+
+    def combine(batches):
+        found = _grams_of(batches)
+        if not found:
+            return
+        byte, window, length, held = KneserNey._together(*found)[1:]
+        yield from gram_rows(byte, window, length, held)
+        levels = {k: KneserNey.continued(byte, window, length, k)[3] for k in range(NEAR, ORDER)} | {ORDER + c: held[:, c] for c in (0, 1)}
+        for k, n in levels.items():
+            yield from rows(k, np.zeros(4), np.arange(1, 5), [int((n == c).sum()) for c in (1, 2, 3, 4)], np.zeros(4))
+        _, byte, window, times = KneserNey.continued(byte, window, length, NEAR - 1)
+        yield from rows(NEAR - 1, window & np.uint64((1 << 8 * (NEAR - 1)) - 1), byte, times, np.zeros(len(byte)))
+
+    about = 10 * per_word.count()
+    return materialize(_dealt(per_word.select("word", "n0", "n1").mapInArrow(explode, _GRAMS), about).mapInArrow(combine, _GRAMS), "toxicity-grams")
+
+
+def _grams_of(batches) -> tuple[np.ndarray, ...] | None:
+    """byte, window, length and counts of the grams in batches of ``_GRAMS``."""
+    parts = [[b.column(i).to_numpy() for i in (1, 2, 3, 4)] for b in batches]
+    if not parts:
+        return None
+    window, code, n0, n1 = (np.concatenate(p) for p in zip(*parts, strict=True))
+    return (code & 255).astype(np.uint8), window.astype(np.uint64), (code >> 8).astype(np.int8), np.stack([n0, n1], 1).astype(float)
+
+
+def _levels(found: DataFrame) -> tuple[list, dict[int, list[float]]]:
+    """Chances of the contexts of fewer than NEAR bytes, and counts of counts of the other levels. What the driver gets is bounded by the combinations of NEAR bytes."""
+    told = found.filter("kind >= 0").groupBy("kind", "window", "code").agg(F.sum("n0").alias("n")).toArrow()
+    kind, window, code, n = (told.column(i).to_numpy() for i in range(4))
+    totals = {k: [float(n[(kind == k) & (code == c)].sum()) for c in (1, 2, 3, 4)] for k in range(NEAR, ORDER + 2)}
+    first = found.filter(f"kind = -1 and shiftright(code, 8) < {NEAR}").select("window", "code").toArrow()
+    starts, start_code = first.column(0).to_numpy().astype(np.uint64), first.column(1).to_numpy()
+    last = kind == NEAR - 1
+    byte, window, times, tables = code[last].astype(np.uint8), window[last].astype(np.uint64), n[last].astype(float), []
+    for k in range(NEAR - 1, -1, -1):
+        keys, order = np.unique(key_of(context(window, k), byte), return_index=True)
+        byte, window, times = byte[order], window[order], times[order]
+        tables.append((k, keys, byte, window, times))
+        # One byte shorter: what follows these contexts, and those of their length that begin a word.
+        here = (start_code >> 8) == k
+        byte, window = np.concatenate([byte, (start_code[here] & 255).astype(np.uint8)]), np.concatenate([window, starts[here]])
+        if k:
+            _, byte, window, times = KneserNey.continued(byte, window, np.full(len(byte), k), k - 1)
+    low: list = []
+    for table in reversed(tables):
+        low.append(KneserNey.level(*table, low))
+    return low, totals
+
+
+def word_values(found: DataFrame, levels: tuple, words: DataFrame) -> DataFrame:
+    """word, value: what the whole models of the grams ``found`` say of each of the distinct ``words``, in 1 / UNIT bits."""
+    types = {"kind": pa.int32(), "window": pa.int64(), "code": pa.int32(), "n0": pa.int64(), "n1": pa.int64()}
+    numbered = materialize(words.select("word").withColumn("id", F.monotonically_increasing_id()), "toxicity-asked")
+    frozen = shipped(words.sparkSession, levels)
+
+    def ask(batches):
+        for batch in batches:
+            ids = batch.column(1).to_numpy()
+            for a in range(0, len(ids), 5000):
+                owner, byte, window, length = grams(_raw(batch.column(0).slice(a, 5000).to_pylist()), ORDER)
+                zero = np.zeros(len(owner), np.int64)
+                yield _arrow(types, np.zeros(len(owner), np.int32), window.astype(np.int64), length.astype(np.int32) << 8 | byte, ids[a + owner], zero)
+
+    def answer(batches):
+        known, asked = [], []
+        for b in batches:
+            ours = b.column(0).to_numpy() < 0
+            known.append(b.filter(pa.array(ours)))
+            asked.append(b.filter(pa.array(~ours)))
+        if not sum(b.num_rows for b in asked):
+            return
+        byte, window, length, held = _grams_of(known)
+        model = KneserNey.of_grams(byte, window, length, held, *frozen())
+        byte, window, length, held = _grams_of(asked)
+        ids = np.concatenate([b.column(3).to_numpy() for b in asked])
+        bits = np.rint(model.bits(byte, window, length) * UNIT).astype(np.int64)
+        told = np.flatnonzero(bits)
+        order = told[np.argsort(ids[told], kind="stable")]
+        if not len(order):
+            return
+        start = np.flatnonzero(np.r_[True, np.diff(ids[order]) > 0])
+        sums = np.add.reduceat(bits[order], start)
+        for a in range(0, len(start), 50_000):
+            yield _arrow({"id": pa.int64(), "value": pa.int64()}, ids[order][start[a : a + 50_000]], sums[a : a + 50_000])
+
+    # Counted grams have no kind but -1 here; asked ones carry the word's number in n0.
+    both = found.filter("kind = -1").unionByName(numbered.mapInArrow(ask, _GRAMS))
+    values = _dealt(both, found.count() + 10 * numbered.count()).mapInArrow(answer, "id long, value long").groupBy("id").agg(F.sum("value").alias("value"))
+    return numbered.join(values, "id", "left").select("word", F.coalesce("value", F.lit(0).cast("long")).alias("value"))
+
+
+class PublishedWords:
+    """Values of the words that most texts hold, in 1 / UNIT bits."""
+
+    def __init__(self, words: list[str], values: list[int]):
+        self._values = dict(zip(words, values, strict=True))
+
+    def known(self, words: list[str]) -> np.ndarray:
+        """Value, and 1 if the word is published."""
+        return np.array([(self._values.get(w, 0), w in self._values) for w in words], float).reshape(-1, 2)
+
+    def differences(self, words: list[str]) -> np.ndarray:
+        """log2 P(word | toxic) - log2 P(word | ordinary), one column; 0 for words that are not published."""
+        return self.known(words)[:, :1] / UNIT
+
+
 class ToxicityModel:
-    """Both language models and the weights of the logistic function (constant first; None: a class is unknown)."""
+    """The published words, all grams and their levels, and the weights of the logistic function (constant first; None: a class is unknown)."""
 
-    def __init__(self, language: KneserNey, weights: np.ndarray | None):
-        self.language, self.weights = language, weights
+    def __init__(self, language: PublishedWords, found: DataFrame, levels: tuple, weights: np.ndarray | None):
+        self.language, self.found, self.levels, self.weights = language, found, levels, weights
 
 
-def _features_of(texts: DataFrame, language: KneserNey, max_words: int) -> DataFrame:
-    """Adds x (the features) to (key, text). No shuffle."""
-    frozen = shipped(texts.sparkSession, language)
+def _features_of(texts: DataFrame, model: ToxicityModel, max_words: int) -> DataFrame:
+    """x (the features) instead of the text of (text, other columns). Texts stay where they are; words that are not published are shuffled by themselves."""
+    frozen, kept = shipped(texts.sparkSession, model.language), texts.columns[1:]
+    schema = ", ".join([*[f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in kept], "_row long, _n long, _total long, _top array<long>, _rest array<string>"])
 
     def run(batches):
-        table = WordTable(frozen().differences, 1, max_words)
+        table, row = WordTable(frozen().known, 2, max_words), count(TaskContext.get().partitionId() << 40)
         for batch in batches:
-            x = [features(table.values[rows, 0]) for rows in rows_of_texts(table, batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["key", "x"])
-
-    return texts.mapInArrow(run, "key long, x array<double>")
+            at = 0
+            for some in words_of_texts(batch.column(0)):
+                ids, ns, totals, tops, rests = [], [], [], [], []
+                for words, rows in zip(some, table.rows(some), strict=True):
+                    value, known = table.values[rows, 0], table.values[rows, 1] > 0
+                    told = value[known].astype(np.int64)
+                    ids.append(next(row))
+                    ns.append(len(words))
+                    totals.append(int(told.sum()))
+                    tops.append(np.partition(told, len(told) - TELLING)[-TELLING:] if len(told) > TELLING else told)
+                    rests.append([words[i] for i in np.flatnonzero(~known)])
+                own = [c.slice(at, len(some)) for c in batch.columns[1:]]
+                at += len(some)
+                made = [pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(totals, pa.int64()), pa.array(tops, pa.list_(pa.int64())), pa.array(rests, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*own, *made], [*kept, "_row", "_n", "_total", "_top", "_rest"])
+
+    read = materialize(texts.mapInArrow(run, schema), "toxicity-texts")
+    rest = read.select("_row", F.explode("_rest").alias("word"))
+    values = word_values(model.found, model.levels, rest.select("word").distinct())
+    per_row = rest.join(values, "word").groupBy("_row").agg(F.sum("value").alias("_more"), F.slice(F.sort_array(F.collect_list("value"), asc=False), 1, TELLING).alias("_tops"))
+    met = read.drop("_rest").join(per_row, "_row", "left")
+    bits = lambda c: F.least(F.greatest(c / F.lit(float(UNIT)), F.lit(0.0)), F.lit(CLEAR))
+    top = F.sort_array(F.concat("_top", F.coalesce("_tops", F.array().cast("array<long>")), F.array_repeat(F.lit(0).cast("long"), TELLING)), asc=False)
+    mean = F.when(F.col("_n") > 0, (F.col("_total") + F.coalesce("_more", F.lit(0))) / F.lit(float(UNIT)) / F.col("_n")).otherwise(0.0)
+    most = [bits(F.col("_best")[i]) for i in range(TELLING)]
+    x = F.array(F.least(F.greatest(mean, F.lit(-CLEAR)), F.lit(CLEAR)), sum(most[1:], most[0]) / TELLING, most[-1])
+    return met.withColumn("_best", top).select(*kept, x.alias("x"))
+
+
+def _chance(model: ToxicityModel) -> Column:
+    z = F.lit(float(model.weights[0]))
+    for i, v in enumerate(model.weights[1:]):
+        z = z + F.lit(float(v)) * F.col("x")[i]
+    return 1 / (1 + F.exp(-z))
 
 
 def _sampled(labelled: DataFrame, max_documents: int) -> Column:
@@ -203,9 +426,9 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     """Fits the models on ``labelled`` (labels 0 and 1; rows with another or no label, or no text, are left out).
 
     Tasks count in how many texts of a class each word stands, over all rows but
-    those of the bounded calibration sample. The driver gets the counts of
-    about ``model_words`` words at most, those of the most texts, and a few numbers
-    per calibration text.
+    those of the bounded calibration sample. Every word is in the models. The driver
+    gets the values of about ``model_words`` words at most, those of the most texts,
+    what ``_levels`` asks for, and a few numbers per calibration text.
     """
     rows = labelled.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"))
     rows = rows.filter(F.col("label").isin(0, 1) & F.col("text").isNotNull())
@@ -231,48 +454,46 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
     counted = rows.filter(~apart).mapInArrow(count, "word string, label long, n long")
     per_word = counted.groupBy("word").agg(*[F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)])
-    published = most_held(materialize(per_word, "toxicity-words"), F.col("n0") + F.col("n1"), model_words).toArrow().sort_by("word")
-    words, counts = published.column("word").to_pylist(), np.stack([published.column(f"n{c}").to_numpy().astype(float) for c in (0, 1)], 1)
+    per_word = materialize(per_word, "toxicity-words")
+    found = _counted_grams(per_word)
+    levels = _levels(found)
+    classes = per_word.agg(F.sum("n0"), F.sum("n1")).first()
+    published = word_values(found, levels, most_held(per_word, F.col("n0") + F.col("n1"), model_words)).toArrow()
+    language = PublishedWords(published.column("word").to_pylist(), published.column("value").to_pylist())
     del published
-    language = KneserNey(words, counts)
-    del words
+    model = ToxicityModel(language, found, levels, None)
+    if not all(classes):
+        return model
     # The sample's ids are few: by them it is read without a shuffle of all texts.
     ids = [r[0] for r in rows.filter(apart).select("key").distinct().collect()]
-    seen = _features_of(rows.filter(F.col("key").isin(ids)).filter(apart).select(F.col("label").cast("long").alias("key"), "text"), language, max_words).toArrow()
-    y, x = seen.column("key").to_numpy().astype(float), np.array(seen.column("x").to_pylist(), float).reshape(-1, 3)
-    if not counts.any(axis=0).all() or not 0 < y.sum() < len(y):
-        return ToxicityModel(language, None)
-    return ToxicityModel(language, fit_logistic(x, y))
+    seen = _features_of(rows.filter(F.col("key").isin(ids)).filter(apart).select("text", "label"), model, max_words).toArrow()
+    y, x = seen.column("label").to_numpy().astype(float), np.array(seen.column("x").to_pylist(), float).reshape(-1, 3)
+    if 0 < y.sum() < len(y):
+        order = np.lexsort((*x.T, y))
+        model.weights = fit_logistic(x[order], y[order])
+    return model
 
 
 def score(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, max_words: int = 400_000) -> DataFrame:
     """doc_id, score (0 to 1), predicted (1 from ``threshold`` on), one row per row of ``docs``."""
-    found = _features_of(docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text")), model.language, max_words)
-    w = [0.0] if model.weights is None else [float(v) for v in model.weights]
-    z = F.lit(w[0])
-    for i, v in enumerate(w[1:]):
-        z = z + F.lit(v) * F.col("x")[i]
-    chance = F.lit(0.0) if model.weights is None else 1 / (1 + F.exp(-z))
-    return found.select(F.col("key").alias("doc_id"), chance.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc_id"))
+    found = rows.select("doc_id", F.lit(0.0).alias("score")) if model.weights is None else _features_of(rows, model, max_words).select("doc_id", _chance(model).alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that a model of the labelled ones does not call toxic, with the same columns.
 
-    Each row is judged by its own text where it is read: nothing is joined back, so
-    a null id, or one that other rows share, decides about no other row.
+    Each row is judged by its own text: rejected are pairs of an id and a text's digest, so
+    a null id, or one that other rows share, decides about no other text.
     """
     model = train(with_labels(docs, labels, id_col=id_col, text_col=text_col))
     if model.weights is None:
         return docs
-    held = shipped(docs.sparkSession, model)
-    text_at = docs.columns.index(text_col)
-
-    def run(batches):
-        model = held()
-        table = WordTable(model.language.differences, 1, 400_000)
-        for batch in batches:
-            x = np.array([features(table.values[rows, 0]) for rows in rows_of_texts(table, batch.column(text_at))]).reshape(-1, 3)
-            yield batch.filter(pa.array(1 / (1 + np.exp(-(_scaled(x) @ model.weights))) < threshold))
-
-    return docs.mapInArrow(run, docs.schema)
+    id_, digest = (free_name(n, docs.columns) for n in ("id", "digest"))
+    # A null id is told from any other by its prefix.
+    keys = {id_: F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("")), digest: F.md5(F.encode(F.coalesce(text_col, F.lit("")), "UTF-8"))}
+    keyed = docs.withColumns(keys)
+    judged = _features_of(keyed.select(F.col(text_col).alias("text"), id_, digest), model, 400_000).filter(_chance(model) >= threshold).select(id_, digest)
+    rejected = broadcast_if_small(materialize(judged.distinct(), "toxicity-rejected"), REJECTED_ROWS)
+    return keyed.join(rejected, [id_, digest], "left_anti").select(*docs.columns)

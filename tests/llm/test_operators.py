@@ -126,6 +126,23 @@ def test_all_labelled_texts_are_counted(spark):
     assert abs(float(pruned.language.differences(["vile"])[0, 0])) < 3  # "here" and "words" are published: of "vile" little is known
 
 
+def test_words_that_are_not_published_say_as_much(spark):
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("aben\u00e9\u0939"), rng.integers(1, 13)))
+    rows = [(i, " ".join([word() for _ in range(12)] + ["vile" if i % 3 == 0 else "good"]), int(i % 3 == 0)) for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    whole, few = toxicity.train(frame), toxicity.train(frame, model_words=2)
+    scores = [{r["doc_id"]: r["score"] for r in toxicity.score(frame, m).collect()} for m in (whole, few)]
+    assert scores[0] == scores[1] and len(scores[0]) == 300 and len(set(scores[0].values())) > 100
+    counted = whole.found.sparkSession.createDataFrame([("abena", 3, 0), ("abenb", 1, 2), ("benabenaben", 0, 2), ("nabena\u00e9\u0939", 4, 1), ("abenabenabenab", 1, 1), ("e", 2, 2), ("en", 1, 0)], "word string, n0 long, n1 long")
+    found = toxicity._counted_grams(counted)
+    words = ["abena", "abenb", "benabenaben", "abenabena", "\u00e9", "e", "enab", "xyz", "nabena\u00e9\u0939"]
+    values = {r["word"]: r["value"] for r in toxicity.word_values(found, toxicity._levels(found), spark.createDataFrame([(w,) for w in words], "word string")).collect()}
+    held = counted.collect()
+    wanted = toxicity.KneserNey([r["word"] for r in held], np.array([[r["n0"], r["n1"]] for r in held], float)).differences(words)[:, 0]
+    assert np.allclose([values[w] / toxicity.UNIT for w in words], wanted, atol=1e-5) and np.abs(wanted).max() > 1
+
+
 def test_words_keep_their_combining_marks():
     assert byte_words.words_of("\u0939\u093f\u0928\u094d\u0926\u0940 x1y Cafe\u0301") == ["\u0939\u093f\u0928\u094d\u0926\u0940", "x", "y", "cafe\u0301"]
 
