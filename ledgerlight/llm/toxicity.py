@@ -297,17 +297,35 @@ def _levels(found: DataFrame) -> tuple[list, dict[int, list[float]]]:
     return low, totals
 
 
+def _starts(found: DataFrame, levels: tuple) -> KneserNey:
+    """The models of contexts of NEAR bytes at most, which begin words: bounded as ``_levels``."""
+    told = found.filter(f"kind = -1 and shiftright(code, 8) <= {NEAR}").select(*[c.split()[0] for c in _GRAMS.split(", ")]).toArrow().to_batches()
+    grams_ = _grams_of(told)
+    return KneserNey.of_grams(*(grams_ or (np.zeros(0, np.uint8), np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros((0, 2)))), *levels)
+
+
 def word_values(found: DataFrame, levels: tuple, words: DataFrame) -> DataFrame:
     """word, value: what the whole models of the grams ``found`` say of each of the distinct ``words``, in 1 / UNIT bits."""
     types = {"kind": pa.int32(), "window": pa.int64(), "code": pa.int32(), "n0": pa.int64(), "n1": pa.int64()}
-    numbered = materialize(words.select("word").withColumn("id", F.monotonically_increasing_id()), "toxicity-asked")
-    frozen = shipped(words.sparkSession, levels)
+    frozen, starts = shipped(words.sparkSession, levels), shipped(words.sparkSession, _starts(found, levels))
+
+    def begin(batches):
+        model = starts()
+        for batch in batches:
+            raw = _raw(batch.column(0).to_pylist())
+            owner, byte, window, length = grams(raw, ORDER)
+            near = length <= NEAR
+            bits = np.rint(model.bits(byte[near], window[near], length[near]) * UNIT) if raw else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.bincount(owner[near], bits, len(raw)).astype(np.int64))], ["word", "begun"])
+
+    numbered = materialize(words.select("word").mapInArrow(begin, "word string, begun long").withColumn("id", F.monotonically_increasing_id()), "toxicity-asked")
 
     def ask(batches):
         for batch in batches:
             ids = batch.column(1).to_numpy()
             for a in range(0, len(ids), 5000):
-                owner, byte, window, length = grams(_raw(batch.column(0).slice(a, 5000).to_pylist()), ORDER)
+                parts = grams(_raw(batch.column(0).slice(a, 5000).to_pylist()), ORDER)
+                owner, byte, window, length = (p[parts[3] > NEAR] for p in parts)
                 zero = np.zeros(len(owner), np.int64)
                 yield _arrow(types, np.zeros(len(owner), np.int32), window.astype(np.int64), length.astype(np.int32) << 8 | byte, ids[a + owner], zero)
 
@@ -334,9 +352,9 @@ def word_values(found: DataFrame, levels: tuple, words: DataFrame) -> DataFrame:
             yield _arrow({"id": pa.int64(), "value": pa.int64()}, ids[order][start[a : a + 50_000]], sums[a : a + 50_000])
 
     # Counted grams have no kind but -1 here; asked ones carry the word's number in n0.
-    both = found.filter("kind = -1").unionByName(numbered.mapInArrow(ask, _GRAMS))
-    values = _dealt(both, found.count() + 10 * numbered.count()).mapInArrow(answer, "id long, value long").groupBy("id").agg(F.sum("value").alias("value"))
-    return numbered.join(values, "id", "left").select("word", F.coalesce("value", F.lit(0).cast("long")).alias("value"))
+    both = found.filter(f"kind = -1 and shiftright(code, 8) > {NEAR}").unionByName(numbered.select("word", "id").mapInArrow(ask, _GRAMS))
+    values = _dealt(both, found.count() + 7 * numbered.count()).mapInArrow(answer, "id long, value long").groupBy("id").agg(F.sum("value").alias("value"))
+    return numbered.join(values, "id", "left").select("word", (F.col("begun") + F.coalesce("value", F.lit(0).cast("long"))).alias("value"))
 
 
 class PublishedWords:
@@ -361,8 +379,19 @@ class ToxicityModel:
         self.language, self.found, self.levels, self.weights = language, found, levels, weights
 
 
-def _features_of(texts: DataFrame, model: ToxicityModel, max_words: int) -> DataFrame:
-    """x (the features) instead of the text of (text, other columns). Texts stay where they are; words that are not published are shuffled by themselves."""
+def _words_in(texts: DataFrame) -> DataFrame:
+    """The distinct words of (text)."""
+
+    def run(batches):
+        for batch in batches:
+            for some in words_of_texts(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(list({w for words in some for w in words}), pa.string())], ["word"])
+
+    return texts.select("text").mapInArrow(run, "word string").distinct()
+
+
+def _features_of(texts: DataFrame, model: ToxicityModel, max_words: int, values: DataFrame | None = None) -> DataFrame:
+    """x (the features) instead of the text of (text, other columns). Texts stay where they are; words that are not published are shuffled by themselves. ``values`` (word, value) of all of them may be known."""
     frozen, kept = shipped(texts.sparkSession, model.language), texts.columns[1:]
     schema = ", ".join([*[f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in kept], "_row long, _n long, _total long, _top array<long>, _rest array<string>"])
 
@@ -387,7 +416,7 @@ def _features_of(texts: DataFrame, model: ToxicityModel, max_words: int) -> Data
 
     read = materialize(texts.mapInArrow(run, schema), "toxicity-texts")
     rest = read.select("_row", F.explode("_rest").alias("word"))
-    values = word_values(model.found, model.levels, rest.select("word").distinct())
+    values = word_values(model.found, model.levels, rest.select("word").distinct()) if values is None else values
     per_row = rest.join(values, "word").groupBy("_row").agg(F.sum("value").alias("_more"), F.slice(F.sort_array(F.collect_list("value"), asc=False), 1, TELLING).alias("_tops"))
     met = read.drop("_rest").join(per_row, "_row", "left")
     bits = lambda c: F.least(F.greatest(c / F.lit(float(UNIT)), F.lit(0.0)), F.lit(CLEAR))
@@ -458,15 +487,18 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     found = _counted_grams(per_word)
     levels = _levels(found)
     classes = per_word.agg(F.sum("n0"), F.sum("n1")).first()
-    published = word_values(found, levels, most_held(per_word, F.col("n0") + F.col("n1"), model_words)).toArrow()
+    # The sample's ids are few: by them it is read without a shuffle of all texts.
+    ids = [r[0] for r in rows.filter(apart).select("key").distinct().collect()]
+    sample = rows.filter(F.col("key").isin(ids)).filter(apart).select("text", "label")
+    most = most_held(per_word, F.col("n0") + F.col("n1"), model_words).select("word")
+    values = materialize(word_values(found, levels, most.unionByName(_words_in(sample)).distinct()), "toxicity-values")
+    published = values.join(most, "word", "left_semi").toArrow()
     language = PublishedWords(published.column("word").to_pylist(), published.column("value").to_pylist())
     del published
     model = ToxicityModel(language, found, levels, None)
     if not all(classes):
         return model
-    # The sample's ids are few: by them it is read without a shuffle of all texts.
-    ids = [r[0] for r in rows.filter(apart).select("key").distinct().collect()]
-    seen = _features_of(rows.filter(F.col("key").isin(ids)).filter(apart).select("text", "label"), model, max_words).toArrow()
+    seen = _features_of(sample, model, max_words, values).toArrow()
     y, x = seen.column("label").to_numpy().astype(float), np.array(seen.column("x").to_pylist(), float).reshape(-1, 3)
     if 0 < y.sum() < len(y):
         order = np.lexsort((*x.T, y))
