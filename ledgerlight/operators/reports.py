@@ -175,15 +175,19 @@ def comparison_faults(sections: DataFrame, findings: DataFrame, requests: DataFr
     nothing else (``not_eligible``). ``findings``: request_id, finding_id, dimension,
     symbol; ``requests``: request_id, symbols; ``sections`` as in ``section_faults``.
     """
-    wanted = requests.select("request_id", F.size(F.array_distinct("symbols")).alias("_wanted"))
-    asked = findings.join(requests.select("request_id", F.explode(F.array_distinct("symbols")).alias("symbol")), ["request_id", "symbol"], "left_semi")
-    covered = asked.groupBy("request_id", "dimension").agg(F.count_distinct("symbol").alias("_n")).join(wanted, "request_id").filter("_n = _wanted")
-    eligible = asked.join(covered, ["request_id", "dimension"], "left_semi").select("request_id", "finding_id").distinct()
     compared = sections.filter((F.col("section") == "comparative_assessment") & F.col("status").isin("available", "degraded"))
-    cited = compared.select("request_id", F.explode("source_finding_ids").alias("finding_id")).distinct()
-    key = ["request_id", "finding_id"]
-    left_out = eligible.join(compared.select("request_id").distinct(), "request_id", "left_semi").join(cited, key, "left_anti")
-    return left_out.withColumn("fault", F.lit("left_out")).unionByName(cited.join(eligible, key, "left_anti").withColumn("fault", F.lit("not_eligible")))
+    cited = compared.select("request_id", F.explode("source_finding_ids").alias("finding_id"))
+    # Only requests that are compared go on.
+    wanted = requests.join(compared.select("request_id").distinct(), "request_id", "left_semi").select("request_id", F.explode(F.array_distinct("symbols")).alias("symbol"), F.size(F.array_distinct("symbols")).alias("_wanted"))
+    asked = findings.join(wanted, ["request_id", "symbol"])
+    covered = asked.groupBy("request_id", "dimension", "symbol").agg(F.max("_wanted").alias("_wanted")).groupBy("request_id", "dimension").agg(F.count(F.lit(1)).alias("_n"), F.max("_wanted").alias("_wanted")).filter("_n = _wanted")
+    eligible = asked.join(covered, ["request_id", "dimension"], "left_semi").select("request_id", "finding_id")
+    # Both sides meet in one grouping: a pair is in one of them, or in both.
+    both = eligible.withColumn("_side", F.lit(1)).unionByName(cited.withColumn("_side", F.lit(2)))
+    # A null id equals none of the other side.
+    apart = F.when(F.col("finding_id").isNull(), F.col("_side")).alias("_apart")
+    sides = both.groupBy("request_id", "finding_id", apart).agg(F.min("_side").alias("_low"), F.max("_side").alias("_high")).filter("_low = _high")
+    return sides.select("request_id", "finding_id", F.when(F.col("_low") == 1, "left_out").otherwise("not_eligible").alias("fault"))
 
 
 def answer_sources(findings: DataFrame, metrics: DataFrame, sections: DataFrame, notes: DataFrame) -> DataFrame:

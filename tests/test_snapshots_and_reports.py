@@ -369,3 +369,14 @@ def test_amounts_below_a_thousand_are_borne_by_their_value(spark):
     assert reports.finding_faults(found, ready).isEmpty()
     other = found.withColumn("statement", F.replace("statement", F.lit("999.99"), F.lit("998.99")))
     assert [tuple(r) for r in reports.finding_faults(other, ready).collect()] == [("F-B", "numeric_claim")]
+
+
+def test_comparisons_meet_in_one_grouping(spark):
+    from ledgerlight.operators import reports
+
+    findings = spark.createDataFrame([(1, 1, "m", "A"), (1, 2, "m", "B"), (1, 3, "f", "A"), (1, None, "m", "A")], "request_id int, finding_id int, dimension string, symbol string")
+    requests = spark.createDataFrame([(1, ["A", "B", "B"])], "request_id int, symbols array<string>")
+    sections = spark.createDataFrame([(1, "comparative_assessment", "available", [1, 3, None])], "request_id int, section string, status string, source_finding_ids array<int>")
+    found = reports.comparison_faults(sections, findings, requests)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([(1, 2, "left_out"), (1, 3, "not_eligible"), (1, None, "left_out"), (1, None, "not_eligible")], key=str)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 6
