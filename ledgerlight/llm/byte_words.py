@@ -32,12 +32,25 @@ def _marks() -> str:
 _MARK = re.compile(f"[{_marks()}]")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _MARKED_LETTERS = re.compile(rf"[^\W\d_]+(?:{_MARK.pattern}+[^\W\d_]*)*")
+_OTHERS = re.compile(r"[\W\d_]")
+_BLANKED = "".join(chr(c) if chr(c).isalpha() else " " for c in range(128))
 
 
 def words_of(text: str) -> list[str]:
     """Runs of letters in lower case; combining marks belong to the letters before them."""
     text = text.lower()
-    return (_LETTERS if text.isascii() or not _MARK.search(text) else _MARKED_LETTERS).findall(text)
+    if text.isascii():
+        return text.translate(_BLANKED).split()
+    # A text has few distinct characters: classes are matched on those, and what is no letter is blanked.
+    distinct = "".join(set(text))
+    if _MARK.search(distinct):
+        return _MARKED_LETTERS.findall(text)
+    others = _OTHERS.findall(distinct)
+    if len(others) > 64:
+        return _LETTERS.findall(text)
+    for c in others:
+        text = text.replace(c, " ")
+    return text.split()
 
 
 def grams(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

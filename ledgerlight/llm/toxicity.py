@@ -26,7 +26,8 @@ table need no care. With no labelled text of one of the classes every score is 0
 
 from __future__ import annotations
 
-from itertools import count
+from collections import Counter
+from itertools import chain, count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.byte_words import WordTable, context, grams, key_of, most_held, words_of_texts
+from ledgerlight.llm.byte_words import context, grams, key_of, most_held, words_of_texts
 from ledgerlight.llm.cluster import broadcast_if_small, free_name, materialize, shipped
 
 ORDER = 7
@@ -53,6 +54,8 @@ NEAR = 3
 UNIT = 1 << 24
 #: Rejected rows that are broadcast, at most; more are joined by a shuffle.
 REJECTED_ROWS = 200_000
+#: Bits of the filter of labelled ids that goes to every task, at most: beyond that it keeps more texts, none wrongly.
+FILTER_BITS = 1 << 25
 #: Grams that one task of the models holds, about.
 TASK_GRAMS = 1_000_000
 
@@ -361,15 +364,17 @@ class PublishedWords:
     """Values of the words that most texts hold, in 1 / UNIT bits."""
 
     def __init__(self, words: list[str], values: list[int]):
-        self._values = dict(zip(words, values, strict=True))
+        self._place = dict(zip(words, range(len(words)), strict=True))
+        self._values = np.array([*values, 0], np.int64)
 
-    def known(self, words: list[str]) -> np.ndarray:
-        """Value, and 1 if the word is published."""
-        return np.array([(self._values.get(w, 0), w in self._values) for w in words], float).reshape(-1, 2)
+    def known(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Values (0 for words that are not published), and whether each is published."""
+        at = np.fromiter(map(self._place.get, words, repeat(-1)), np.int64, len(words))
+        return self._values[at], at >= 0
 
     def differences(self, words: list[str]) -> np.ndarray:
         """log2 P(word | toxic) - log2 P(word | ordinary), one column; 0 for words that are not published."""
-        return self.known(words)[:, :1] / UNIT
+        return self.known(words)[0][:, None] / UNIT
 
 
 class ToxicityModel:
@@ -390,28 +395,30 @@ def _words_in(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word string").distinct()
 
 
-def _features_of(texts: DataFrame, model: ToxicityModel, max_words: int, values: DataFrame | None = None) -> DataFrame:
+def _features_of(texts: DataFrame, model: ToxicityModel, values: DataFrame | None = None) -> DataFrame:
     """x (the features) instead of the text of (text, other columns). Texts stay where they are; words that are not published are shuffled by themselves. ``values`` (word, value) of all of them may be known."""
     frozen, kept = shipped(texts.sparkSession, model.language), texts.columns[1:]
     schema = ", ".join([*[f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in kept], "_row long, _n long, _total long, _top array<long>, _rest array<string>"])
 
     def run(batches):
-        table, row = WordTable(frozen().known, 2, max_words), count(TaskContext.get().partitionId() << 40)
+        language, row = frozen(), count(TaskContext.get().partitionId() << 40)
         for batch in batches:
             at = 0
             for some in words_of_texts(batch.column(0)):
-                ids, ns, totals, tops, rests = [], [], [], [], []
-                for words, rows in zip(some, table.rows(some), strict=True):
-                    value, known = table.values[rows, 0], table.values[rows, 1] > 0
-                    told = value[known].astype(np.int64)
-                    ids.append(next(row))
-                    ns.append(len(words))
-                    totals.append(int(told.sum()))
-                    tops.append(np.partition(told, len(told) - TELLING)[-TELLING:] if len(told) > TELLING else told)
-                    rests.append([words[i] for i in np.flatnonzero(~known)])
+                n, flat = np.fromiter(map(len, some), np.int64, len(some)), list(chain.from_iterable(some))
+                value, known = language.known(flat)
+                owner, sums, end = np.repeat(np.arange(len(n)), n), np.r_[0, np.cumsum(value)], np.cumsum(n)
+                # Only values above 0 can be among those that tell.
+                told = np.flatnonzero(value > 0)
+                told = told[np.lexsort((value[told], owner[told]))]
+                after = np.searchsorted(owner[told], owner[told], "right") - np.arange(len(told))
+                lists = [(told[after <= TELLING], lambda i: pa.array(value[i])), (np.flatnonzero(~known), lambda i: pa.array([flat[k] for k in i], pa.string()))]
+                made = [pa.array([next(row) for _ in some], pa.int64()), pa.array(n), pa.array(sums[end] - sums[end - n])]
+                for places, held in lists:
+                    of = np.r_[0, np.cumsum(np.bincount(owner[places], minlength=len(n)))].astype(np.int32)
+                    made.append(pa.ListArray.from_arrays(of, held(places)))
                 own = [c.slice(at, len(some)) for c in batch.columns[1:]]
                 at += len(some)
-                made = [pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(totals, pa.int64()), pa.array(tops, pa.list_(pa.int64())), pa.array(rests, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays([*own, *made], [*kept, "_row", "_n", "_total", "_top", "_rest"])
 
     read = materialize(texts.mapInArrow(run, schema), "toxicity-texts")
@@ -445,10 +452,20 @@ def _sample(labelled: DataFrame, max_documents: int) -> DataFrame:
     return labelled.filter(_sampled(labelled, max_documents))
 
 
+def maybe_labelled(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, other columns) whose id is one of ``ids`` (doc_id), and few others: those whose hash falls on a bit that an id sets. Nothing is shuffled but hashes of ids."""
+    n = min(FILTER_BITS, 1 << (16 * ids.count() + 64).bit_length())
+    hashed = lambda df: df.withColumn("_bit", F.pmod(F.xxhash64("doc_id"), F.lit(n)))
+    set_ = hashed(ids.filter("doc_id IS NOT NULL").select("doc_id")).groupBy(F.shiftright("_bit", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(_bit & 63 AS INT))")).alias("_bits"))
+    met = hashed(docs).join(F.broadcast(set_), F.shiftright("_bit", 6) == F.col("_word"))
+    return met.filter("shiftrightunsigned(_bits, CAST(_bit & 63 AS INT)) & 1 = 1").select(*docs.columns)
+
+
 def with_labels(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, toxic of the documents that ``labels`` (doc_id, toxic) knows. Both sides are shuffled by id, whatever their size."""
+    """doc_id, text, toxic of the documents that ``labels`` (doc_id, toxic) knows. Both sides are shuffled by id, whatever their size; most texts without a label stay where they are."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(known.hint("merge"), "doc_id")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return maybe_labelled(texts, known).join(known.hint("merge"), "doc_id")
 
 
 def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_documents: int = TRAIN_DOCUMENTS, model_words: int = MODEL_WORDS, max_words: int = 400_000) -> ToxicityModel:
@@ -469,16 +486,15 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array([label] * len(words), pa.int64()), pa.array(list(words.values()), pa.int64())], ["word", "label", "n"])
 
     def count(batches):
-        held: tuple[dict, dict] = ({}, {})
+        held = Counter(), Counter()
         for batch in batches:
             if len(held[0]) + len(held[1]) > max_words // 2:
                 yield from tables(held)
-                held = {}, {}
+                held = Counter(), Counter()
             labels = iter(batch.column(2).to_pylist())
             for texts in words_of_texts(batch.column(1)):
                 for words, label in zip(texts, labels, strict=False):
-                    for w in set(words):
-                        held[label][w] = held[label].get(w, 0) + 1
+                    held[label].update(set(words))
         yield from tables(held)
 
     counted = rows.filter(~apart).mapInArrow(count, "word string, label long, n long")
@@ -498,7 +514,7 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     model = ToxicityModel(language, found, levels, None)
     if not all(classes):
         return model
-    seen = _features_of(sample, model, max_words, values).toArrow()
+    seen = _features_of(sample, model, values).toArrow()
     y, x = seen.column("label").to_numpy().astype(float), np.array(seen.column("x").to_pylist(), float).reshape(-1, 3)
     if 0 < y.sum() < len(y):
         order = np.lexsort((*x.T, y))
@@ -506,10 +522,10 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     return model
 
 
-def score(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, max_words: int = 400_000) -> DataFrame:
+def score(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """doc_id, score (0 to 1), predicted (1 from ``threshold`` on), one row per row of ``docs``."""
     rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc_id"))
-    found = rows.select("doc_id", F.lit(0.0).alias("score")) if model.weights is None else _features_of(rows, model, max_words).select("doc_id", _chance(model).alias("score"))
+    found = rows.select("doc_id", F.lit(0.0).alias("score")) if model.weights is None else _features_of(rows, model).select("doc_id", _chance(model).alias("score"))
     return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -526,6 +542,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, id
     # A null id is told from any other by its prefix.
     keys = {id_: F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("")), digest: F.md5(F.encode(F.coalesce(text_col, F.lit("")), "UTF-8"))}
     keyed = docs.withColumns(keys)
-    judged = _features_of(keyed.select(F.col(text_col).alias("text"), id_, digest), model, 400_000).filter(_chance(model) >= threshold).select(id_, digest)
+    judged = _features_of(keyed.select(F.col(text_col).alias("text"), id_, digest), model).filter(_chance(model) >= threshold).select(id_, digest)
     rejected = broadcast_if_small(materialize(judged.distinct(), "toxicity-rejected"), REJECTED_ROWS)
     return keyed.join(rejected, [id_, digest], "left_anti").select(*docs.columns)

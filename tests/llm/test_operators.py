@@ -49,6 +49,28 @@ def test_toxicity_holds_out(spark):
     assert all(0 <= r["score"] <= 1 and (r["score"] >= 0.7) == (r["predicted"] == 1) for r in found)
 
 
+def test_toxicity_leaves_texts_without_a_label_where_they_are(spark):
+    docs = spark.range(-1000, 20_000).selectExpr("IF(id = -1000, NULL, id) AS doc_id", "concat('text ', id) AS text")
+    labels = spark.createDataFrame([(i * 97,) for i in range(-5, 200)] + [(None,)], "doc_id long").withColumn("toxic", F.lit(1))
+    found = {r["doc_id"] for r in toxicity.maybe_labelled(docs, labels).collect()}
+    wanted = {i * 97 for i in range(-5, 200)}
+    assert wanted <= found and None not in found and len(found) < len(wanted) + 21_000 // 8
+    assert sorted(r["doc_id"] for r in toxicity.with_labels(docs.unionByName(docs), labels).collect()) == sorted([*wanted, *wanted])
+
+
+def test_words_are_split_as_by_classes_and_fast():
+    plain = lambda t: (byte_words._MARKED_LETTERS if byte_words._MARK.search(t.lower()) else byte_words._LETTERS).findall(t.lower())
+    texts = ["", "Plain_text, 12x\x1cy\x00z", "caf\u00e9\u2028\u2167 \u00b2x\u0661y_\u00df", "\u0130stanbul x1y", "\u0939\u093f\u0928 \u093fa", "\u00e9" + "".join(map(chr, range(0x2500, 0x2600))) + "z"]
+    assert [byte_words.words_of(t) for t in texts] == [plain(t) for t in texts]
+    text = "Les mots d\u00e9j\u00e0 vus, 12 fois; le reste suit. " * 20_000
+    took = []
+    for split in (plain, byte_words.words_of):
+        start = time.process_time()
+        split(text)
+        took.append(time.process_time() - start)
+    assert took[1] < 0.7 * took[0]
+
+
 def test_toxicity_reads_six_thousand_texts_a_class(spark):
     rows = spark.range(6000).select(F.col("id").alias("key"), F.lit("a").alias("text"), F.lit(0).alias("label"))
     assert toxicity._sample(rows, toxicity.TRAIN_DOCUMENTS).count() == 6000
