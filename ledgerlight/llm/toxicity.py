@@ -356,7 +356,9 @@ def word_values(found: DataFrame, levels: tuple, words: DataFrame) -> DataFrame:
 
     # Counted grams have no kind but -1 here; asked ones carry the word's number in n0.
     both = found.filter(f"kind = -1 and shiftright(code, 8) > {NEAR}").unionByName(numbered.select("word", "id").mapInArrow(ask, _GRAMS))
-    values = _dealt(both, found.count() + 7 * numbered.count()).mapInArrow(answer, "id long, value long").groupBy("id").agg(F.sum("value").alias("value"))
+    # Written between, so that the disk holds what was asked or what is summed, not both.
+    told = materialize(_dealt(both, found.count() + 7 * numbered.count()).mapInArrow(answer, "id long, value long"), "toxicity-told")
+    values = told.groupBy("id").agg(F.sum("value").alias("value"))
     return numbered.join(values, "id", "left").select("word", (F.col("begun") + F.coalesce("value", F.lit(0).cast("long"))).alias("value"))
 
 
@@ -423,7 +425,7 @@ def _features_of(texts: DataFrame, model: ToxicityModel, values: DataFrame | Non
 
     read = materialize(texts.mapInArrow(run, schema), "toxicity-texts")
     rest = read.select("_row", F.explode("_rest").alias("word"))
-    values = word_values(model.found, model.levels, rest.select("word").distinct()) if values is None else values
+    values = materialize(word_values(model.found, model.levels, rest.select("word").distinct()), "toxicity-values") if values is None else values
     per_row = rest.join(values, "word").groupBy("_row").agg(F.sum("value").alias("_more"), F.slice(F.sort_array(F.collect_list("value"), asc=False), 1, TELLING).alias("_tops"))
     met = read.drop("_rest").join(per_row, "_row", "left")
     bits = lambda c: F.least(F.greatest(c / F.lit(float(UNIT)), F.lit(0.0)), F.lit(CLEAR))
