@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlight.operators.asof import tasks
 from ledgerlight.sinks import work_folder
 
 
@@ -54,12 +55,12 @@ def rolled_up(spans: DataFrame, values: dict[str, Column]) -> DataFrame:
     return rows.drop("up")
 
 
-def united(intervals: DataFrame, keys: list[str], cell: int) -> DataFrame:
+def united(intervals: DataFrame, keys: list[str], cell: int, parts: int) -> DataFrame:
     """Per key, ``covered``: the length of the union of its intervals (start, end, end exclusive; empty ones cover nothing).
 
     An interval adds what lies beyond all that began before it. Those of one cell of
     ``cell`` units are ordered by a window; the furthest end of earlier cells comes from
-    one row per key and cell.
+    one row per key and cell. Cells are dealt to ``parts`` tasks.
     """
     rows = intervals.filter("end > start").groupBy(*keys, "start").agg(F.max("end").alias("end"))
     rows = rows.withColumn("_cell", F.floor(F.col("start") / cell))
@@ -67,7 +68,7 @@ def united(intervals: DataFrame, keys: list[str], cell: int) -> DataFrame:
     before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     open_ = cells.select(*keys, "_cell", F.max("end").over(before).alias("_open"))
     # The open end joins its cell as a row before all others: no join, and null keys meet.
-    both = rows.unionByName(open_.filter("_open IS NOT NULL").select(*keys, "_cell", F.lit(None).cast("long").alias("start"), F.col("_open").alias("end")))
+    both = rows.unionByName(open_.filter("_open IS NOT NULL").select(*keys, "_cell", F.lit(None).cast("long").alias("start"), F.col("_open").alias("end"))).repartition(parts, *keys, "_cell")
     own = Window.partitionBy(*keys, "_cell").orderBy(F.col("start").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     new = F.greatest(F.col("end") - F.greatest("start", F.coalesce(F.max("end").over(own), F.col("start"))), F.lit(0))
     return both.withColumn("_new", new).filter("start IS NOT NULL").groupBy(*keys).agg(F.sum("_new").alias("covered"))
@@ -75,11 +76,13 @@ def united(intervals: DataFrame, keys: list[str], cell: int) -> DataFrame:
 
 def self_times(spans: DataFrame, cell: int = 60_000_000) -> DataFrame:
     """Per span: span_id, total (its length) and own (what no child of it covers)."""
-    parents = spans.select(F.col("span_id").alias("parent_id"), F.col("start").alias("_from"), F.col("end").alias("_to"))
-    inside = spans.filter("parent_id IS NOT NULL").join(parents, "parent_id").select("parent_id", F.greatest("start", "_from").alias("start"), F.least("end", "_to").alias("end"))
-    covered = united(inside, ["parent_id"], cell).withColumnRenamed("parent_id", "span_id")
+    spans = _written(spans.select("span_id", "parent_id", "start", "end"))
+    parts = tasks(spans.sparkSession, 4 * spans.count())  # a span is sorted as a child, as a parent, in its cell and by itself
+    parents = spans.select(F.col("span_id").alias("parent_id"), F.col("start").alias("_from"), F.col("end").alias("_to")).repartition(parts, "parent_id")
+    inside = spans.filter("parent_id IS NOT NULL").repartition(parts, "parent_id").join(parents, "parent_id").select("parent_id", F.greatest("start", "_from").alias("start"), F.least("end", "_to").alias("end"))
+    covered = united(inside, ["parent_id"], cell, parts).withColumnRenamed("parent_id", "span_id")
     total = F.col("end") - F.col("start")
-    return spans.join(covered, "span_id", "left").select("span_id", total.alias("total"), (total - F.coalesce("covered", F.lit(0))).alias("own"))
+    return spans.repartition(parts, "span_id").join(covered.repartition(parts, "span_id"), "span_id", "left").select("span_id", total.alias("total"), (total - F.coalesce("covered", F.lit(0))).alias("own"))
 
 
 def span_summaries(spans: DataFrame, prefixes: list[str], attributes: list[str]) -> DataFrame:

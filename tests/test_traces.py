@@ -135,3 +135,14 @@ def test_usage_is_read_by_shape(spark):
     assert got == {i: w for i, (_, w) in enumerate(cases)} | dict.fromkeys([50, 51, 52, 53])
     shapes = telemetry.usage_shapes(used).collect()
     assert sum(r["answers"] for r in shapes) == len(rows) and len({r["fingerprint"] for r in shapes}) == len({r["usage_shape"] for r in shapes})
+
+
+def test_tasks_of_as_of_joins_and_own_times_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(asof, "TASK_ROWS", 100)
+    rows = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
+    # Values stand in the first cell only, so all later ones have it from cells before.
+    met = asof.asof_join(rows, rows.filter("v < 3").withColumnRenamed("v", "w"), ["k"], at="v", by="w", cell=lambda c: F.floor(c / 7))
+    assert met.rdd.getNumPartitions() == 11 and {r["match"]["w"] - r["k"] for r in met.collect()} == {0}
+    spans = spark.range(500).select(F.col("id").alias("span_id"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id"), F.col("id").alias("start"), (F.col("id") + 5).alias("end"))
+    own = traces.self_times(spans)
+    assert own.rdd.getNumPartitions() == 20 and {r["own"] for r in own.filter("span_id < 499").collect()} == {1}
