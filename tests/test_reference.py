@@ -186,6 +186,17 @@ def test_long_texts_are_cut_in_one_fold(spark):
     assert row["n"] > row["c"] / 3200
 
 
+def test_references_that_are_cut_off_stay_in_page_texts(spark, tmp_path):
+    odd = ("&quot", "&quo", "&q", "&", "&copy", "&middot", "&amp", "&am", "&amp;quot", "&amp;quot;", "&amp&quot", "&amp_", "&ampé", "&ampx", "&quot;", "&copy;2", "&copy2", "&middot;", "&quot_;", "&#34")
+    html = [f"<head><title>{x}</title></head><h1>a {x}</h1><p title='{x}'>{x} b{x}</p>c {x}" for x in odd]
+    spark.createDataFrame([*enumerate(html), (len(html), "")], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    found = reference_queries.html_text(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == sorted(con.execute(reference_queries.HTML_SQL).fetchall())
+    assert ("a &quot &quot b&quot c &quot", "a & & b& c &") == tuple(r["page_text"] for r in sorted(found) if r["page_id"] in (0, 6))
+
+
 def test_html_keeps_visible_text_only(spark):
     rows = spark.createDataFrame([("<head><title>t</title></head><p> a <b>b</b>&amp;c</p><script>x</script>",), (None,)], "h string")
     assert [r[0] for r in rows.select(corpus.visible_text("h")).collect()] == ["a b &c", None]
