@@ -73,6 +73,27 @@ def test_sketches_never_count_less(spark, spoken):
     assert reached.shape == (collocations.DEPTH, 1 << 5) and reached.any()
 
 
+def test_sketches_do_not_fill_up(spark):
+    texts = spark.range(4000).selectExpr("'en' as lang", "array_join(transform(sequence(1, 20), i -> concat('w', id * 20 + i)), ' ') || '. often said' as text").repartition(3)
+    reached = collocations._reached(collocations._sketches(texts, (1, 2), list, 10, 30), (1, 2), 10, 30).cells
+    assert 1 <= np.unpackbits(reached, axis=1).sum(axis=1).min() and np.unpackbits(reached).sum() <= 3 * collocations.DEPTH
+
+
+def test_words_are_told_apart_by_their_bytes():
+    text = "Ab ab\tAB\0  ab. " + "x" * 300 + " " + "x" * 299 + "y " + "x" * 300 + ";über abcdefgh abcdefghi abcdefgh\0 " + "z" * 255 + " " + "z" * 256 + " " + "z" * 257
+    words = collocations.Words(text.encode())
+    pieces = [re.findall(r"[^\x20\x09]+", p) for p in re.split(r"[.,;:!?\x0A-\x0D]", text.lower())]
+    said = [w.encode() for p in pieces for w in p]
+    assert [words.word(k) for k in range(len(words.starts))] == said and words.phrases(np.array([0]), 4) == [b"ab ab ab\0 ab"]
+    assert words.joined.tolist() == [a for p in pieces for a in [*[True] * (len(p) - 1), False]][:-1]
+    assert len(set(words.hashes.tolist())) == len(set(said))
+    for hashes in (words.hashes, np.full(len(said), 7, np.uint64)):
+        at = np.arange(1, len(said))
+        ids = collocations.numbers(words, at, hashes[1:])
+        assert ids[0] == -1 and all((ids[i] == ids[j]) == (said[i] == said[j]) for i in at for j in at)
+    assert not len(collocations.Words(b" .\n").starts)
+
+
 def test_sequences_of_one_hash_are_told_apart():
     ids = np.array([1, 2, 3, 1, 2, 3, 3])
     first, times = collocations.distinct(ids, np.array([0, 1, 3, 4, 5]), np.array([7, 7, 7, 7, 7], np.uint64), 2)
