@@ -8,8 +8,8 @@ of all tasks are added up; cells stop at the threshold. A cell never holds less
 of its sequences occurs, so what is below the threshold cannot be frequent, and nothing
 that holds it can. Of each slice a few bits are published: those that its cells of the
 threshold have in three rows. Sequences of three and four words without a ruled-out pair
-are sketched in the same way. The last pass counts the survivors exactly, combined in
-tasks before they move.
+are sketched in the same way. The last pass counts the survivors exactly: chunks of
+text deal their counts, with the words themselves, to slices by the hash, too.
 Scores come from exact counts, and phrases inside a longer candidate that holds most
 of their occurrences are subsumed by it.
 
@@ -28,10 +28,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,7 +49,6 @@ MIN_CELLS, MAX_CELLS, LOAD = 1 << 14, 1 << 24, 24
 _SLICE_BITS, _PLACE_BITS, _SLICE = 8, 32, 1 << 23
 #: Bytes of text that a task reads at a time, for the sketch and for the last pass, and sequences that it combines at a time.
 _CHARS, _COUNTED_CHARS, _ADDED = 1 << 21, 1 << 23, 1 << 22
-_MOST_HELD = 1_000_000
 #: Characters of text for a task at least, where there are more tasks than four a core.
 TASK_CHARS = 1 << 26
 
@@ -323,34 +322,73 @@ def count_sequences(docs: DataFrame, *, threshold: int = 30, max_cells: int = MA
     stop, known = min(threshold, 255), []
     for of in LEVELS:
         known.append(_reached(_sketches(texts, of, shipped(spark, known), bits, stop, sequences), of, bits, stop, sequences))
-    held = shipped(spark, known)
+    return _exact(texts, shipped(spark, known), slice_bits(32, 4 * sequences), threshold)
 
-    def count(batches):
-        published = held()
-        counts: dict[str, dict[bytes, int]] = {}
 
-        def flushed():
-            for lang, mine in counts.items():
-                keys, n = iter(mine), 100_000
-                while some := list(islice(keys, n)):
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.binary()).cast(pa.string()), pa.array([mine[k] for k in some], pa.int64())], ["lang", "phrase", "n"])
-            counts.clear()
+def _exact(texts: DataFrame, known: Callable[[], list[Reached]], dealt: int, threshold: int) -> DataFrame:
+    """lang, phrase, n of the sequences that reach the threshold, of those that ``known`` does not rule out, and of the phrase ''."""
 
+    def count(batches):
+        published = known()
         for lang, words in _chunks(batches, _COUNTED_CHARS):
-            mine = counts.setdefault(lang, {})
-            mine[b""] = mine.get(b"", 0) + len(words.starts)
+            # The phrase '' has the hash 0.
+            phrases, times, hashes = [b""], [np.array([len(words.starts)])], [np.zeros(1, np.uint64)]
             for n, at, found in _sequences(lang, words, published):
                 if n == 1:
                     ids = numbers(words, at, found)
-                first, times = distinct(ids, at, found, n)
-                for key, some in zip(words.phrases(first, n), times.tolist(), strict=True):
-                    mine[key] = mine.get(key, 0) + some
-            if sum(map(len, counts.values())) > _MOST_HELD:
-                yield from flushed()
-        yield from flushed()
-
-    found = texts.mapInArrow(count, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-    return found.filter((F.col("n") >= threshold) | (F.col("phrase") == ""))
+                first, often = distinct(ids, at, found, n)
+                phrases += words.phrases(first, n)
+                times.append(often)
+                hashes.append(found[np.searchsorted(at, first)])
+            hashes, times = np.concatenate(hashes), np.concatenate(times)
+            order = _order(hashes)
+            phrases, hashes, times = [phrases[k] for k in order.tolist()], hashes[order], times[order].astype(np.uint32)
+            lengths = np.fromiter(map(len, phrases), np.uint32, len(phrases))
+            slices, of = _runs(hashes >> np.uint64(64 - dealt))
+            cut = [(a, a + k) for a, k in zip(slices.tolist(), of.tolist(), strict=True)]
+            parts = [pa.array([x[a:b].tobytes() for a, b in cut], pa.binary()) for x in (hashes, times, lengths)]
+            said = pa.array([b"".join(phrases[a:b]) for a, b in cut], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array((hashes[slices] >> np.uint64(64 - dealt)).astype(np.int32)), pa.array([lang] * len(cut), pa.string()), *parts, said], ["slice", "lang", "hashes", "times", "lengths", "said"])
+
+    def add(batches):
+        at, held = None, []
+
+        def done():
+            hashes, times, lengths = (np.frombuffer(b"".join(x), t) for x, t in zip(list(zip(*held, strict=True))[:3], (np.uint64, np.uint32, np.uint32), strict=True))
+            ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+            said = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(x[3] for x in held))])
+            phrases, sums = frequent_phrases(hashes, times, said, threshold)
+            return pa.RecordBatch.from_arrays([pa.array([at[1]] * len(phrases), pa.string()), phrases.cast(pa.binary()).cast(pa.string()), pa.array(sums, pa.int64())], ["lang", "phrase", "n"])
+
+        for batch in batches:
+            for k in range(len(batch)):
+                if (now := (batch.column(0)[k].as_py(), batch.column(1)[k].as_py())) != at:
+                    if held:
+                        yield done()
+                    at, held = now, []
+                held.append([batch.column(c)[k].as_buffer().to_pybytes() for c in range(2, 6)])
+        if held:
+            yield done()
+
+    counted = texts.mapInArrow(count, "slice int, lang string, hashes binary, times binary, lengths binary, said binary")
+    return counted.repartition("slice").sortWithinPartitions("slice", "lang").mapInArrow(add, "lang string, phrase string, n long")
+
+
+def frequent_phrases(hashes: np.ndarray, times: np.ndarray, said: pa.Array, threshold: int) -> tuple[pa.Array, np.ndarray]:
+    """Each distinct phrase of ``said`` whose times reach the threshold, and '', with their sums."""
+    order = np.argsort(hashes)
+    first, of = _runs(hashes[order])
+    sums = np.add.reduceat(times[order].astype(np.int64), first)
+    whole = (sums >= threshold) | (hashes[order[first]] == 0)  # what has the hash of none of these reaches nothing
+    order, first, of, sums = order[np.repeat(whole, of)], order[first[whole]], of[whole], sums[whole]
+    found = said.take(pa.array(first))
+    if not pc.all(pc.equal(said.take(pa.array(order)), said.take(pa.array(np.repeat(first, of))))).as_py():  # two phrases of one hash
+        exact: dict[bytes, int] = {}
+        for phrase, n in zip(said.take(pa.array(order)).to_pylist(), times[order].tolist(), strict=True):
+            exact[phrase] = exact.get(phrase, 0) + n
+        found, sums = pa.array(list(exact), pa.large_binary()), np.fromiter(exact.values(), np.int64, len(exact))
+    kept = np.flatnonzero((sums >= threshold) | (pc.binary_length(found).to_numpy() == 0))
+    return found.take(pa.array(kept)), sums[kept]
 
 
 def _wide(c: Column) -> Column:

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +101,13 @@ def test_sequences_of_one_hash_are_told_apart():
     assert sorted(zip(first.tolist(), times.tolist(), strict=True)) == [(0, 2), (1, 2), (5, 1)]
 
 
+def test_phrases_of_one_hash_are_told_apart():
+    said = [b"", b"a b", b"c", b"a b", b"d", b"c", b"", b"rare", b"a b"]
+    for hashes in ([0, 5, 6, 5, 7, 6, 0, 8, 5], [0, 5, 5, 5, 7, 5, 0, 8, 5], [0] * 9):
+        phrases, sums = collocations.frequent_phrases(np.array(hashes, np.uint64), np.array([1, 2, 2, 2, 9, 3, 1, 3, 1], np.uint32), pa.array(said, pa.large_binary()), 5)
+        assert dict(zip(phrases.to_pylist(), sums.tolist(), strict=True)) == {b"": 2, b"a b": 5, b"c": 5, b"d": 9}
+
+
 def test_phrases_of_an_empty_table(spark):
     assert collocations.collocations(spark.createDataFrame([], "text string, lang string")).isEmpty()
 
