@@ -268,7 +268,7 @@ def _reached(sketches: DataFrame, of: tuple[int, ...], bits: int, threshold: int
 
     summed = sketches.repartition("slice").sortWithinPartitions("slice").mapInArrow(add, "slice int, bits binary")
     published = np.zeros((DEPTH, 1 << dealt, (1 << own) // 8), np.uint8)
-    for r in summed.toLocalIterator():  # at most MAX_CELLS bits a row
+    for r in summed.collect():  # at most MAX_CELLS bits a row; an iterator would run one task at a time
         published[:, r["slice"]] = np.frombuffer(r["bits"], np.uint8).reshape(DEPTH, -1)
     return Reached(of, published.reshape(DEPTH, -1), bits, dealt)
 
